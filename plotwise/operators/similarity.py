@@ -162,10 +162,13 @@ def dense_standardised_cosine(df: DataFrame, id_col: str, vec_col: str, query_id
     stats = (base.select(F.posexplode("__v").alias("pos", "x")).groupBy("pos")
              .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
              .agg(F.sort_array(F.collect_list(F.struct("pos", "m", "s"))).alias("st")))
-    st = stats.select("st").scalar()
-    z = F.zip_with(F.col("__v"), st, lambda x, s: F.when(s["s"] > 0, (x - s["m"]) / s["s"]).otherwise(0.0))
+    # scalar subqueries cannot sit inside higher-order functions: project
+    # them as columns first (each is evaluated once and broadcast as a value)
+    base = base.withColumn("__st", stats.select("st").scalar())
+    z = F.zip_with(F.col("__v"), F.col("__st"), lambda x, s: F.when(s["s"] > 0, (x - s["m"]) / s["s"]).otherwise(0.0))
     zdf = base.select(id_col, z.alias("z"))
-    qz = zdf.filter(F.col(id_col) == query_id).select("z").scalar()
+    zdf = zdf.withColumn("__qz", zdf.filter(F.col(id_col) == query_id).select("z").scalar())
+    qz = F.col("__qz")
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -176,24 +179,26 @@ def dense_standardised_cosine(df: DataFrame, id_col: str, vec_col: str, query_id
 
 
 def recommend(scores: DataFrame, items: DataFrame, id_col: str, n: int = 5, query_id=None,
-              exclude_self: bool = False, digits: int | None = 4) -> DataFrame:
+              exclude_self: bool = False, digits: int | None = 4, rank_digits: int = 10) -> DataFrame:
     """Rank every item by score (desc, ties by id, missing score 0), skip
     rank 1 (assumed to be the item itself) and return the next ``n``.
 
-    ``exclude_self`` removes the query id exactly instead (use when ties at
-    the top can push the item itself below rank 1). The ranking is a
-    per-partition top-(n+1), no full sort.
+    Scores are compared at ``rank_digits`` decimals, so two items with the
+    same vector tie exactly whatever the summation order, and the id breaks
+    the tie (the reference's stable sort keeps index order). ``exclude_self``
+    removes the query id exactly instead. The ranking is a per-partition
+    top-(n+1) (TakeOrdered), no full sort.
     """
     allv = items.select(id_col).join(scores, on=id_col, how="left").fillna(0.0, subset=["score"])
+    allv = allv.withColumn("__key", F.round("score", rank_digits))
+    order = [F.desc("__key"), F.asc(id_col)]
     if exclude_self:
-        allv = allv.filter(F.col(id_col) != query_id)
-        top = allv.orderBy(F.desc("score"), F.asc(id_col)).limit(n)
+        top = allv.filter(F.col(id_col) != query_id).orderBy(*order).limit(n)
         first = 1
     else:
-        top = allv.orderBy(F.desc("score"), F.asc(id_col)).limit(n + 1)
+        top = allv.orderBy(*order).limit(n + 1)
         first = 2
-    w = Window.orderBy(F.desc("score"), F.asc(id_col))
-    out = top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") >= first)
+    out = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") >= first)
     out = out.withColumn("rank", F.col("rank") - (first - 1))
     if digits is not None:
         out = out.withColumn("score", F.round("score", digits))

@@ -1 +1,265 @@
-"""placeholder"""
+"""Registered queries for similarity and recommendation (survey 2.11).
+
+Entities: documents (tf-idf over whole texts), parts (three views: name
+tf-idf, one-hot + numeric "price" view, supplier-distance "location" view)
+and embeddings (dense vectors). Every recommendation scores one query item
+against all candidates of the whole table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotwise.functions import rules
+from plotwise.functions import text as T
+from plotwise.operators import similarity as R
+from plotwise.plans import fixtures as fx
+from plotwise.plans.registry import query
+
+QUERY_DOC = 1
+QUERY_PART = 1
+QUERY_VEC = 1
+TOP_N = 5
+
+
+def _stops_sql() -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in R.default_stop_words()) + "]"
+
+
+def tfidf_sql(src: str, id_col: str, text_col: str, out: str = "tfw") -> str:
+    """CTEs computing the smoothed, L2-normalised 1-2-gram tf-idf of ``src``."""
+    return f"""
+{out}_tok AS (SELECT {id_col} AS id, list_filter(regexp_extract_all(lower({text_col}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+    lambda x: NOT list_contains({_stops_sql()}, x)) AS t FROM {src}),
+{out}_gram AS (SELECT id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM {out}_tok),
+{out}_tf AS (SELECT id, term, count(*) AS tf FROM {out}_gram GROUP BY id, term),
+{out}_df AS (SELECT term, count(*) AS df FROM {out}_tf GROUP BY term),
+{out}_n AS (SELECT count(*) AS n FROM {src}),
+{out}_raw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM {out}_tf JOIN {out}_df USING (term), {out}_n),
+{out} AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM {out}_raw)"""
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# --- R1 / R2 / R7 on documents ----------------------------------------------------
+def doc_tfidf(spark, d):
+    return R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("r1_tfidf", _with(tfidf_sql("documents", "doc_id", "text")) +
+       "SELECT id AS doc_id, term, round(weight, 9) AS weight FROM tfw")
+def r1(spark, d):
+    return doc_tfidf(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+
+
+@query("r2_cosine_scores", _with(tfidf_sql("documents", "doc_id", "text")) + f"""
+SELECT a.id AS doc_id, round(sum(a.weight * q.weight), 9) AS score FROM tfw a
+JOIN (SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id""")
+def r2(spark, d):
+    s = R.sparse_scores(doc_tfidf(spark, d), "doc_id", QUERY_DOC)
+    return s.select("doc_id", F.round("score", 9).alias("score"))
+
+
+def _recommend_sql(scores_cte: str, items: str, id_col: str, n: int = TOP_N) -> str:
+    return f"""
+SELECT CAST(rk - 1 AS INTEGER) AS rank, {id_col}, round(score, 4) AS score FROM (
+  SELECT i.{id_col}, coalesce(s.score, 0) AS score,
+         row_number() OVER (ORDER BY round(coalesce(s.score, 0), 10) DESC, i.{id_col}) AS rk
+  FROM {items} i LEFT JOIN {scores_cte} s ON i.{id_col} = s.{id_col}) WHERE rk BETWEEN 2 AND {n + 1}"""
+
+
+@query("r7_recommend_documents", _with(
+    tfidf_sql("documents", "doc_id", "text"),
+    f"sc AS (SELECT a.id AS doc_id, sum(a.weight * q.weight) AS score FROM tfw a JOIN "
+    f"(SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id)",
+    "items AS (SELECT doc_id FROM documents)") + _recommend_sql("sc", "items", "doc_id"))
+def r7(spark, d):
+    docs = fx.table(spark, d, "documents")
+    scores = R.sparse_scores(doc_tfidf(spark, d), "doc_id", QUERY_DOC)
+    return R.recommend(scores, docs, "doc_id", TOP_N)
+
+
+# --- part views ----------------------------------------------------------------------
+def part_facilities(spark, d):
+    """Facilities view: tf-idf cosine of the part names."""
+    v = R.tfidf(fx.table(spark, d, "part"), "p_partkey", "p_name")
+    return R.sparse_scores(v, "p_partkey", QUERY_PART)
+
+
+PRICE_CATS = ["p_brand", "p_type"]
+PRICE_NUMS = ["p_size", "p_retailprice"]
+
+
+def part_price_long(spark, d):
+    return R.one_hot_long(fx.table(spark, d, "part"), "p_partkey", PRICE_CATS, PRICE_NUMS)
+
+
+def part_price(spark, d):
+    """Price view: drop-first one-hot + numeric columns, standardised, cosine."""
+    parts = fx.table(spark, d, "part")
+    return R.standardised_cosine(part_price_long(spark, d), parts, "p_partkey", "feature", "value", 0.0, QUERY_PART)
+
+
+DIST_SQL = ("CASE WHEN CAST(q AS BIGINT) % 2 = 0 THEN concat(CAST(CAST(q AS BIGINT) AS STRING), ' Km') "
+            "ELSE concat(CAST(CAST(q * 20 AS BIGINT) AS STRING), ' Meter') END")
+
+
+def part_location_long(spark, d):
+    """Location view input: (part, supplier, metres) with the distance text
+    parsed by T18; unparsable distances are absent (default 54 000 m)."""
+    li = fx.table(spark, d, "lineitem")
+    pairs = li.groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("landmark")).agg(
+        F.min("l_quantity").alias("q")).selectExpr("p_partkey", "landmark", f"{DIST_SQL} AS dist")
+    return pairs.select("p_partkey", "landmark", T.distance_to_meters("dist").alias("meters")).filter(
+        F.col("meters").isNotNull())
+
+
+def part_location(spark, d):
+    parts = fx.table(spark, d, "part")
+    return R.standardised_cosine(part_location_long(spark, d), parts, "p_partkey", "landmark", "meters",
+                                 rules.MISSING_DISTANCE_M, QUERY_PART)
+
+
+# Dense oracles: the full entity x feature matrix (independent of the sparse trick).
+_PRICE_DENSE = """
+pl AS (SELECT p_partkey, 'p_size' AS feature, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size IS NOT NULL
+  UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice IS NOT NULL
+  UNION ALL SELECT p_partkey, 'p_brand_' || p_brand, 1.0 FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)
+  UNION ALL SELECT p_partkey, 'p_type_' || p_type, 1.0 FROM part WHERE p_type <> (SELECT min(p_type) FROM part)),
+feats AS (SELECT DISTINCT feature FROM pl),
+dense AS (SELECT p.p_partkey AS id, f.feature AS k, coalesce(pl.value, 0.0) AS x FROM part p CROSS JOIN feats f
+  LEFT JOIN pl ON pl.p_partkey = p.p_partkey AND pl.feature = f.feature)"""
+
+_LOC_DENSE = f"""
+pr AS (SELECT l_partkey AS p_partkey, l_suppkey AS landmark, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+pt AS (SELECT p_partkey, landmark, {DIST_SQL.replace('STRING', 'VARCHAR')} AS dist FROM pr),
+pm AS (SELECT p_partkey, landmark, CASE WHEN contains(dist, 'Km') OR contains(dist, 'KM')
+    THEN TRY_CAST(string_split(dist, ' ')[1] AS DOUBLE) * 1000
+  WHEN contains(dist, 'Meter') OR contains(dist, 'meter') THEN TRY_CAST(string_split(dist, ' ')[1] AS DOUBLE) END AS meters
+  FROM pt),
+lms AS (SELECT DISTINCT landmark FROM pm WHERE meters IS NOT NULL),
+dense AS (SELECT p.p_partkey AS id, l.landmark AS k, coalesce(pm.meters, 54000.0) AS x FROM part p CROSS JOIN lms l
+  LEFT JOIN pm ON pm.p_partkey = p.p_partkey AND pm.landmark = l.landmark AND pm.meters IS NOT NULL)"""
+
+def cosine_dense(pfx: str, dense: str, query_id) -> str:
+    """CTEs: per-key population stats, z-scores and the cosine of every entity
+    with the query entity over the dense matrix ``dense(id, k, x)``."""
+    return f"""
+{pfx}st AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM {dense} GROUP BY k),
+{pfx}z AS (SELECT id, d.k, CASE WHEN s > 0 THEN (x - m) / s ELSE 0.0 END AS z FROM {dense} d JOIN {pfx}st st ON d.k = st.k),
+{pfx}qz AS (SELECT k, z AS zq FROM {pfx}z WHERE id = {query_id}),
+{pfx}nq AS (SELECT sqrt(sum(zq * zq)) AS nq FROM {pfx}qz),
+{pfx}cos AS (SELECT z.id AS p_partkey, CASE WHEN sqrt(sum(z.z * z.z)) > 0 AND max(nq) > 0
+    THEN sum(z.z * q.zq) / (sqrt(sum(z.z * z.z)) * max(nq)) ELSE 0.0 END AS score
+  FROM {pfx}z z JOIN {pfx}qz q ON z.k = q.k, {pfx}nq GROUP BY z.id)"""
+
+
+_COSINE_DENSE = cosine_dense("", "dense", QUERY_PART)
+
+
+@query("r3_one_hot_long", """
+SELECT p_partkey, 'p_size' AS feature, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size IS NOT NULL
+UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice IS NOT NULL
+UNION ALL SELECT p_partkey, 'p_brand_' || p_brand, 1.0 FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)
+UNION ALL SELECT p_partkey, 'p_type_' || p_type, 1.0 FROM part WHERE p_type <> (SELECT min(p_type) FROM part)""")
+def r3(spark, d):
+    return part_price_long(spark, d)
+
+
+@query("r4_standardise", _with(_PRICE_DENSE) + """
+SELECT k AS feature, round(stddev_pop(x), 9) AS std,
+       round(CASE WHEN stddev_pop(x) > 0 THEN (0.0 - avg(x)) / stddev_pop(x) ELSE 0.0 END, 9) AS z0
+FROM dense GROUP BY k""")
+def r4(spark, d):
+    stats, _ = R.standardise_long(part_price_long(spark, d), fx.table(spark, d, "part"), "p_partkey",
+                                  "feature", "value", 0.0)
+    return stats.select("feature", F.round("std", 9).alias("std"), F.round("z0", 9).alias("z0"))
+
+
+@query("r5_location_cosine", _with(_LOC_DENSE, _COSINE_DENSE) + """
+SELECT p.p_partkey, round(coalesce(c.score, 0.0), 9) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
+def r5(spark, d):
+    return part_location(spark, d).select("p_partkey", F.round("score", 9).alias("score"))
+
+
+@query("r6_price_cosine", _with(_PRICE_DENSE, _COSINE_DENSE) + """
+SELECT p.p_partkey, round(coalesce(c.score, 0.0), 9) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
+def r6(spark, d):
+    return part_price(spark, d).select("p_partkey", F.round("score", 9).alias("score"))
+
+
+@query("r6_dense_embedding_cosine", f"""
+WITH e AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, pos FROM (
+  SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)),
+st AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY pos),
+z AS (SELECT vec_id, e.pos, CASE WHEN s > 0 THEN (x - m) / s ELSE 0.0 END AS z FROM e JOIN st ON e.pos = st.pos),
+qz AS (SELECT pos, z AS zq FROM z WHERE vec_id = {QUERY_VEC}),
+nq AS (SELECT sqrt(sum(zq * zq)) AS nq FROM qz)
+SELECT z.vec_id, round(CASE WHEN sqrt(sum(z.z * z.z)) > 0 AND max(nq) > 0
+  THEN sum(z.z * qz.zq) / (sqrt(sum(z.z * z.z)) * max(nq)) ELSE 0.0 END, 9) AS score
+FROM z JOIN qz ON z.pos = qz.pos, nq GROUP BY z.vec_id""")
+def r6d(spark, d):
+    s = R.dense_standardised_cosine(fx.table(spark, d, "embeddings"), "vec_id", "embedding", QUERY_VEC)
+    return s.select("vec_id", F.round("score", 9).alias("score"))
+
+
+_FAC_SCORES = (f"fac AS (SELECT a.id AS p_partkey, sum(a.weight * q.weight) AS score FROM tfp a JOIN "
+               f"(SELECT term, weight FROM tfp WHERE id = {QUERY_PART}) q ON a.term = q.term GROUP BY a.id)")
+
+
+@query("r8_recommend_by_location", _with(_LOC_DENSE, _COSINE_DENSE) + _recommend_sql("cos", "part", "p_partkey"))
+def r8_loc(spark, d):
+    parts = fx.table(spark, d, "part")
+    return R.recommend_by("location", {"location": part_location(spark, d)}, parts, "p_partkey", QUERY_PART, TOP_N)
+
+
+@query("r8_recommend_by_price", _with(_PRICE_DENSE, _COSINE_DENSE) + _recommend_sql("cos", "part", "p_partkey"))
+def r8_price(spark, d):
+    parts = fx.table(spark, d, "part")
+    return R.recommend_by("price", {"price": part_price(spark, d)}, parts, "p_partkey", QUERY_PART, TOP_N)
+
+
+@query("r8_recommend_by_facilities", _with(tfidf_sql("part", "p_partkey", "p_name", "tfp"), _FAC_SCORES) +
+       _recommend_sql("fac", "part", "p_partkey"))
+def r8_fac(spark, d):
+    parts = fx.table(spark, d, "part")
+    return R.recommend_by("facilities", {"facilities": part_facilities(spark, d)}, parts, "p_partkey",
+                          QUERY_PART, TOP_N)
+
+
+def _hybrid_sql() -> str:
+    w = rules.HYBRID_WEIGHTS
+    return _with(tfidf_sql("part", "p_partkey", "p_name", "tfp"), _FAC_SCORES, _PRICE_DENSE, _COSINE_DENSE,
+                 _LOC_DENSE.replace("dense AS", "ldense AS"), cosine_dense("l", "ldense", QUERY_PART),
+                 f"hyb AS (SELECT p.p_partkey, {w['facilities']} * coalesce(f.score, 0) + {w['price']} * coalesce(c.score, 0)"
+                 f" + {w['location']} * coalesce(l.score, 0) AS score FROM part p LEFT JOIN fac f ON p.p_partkey = f.p_partkey"
+                 f" LEFT JOIN cos c ON p.p_partkey = c.p_partkey LEFT JOIN lcos l ON p.p_partkey = l.p_partkey)"
+                 ) + _recommend_sql("hyb", "part", "p_partkey")
+
+
+@query("r9_hybrid_recommend", _hybrid_sql())
+def r9(spark, d):
+    parts = fx.table(spark, d, "part")
+    views = {"facilities": part_facilities(spark, d).withColumnRenamed("p_partkey", "id"),
+             "price": part_price(spark, d).withColumnRenamed("p_partkey", "id"),
+             "location": part_location(spark, d).withColumnRenamed("p_partkey", "id")}
+    scores = R.hybrid_scores(views, rules.HYBRID_WEIGHTS, "id").withColumnRenamed("id", "p_partkey")
+    return R.recommend(scores, parts, "p_partkey", TOP_N)
+
+
+def _weights_sql() -> str:
+    return "MAP {" + ", ".join("'" + k.replace("'", "''") + f"': {float(v)}" for k, v in rules.LUXURY_WEIGHTS.items()) + "}"
+
+
+@query("r10_weighted_label_score", fx.with_views(f"""
+, lab AS (SELECT listing_id, list_distinct(coalesce(regexp_extract_all(features, chr(39) || '(.*?)' || chr(39), 1),
+    []::VARCHAR[])) AS l FROM raw),
+sc AS (SELECT listing_id, CAST(coalesce(list_sum(list_transform(l, lambda x: coalesce({_weights_sql()}[x], 0.0))), 0.0) AS DOUBLE) AS s FROM lab)
+SELECT listing_id, s AS luxury_score, CASE WHEN s >= 0 AND s < 50 THEN 'Low' WHEN s >= 50 AND s < 150 THEN 'Medium'
+  WHEN s >= 150 AND s <= 175 THEN 'High' END AS luxury_category FROM sc""", "raw"))
+def r10(spark, d):
+    from plotwise.functions.recode import categorise_luxury
+    r = fx.raw(spark, d).select("listing_id", R.weighted_label_score(T.parse_list("features")).alias("luxury_score"))
+    return r.select("listing_id", "luxury_score", categorise_luxury("luxury_score").alias("luxury_category"))
