@@ -190,6 +190,46 @@ def cte(name: str, sql: str, cols) -> str:
 
 def with_views(body: str, *names: str) -> str:
     """Oracle SQL with the requested views as CTEs."""
-    defs = {"listing": (LISTING_SQL, LISTING_COLS), "unit": (UNIT_SQL, UNIT_COLS), "raw": (RAW_SQL, RAW_COLS)}
+    defs = {"listing": (LISTING_SQL, LISTING_COLS), "unit": (UNIT_SQL, UNIT_COLS), "raw": (RAW_SQL, RAW_COLS),
+            "model": (MODEL_SQL, MODEL_COLS)}
     ctes = [cte(n, *defs[n]) for n in names]
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+# ---------------------------------------------------------------------------
+# model: the 12-feature model table (one row per line item) + price (crore)
+# ---------------------------------------------------------------------------
+MODEL_COLS = [
+    ("listing_id", "l_orderkey * 10 + l_linenumber"),
+    ("property_type", "c_mktsegment"),
+    ("sector", "n_name"),
+    ("bedRoom", "CAST(p_size % 6 + 1 AS DOUBLE)"),
+    ("bathroom", "CAST(l_linenumber AS DOUBLE)"),
+    ("balcony", "CASE l_linenumber % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '3' ELSE '3+' END"),
+    ("agePossession", "o_orderpriority"),
+    ("built_up_area", "l_quantity * 100"),
+    ("servant_room", "CAST(p_partkey % 2 AS DOUBLE)"),
+    ("store_room", "CAST(l_suppkey % 2 AS DOUBLE)"),
+    ("furnishing_type", "CASE p_partkey % 3 WHEN 0 THEN 'unfurnished' WHEN 1 THEN 'semifurnished' ELSE 'furnished' END"),
+    ("luxury_category", "CASE WHEN p_size < 17 THEN 'Low' WHEN p_size < 34 THEN 'Medium' ELSE 'High' END"),
+    ("floor_category", "CASE WHEN l_linenumber <= 2 THEN 'Low Floor' WHEN l_linenumber <= 5 THEN 'Mid Floor' ELSE 'High Floor' END"),
+    ("price", "l_extendedprice / CAST(100000 AS DOUBLE)"),
+]
+
+MODEL_SQL = ("SELECT {cols} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey "
+             "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+
+MODEL_NUM = ["bedRoom", "bathroom", "built_up_area", "servant_room", "store_room"]
+MODEL_CAT = ["property_type", "sector", "balcony", "agePossession", "furnishing_type", "luxury_category",
+             "floor_category"]
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    p = table(spark, sf_dir, "part")
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    j = (li.join(p, li.l_partkey == p.p_partkey).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.selectExpr(*[f"{e} AS {a}" for a, e in MODEL_COLS])

@@ -1 +1,367 @@
-"""placeholder"""
+"""Registered queries for encoding, model fitting and evaluation (2.12-2.13).
+
+The arithmetic operators (E1, E3-E5, V1, V2, V6, V8-V10) have SQL
+oracles; fits (E6-E9, M*, V3-V5, V7) are checked by rows here and by
+unit tests on synthetic data with known answers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotwise.functions import rules
+from plotwise.functions import text as T
+from plotwise.operators import aggregates as A
+from plotwise.operators import encode as E
+from plotwise.operators import evaluate as V
+from plotwise.operators import models as M
+from plotwise.plans import fixtures as fx
+from plotwise.plans.registry import query
+
+SEED = 42
+
+
+# --- encoders with oracles -------------------------------------------------------------
+@query("e1_ordinal_encode", fx.with_views("""
+, cats AS (SELECT DISTINCT sector FROM listing WHERE nation_key < 20 AND sector IS NOT NULL),
+idx AS (SELECT sector, CAST(row_number() OVER (ORDER BY sector) - 1 AS INTEGER) AS i FROM cats)
+SELECT listing_id, coalesce(i, -1) AS sector_idx FROM listing LEFT JOIN idx ON listing.sector = idx.sector""", "listing"))
+def e1(spark, d):
+    l = fx.listing(spark, d).select("listing_id", "sector", "nation_key")
+    return E.ordinal_encode(l, ["sector"], fit_df=l.filter(F.col("nation_key") < 20)).select("listing_id", "sector_idx")
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query("e3_dummies", fx.with_views(
+    "SELECT listing_id, " + ", ".join(f"coalesce(CAST(property_type = '{v}' AS INTEGER), 0) AS property_type_{v}"
+                                      for v in _SEGMENTS[1:]) + " FROM listing", "listing"))
+def e3(spark, d):
+    l = fx.listing(spark, d).select("listing_id", "property_type")
+    return E.one_hot_drop_first(l, ["property_type"]).drop("property_type")
+
+
+@query("e4_target_encode", fx.with_views("""
+, prior AS (SELECT avg(price) AS p FROM listing),
+st AS (SELECT sector, avg(price) AS m, count(*) AS n FROM listing GROUP BY sector),
+enc AS (SELECT sector, (1.0 / (1.0 + exp(-(n - 20) / 10.0))) * m + (1 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) * p AS e
+        FROM st, prior)
+SELECT listing_id, round(coalesce(e, (SELECT p FROM prior)), 9) AS sector_te FROM listing LEFT JOIN enc
+ON listing.sector = enc.sector""", "listing"))
+def e4(spark, d):
+    l = fx.listing(spark, d).select("listing_id", "sector", "price")
+    out = E.target_encode(l, "sector", "price")
+    return out.select("listing_id", F.round("sector_te", 9).alias("sector_te"))
+
+
+@query("e5_standard_scale", fx.with_views("""
+SELECT unit_id, round(CASE WHEN stddev_pop(area) OVER () > 0 THEN (area - avg(area) OVER ()) / stddev_pop(area) OVER ()
+  ELSE 0 END, 9) AS area_z,
+  round(CASE WHEN stddev_pop(price_per_sqft) OVER () > 0
+  THEN (price_per_sqft - avg(price_per_sqft) OVER ()) / stddev_pop(price_per_sqft) OVER () ELSE 0 END, 9) AS price_per_sqft_z
+FROM unit""", "unit"))
+def e5(spark, d):
+    u = fx.unit(spark, d).select("unit_id", "area", "price_per_sqft")
+    out = E.standard_scale(u, ["area", "price_per_sqft"])
+    return out.select("unit_id", F.round("area_z", 9).alias("area_z"),
+                      F.round("price_per_sqft_z", 9).alias("price_per_sqft_z"))
+
+
+# --- fitted encoders and models (rows-only checks) ----------------------------------------
+def _prepared(spark, d):
+    """Model table with log1p(price) label and hash folds."""
+    mt = fx.model_table(spark, d).withColumn("label", F.log1p("price"))
+    return M.with_folds(mt, "listing_id", k=5, seed=SEED)
+
+
+def _features(train):
+    fit = E.column_transformer(fx.MODEL_NUM, ordinal_cols=["agePossession", "luxury_category", "floor_category"],
+                               onehot_cols=["property_type", "sector", "balcony", "furnishing_type"])
+    return fit(train, "label")
+
+
+@query("e6_column_transformer")
+def e6(spark, d):
+    mt = _prepared(spark, d)
+    transform, names = _features(mt)
+    return transform(mt).select("listing_id", "features", F.lit(len(names)).alias("n_features"))
+
+
+@query("e7_pca")
+def e7(spark, d):
+    mt = _prepared(spark, d)
+    transform, _ = _features(mt)
+    feats = E.standard_scale(transform(mt), fx.MODEL_NUM)
+    from pyspark.ml.feature import VectorAssembler
+    vec = VectorAssembler(inputCols=[c + "_z" for c in fx.MODEL_NUM], outputCol="zf").transform(feats)
+    model, k = E.pca_components(vec, "zf", 0.95)
+    return model.transform(vec).select("listing_id", "pca", F.lit(k).alias("k"))
+
+
+def _furnish_counts(spark, d):
+    r = fx.raw(spark, d)
+    items = ["Fan", "AC", "Light", "Stove"]
+    return r.select("listing_id", *[T.item_count("furnish_details", i).cast("double").alias(i) for i in items]), items
+
+
+@query("e8_kmeans_furnishing")
+def e8(spark, d):
+    counts, items = _furnish_counts(spark, d)
+    return E.kmeans_labels(counts, items, k=3, seed=SEED, out="furnishing_type").select("listing_id", "furnishing_type")
+
+
+@query("e9_elbow")
+def e9(spark, d):
+    counts, items = _furnish_counts(spark, d)
+    return E.elbow(counts, items, k_max=6, seed=SEED)
+
+
+@query("m1_split")
+def m1(spark, d):
+    train, test = M.split(fx.model_table(spark, d), "listing_id", 80, SEED)
+    return train.select("listing_id").withColumn("part", F.lit("train")).unionByName(
+        test.select("listing_id").withColumn("part", F.lit("test")))
+
+
+def _train_test(spark, d):
+    mt = _prepared(spark, d)
+    train, test = M.split(mt, "listing_id", 80, SEED)
+    transform, names = _features(train)
+    return transform(train), transform(test), names
+
+
+def _candidates(n_train):
+    return {
+        "linear": M.regressor("linear"),
+        "ridge": M.regressor("ridge", alpha=1.0, n=n_train),
+        "lasso": M.regressor("lasso", alpha=0.001, n=n_train),
+        "tree": M.regressor("tree", maxDepth=8),
+        "forest": M.regressor("forest", numTrees=20, maxDepth=8),
+        "boosting": M.regressor("boosting", maxIter=20, maxDepth=5),
+    }
+
+
+@query("m2_m5_m7_compare_models")
+def m7(spark, d):
+    train, test, _ = _train_test(spark, d)
+    train = train.cache()
+    n = train.count()
+    out = M.compare_models(_candidates(n), train, test)
+    return out
+
+
+@query("m3_ols_summary")
+def m3(spark, d):
+    mt = _prepared(spark, d)
+    train, _ = M.split(mt, "listing_id", 80, SEED)
+    fit = E.column_transformer(fx.MODEL_NUM, onehot_cols=["property_type"])
+    transform, names = fit(train, "label")
+    return M.ols_summary(transform(train), names)
+
+
+@query("m4_coefficient_table")
+def m4(spark, d):
+    train, _, names = _train_test(spark, d)
+    model = M.regressor("linear").fit(train)
+    return spark.createDataFrame(M.coefficient_table(model, names), "feature string, coef double, effect double")
+
+
+@query("m6_kfold_cv")
+def m6(spark, d):
+    train, _, _ = _train_test(spark, d)
+    _, res = M.cv_scores(M.regressor("forest", numTrees=10, maxDepth=6), train, "fold")
+    return spark.createDataFrame([(float(m), float(s)) for _, m, s in res], "cv_mean double, cv_std double")
+
+
+@query("m8_grid_search")
+def m8(spark, d):
+    from pyspark.ml.tuning import ParamGridBuilder
+    train, _, _ = _train_test(spark, d)
+    est = M.regressor("forest", numTrees=10)
+    grid = ParamGridBuilder().addGrid(est.maxDepth, [4, 8]).addGrid(est.minInstancesPerNode, [1, 5]).build()
+    _, res = M.cv_scores(est, train, "fold", grid=grid)
+    return spark.createDataFrame([(str(p), m, s) for p, m, s in res], "params string, cv_mean double, cv_std double")
+
+
+@query("m9_random_search")
+def m9(spark, d):
+    train, _, _ = _train_test(spark, d)
+    est = M.regressor("forest")
+    maps = M.random_param_maps(est, {"numTrees": [5, 10, 20], "maxDepth": [4, 6, 8], "featureSubsetStrategy":
+                                     ["onethird", "0.5", "all"]}, n_iter=4, seed=SEED)
+    _, res = M.cv_scores(est, train, "fold", grid=maps)
+    return spark.createDataFrame([(str(p), m, s) for p, m, s in res], "params string, cv_mean double, cv_std double")
+
+
+@query("m10_select_best")
+def m10(spark, d):
+    res = m9(spark, d).withColumn("model", F.lit("forest")).withColumn("size_mb", F.lit(1.0))
+    return M.select_best(res, exclude=["boosting"])
+
+
+@query("m11_refit_and_save")
+def m11(spark, d):
+    from plotwise.session import checkpoint_dir
+    mt = _prepared(spark, d)
+    transform, names = _features(mt)
+    full = transform(mt)
+    path = checkpoint_dir(spark).rstrip("/") + "/plotwise-model"
+    model = M.refit_and_save(M.regressor("forest", numTrees=10, maxDepth=6), full, path)
+    return V.score(model.transform(full), "prediction", "built_up_area").select(
+        "listing_id", "estimated_price_cr", "lower_bound_cr", "upper_bound_cr", "price_per_sqft")
+
+
+@query("v3_tree_importance")
+def v3(spark, d):
+    train, _, names = _train_test(spark, d)
+    model = M.regressor("forest", numTrees=10, maxDepth=6).fit(train)
+    return spark.createDataFrame(V.tree_importance(model, names), "feature string, importance double, share double")
+
+
+@query("v4_permutation_importance")
+def v4(spark, d):
+    mt = _prepared(spark, d)
+    transform, _ = _features(mt)
+    model = M.regressor("tree", maxDepth=6).fit(transform(mt))
+    return V.permutation_importance(model, mt, ["built_up_area", "bedRoom"], "listing_id", "label",
+                                    n_repeats=2, seed=SEED, assemble=lambda f: transform(f.drop("features")))
+
+
+@query("v5_rfe")
+def v5(spark, d):
+    mt = _prepared(spark, d)
+
+    def fit_fn(df, feats):
+        from pyspark.ml.feature import VectorAssembler
+        vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
+        return list(M.regressor("tree", maxDepth=5).fit(vec).featureImportances.toArray())
+
+    kept, ranking = V.rfe(fit_fn, mt, fx.MODEL_NUM, n_keep=2)
+    return spark.createDataFrame(sorted(ranking.items()), "feature string, rank int")
+
+
+@query("v7_ablation")
+def v7(spark, d):
+    mt = _prepared(spark, d)
+
+    def cv_fn(df, feats):
+        from pyspark.ml.feature import VectorAssembler
+        vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
+        _, res = M.cv_scores(M.regressor("linear"), vec, "fold")
+        return res[0][1]
+
+    return V.ablation(cv_fn, mt, fx.MODEL_NUM, ["built_up_area"])
+
+
+# --- evaluation with oracles ---------------------------------------------------------------
+_YP = ("ln(1 + l_extendedprice / CAST(100000 AS DOUBLE))",
+       "ln(1 + sqrt(l_quantity) * p_retailprice / CAST(100000 AS DOUBLE))")
+
+
+def _pairs(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    p = fx.table(spark, d, "part")
+    return li.join(p, li.l_partkey == p.p_partkey).selectExpr(
+        "l_orderkey * 10 + l_linenumber AS unit_id", f"{_YP[0]} AS label", f"{_YP[1]} AS prediction",
+        "l_quantity * 100 AS built_up_area")
+
+
+_PAIRS_SQL = (f", pairs AS (SELECT l_orderkey * 10 + l_linenumber AS unit_id, {_YP[0]} AS label, {_YP[1]} AS prediction, "
+              "l_quantity * 100 AS built_up_area FROM lineitem JOIN part ON l_partkey = p_partkey)")
+
+
+@query("v1_regression_metrics", "WITH " + _PAIRS_SQL[2:] + """
+, o AS (SELECT label AS y, prediction AS p, exp(label) - 1 AS yo, exp(prediction) - 1 AS po FROM pairs)
+SELECT count(*) AS n, round(1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM o)) * (y - (SELECT avg(y) FROM o))), 6) AS r2,
+  round(avg(abs(yo - po)), 6) AS mae, round(avg((yo - po) * (yo - po)), 6) AS mse,
+  round(avg(abs((yo - po) / nullif(yo, 0))) * 100, 6) AS mape, round(median(abs(yo - po)), 6) AS median_ae,
+  round(sqrt(avg((yo - po) * (yo - po))), 6) AS rmse,
+  round(1 - (1 - (1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM o)) * (y - (SELECT avg(y) FROM o)))))
+    * (count(*) - 1) / (count(*) - 12 - 1), 6) AS adj_r2 FROM o""")
+def v1(spark, d):
+    m = V.regression_metrics(_pairs(spark, d), "label", "prediction", n_features=12, log_target=True)
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ["r2", "mae", "mse", "mape", "median_ae", "rmse", "adj_r2"]])
+
+
+@query("v2_residual_histogram", "WITH " + _PAIRS_SQL[2:] + """
+, r AS (SELECT label - prediction AS residual FROM pairs),
+s AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r),
+b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50)),
+c AS (SELECT CAST(least(floor((residual - lo) / ((hi - lo) / CAST(50 AS DOUBLE))), 49) AS INTEGER) AS bin, count(*) AS cnt
+      FROM r, s WHERE residual IS NOT NULL GROUP BY 1)
+SELECT b.bin, round(lo + b.bin * ((hi - lo) / CAST(50 AS DOUBLE)), 6) AS "left",
+       round(lo + (b.bin + 1) * ((hi - lo) / CAST(50 AS DOUBLE)), 6) AS "right", coalesce(cnt, 0) AS count
+FROM b LEFT JOIN c ON b.bin = c.bin, s""")
+def v2(spark, d):
+    h = V.residual_histogram(V.residuals(_pairs(spark, d)), 50)
+    return h.select("bin", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "count")
+
+
+_IMP = ["price", "area", "bedRoom", "discount"]
+
+
+def _v6_sql():
+    t = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, avg({c}) AS a, stddev_samp({c}) AS s, CAST(max({c}) AS DOUBLE) AS m "
+                             f"FROM unit" for c in _IMP)
+    return fx.with_views(f"""
+, t AS ({t}),
+n AS (SELECT feature, a / (SELECT sum(a) FROM t) AS a, s / (SELECT sum(s) FROM t) AS s, m / (SELECT sum(m) FROM t) AS m FROM t)
+SELECT feature, round(a, 6) AS mean_value, round(s, 6) AS std_value, round(m, 6) AS max_value,
+       round((a + s + m) / 3, 6) AS consensus FROM n""", "unit")
+
+
+@query("v6_importance_consensus", _v6_sql())
+def v6(spark, d):
+    from plotwise.plans.q_prep import _imp_tables
+    t1, t2, t3 = _imp_tables(fx.unit(spark, d))
+    out = V.importance_consensus([t1, t2, t3], "feature")
+    return out.select("feature", *[F.round(c, 6).alias(c) for c in ["mean_value", "std_value", "max_value", "consensus"]])
+
+
+@query("v8_score", "WITH " + _PAIRS_SQL[2:] + """
+SELECT unit_id, round(exp(prediction) - 1, 4) AS estimated_price_cr, round((exp(prediction) - 1) * 0.87, 4) AS lower_bound_cr,
+  round((exp(prediction) - 1) * 1.13, 4) AS upper_bound_cr,
+  round((exp(prediction) - 1) * CAST(10000000 AS DOUBLE) / nullif(built_up_area, 0), 2) AS price_per_sqft FROM pairs""")
+def v8(spark, d):
+    out = V.score(_pairs(spark, d), "prediction", "built_up_area")
+    return out.select("unit_id", "estimated_price_cr", "lower_bound_cr", "upper_bound_cr", "price_per_sqft")
+
+
+@query("v9_validate_input", fx.with_views("""
+SELECT listing_id, coalesce(bedRoom BETWEEN 1 AND 6, false) AS ok_bedRoom,
+  coalesce(bathroom BETWEEN 1 AND 6, false) AS ok_bathroom,
+  coalesce(built_up_area BETWEEN 300 AND 10000, false) AS ok_built_up_area,
+  coalesce(bedRoom BETWEEN 1 AND 6, false) AND coalesce(bathroom BETWEEN 1 AND 6, false)
+  AND coalesce(built_up_area BETWEEN 300 AND 10000, false) AS valid FROM model""", "model"))
+def v9(spark, d):
+    mt = fx.model_table(spark, d)
+    out = V.validate_requests(mt, rules.REQUEST_RANGES, required=[c for c in fx.MODEL_NUM + fx.MODEL_CAT])
+    return out.select("listing_id", "ok_bedRoom", "ok_bathroom", "ok_built_up_area", "valid")
+
+
+@query("v10_dataset_stats", fx.with_views("""
+SELECT count(*) AS rows, 9 AS n_columns, count(DISTINCT sector) AS n_keys, round(avg(price), 6) AS avg_price,
+  round(median(price), 6) AS median_price, min(price) AS min_price, max(price) AS max_price,
+  CAST((SELECT count(*) FILTER (WHERE listing_id IS NULL) + count(*) FILTER (WHERE price IS NULL)
+   + count(*) FILTER (WHERE sector IS NULL) + count(*) FILTER (WHERE property_type IS NULL)
+   + count(*) FILTER (WHERE age_text IS NULL) + count(*) FILTER (WHERE status IS NULL)
+   + count(*) FILTER (WHERE cust_id IS NULL) + count(*) FILTER (WHERE nation_key IS NULL)
+   + count(*) FILTER (WHERE region_key IS NULL) FROM listing) AS BIGINT) AS n_nulls,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM listing)) AS BIGINT) AS n_duplicates
+FROM listing""", "listing"))
+def v10(spark, d):
+    out = V.dataset_stats(fx.listing(spark, d), "price", "sector")
+    return out.select("rows", F.col("n_columns").cast("int").alias("n_columns"), "n_keys",
+                      F.round("avg_price", 6).alias("avg_price"), F.round("median_price", 6).alias("median_price"),
+                      "min_price", "max_price", "n_nulls", "n_duplicates")
+
+
+@query("a12_v2_describe_residuals", "WITH " + _PAIRS_SQL[2:] + """
+SELECT count(r) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS min,
+  round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.75), 6) AS p75,
+  round(max(r), 6) AS max FROM (SELECT label - prediction AS r FROM pairs)""")
+def v2b(spark, d):
+    r = V.residuals(_pairs(spark, d))
+    out = A.describe(r, "residual")
+    return out.select("count", *[F.round(c, 6).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
