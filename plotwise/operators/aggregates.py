@@ -157,10 +157,14 @@ def rollup_sum(df: DataFrame, parent: str, child: str, measure: str) -> DataFram
 
 
 def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
-    """One wide aggregate over all columns, unpivoted to one row per column.
-
-    Numeric stats are null for string columns; ``top`` is the most frequent
-    value (ties -> smallest) for every column.
+    """Per column: count, nulls, distinct values, most frequent value
+    (ties -> smallest) and, for numeric columns, mean/std/min/max/quartiles.
+
+    One plain aggregate carries every non-distinct statistic; each column's
+    distinct count and top value come from its own value-count aggregate
+    (map-side combined, one row per distinct value), read back as scalar
+    subqueries. Several exact distinct counts in one aggregate would
+    instead copy every row once per column (Expand).
     """
     cols = cols or df.columns
     num = {f.name for f in df.schema.fields if f.dataType.typeName() in
@@ -168,9 +172,7 @@ def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     exprs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        exprs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"),
-                  (F.approx_count_distinct(x) if approx else F.countDistinct(x)).alias(f"d{i}"),
-                  F.mode(x, True).cast("string").alias(f"t{i}")]
+        exprs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}")]
         if c in num:
             exprs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                       F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}"),
@@ -178,14 +180,21 @@ def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     row = df.agg(*exprs)
     parts = []
     for i, c in enumerate(cols):
+        vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("cnt"))
+        if approx:
+            n_distinct = df.agg(F.approx_count_distinct(c)).scalar()
+        else:
+            n_distinct = vc.select(F.count(F.lit(1))).scalar()
+        # most frequent value, ties -> smallest (a top-1 over the value counts)
+        top = vc.orderBy(F.desc("cnt"), F.asc(c)).limit(1).select(F.col(c).cast("string")).scalar()
         if c in num:
             vals = [F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"),
                     F.col(f"q{i}")[0], F.col(f"q{i}")[1], F.col(f"q{i}")[2]]
         else:
             vals = [F.lit(None).cast("double")] * 7
         parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"),
-                              F.col(f"z{i}").alias("nulls"), F.col(f"d{i}").alias("n_distinct"),
-                              F.col(f"t{i}").alias("top"),
+                              F.col(f"z{i}").alias("nulls"), n_distinct.alias("n_distinct"),
+                              top.alias("top"),
                               *[v.cast("double").alias(n) for v, n in
                                 zip(vals, ["mean", "std", "min", "max", "p25", "p50", "p75"])]))
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")

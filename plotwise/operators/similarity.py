@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions import rules
 from plotwise.functions.text import TOKEN_PATTERN, bigrams, tokens
+from plotwise.session import cut_lineage
 
 
 _STOP_WORDS: list[str] | None = None
@@ -47,9 +48,13 @@ def terms(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max:
           pattern: str = TOKEN_PATTERN) -> DataFrame:
     """Long ``(id, term)`` rows: lower-cased tokens, stop words removed
     *before* forming bigrams (as the reference's vectoriser does)."""
-    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else default_stop_words())])
-    toks = F.filter(tokens(text_col, pattern), lambda t: ~F.array_contains(stops, t))
-    t = df.select(F.col(id_col), toks.alias("__t"))
+    stops = list(stop_words if stop_words is not None else default_stop_words())
+    # ``isin`` over literals is planned as InSet (a hash set): O(1) per token,
+    # where array_contains on a literal array scans the whole list per token
+    toks = F.filter(tokens(text_col, pattern), lambda t: ~t.isin(stops)) if stops else tokens(text_col, pattern)
+    # the explicit null filter keeps every consumer of this subtree identical,
+    # so the planner reuses one tokenisation/aggregation exchange for all of them
+    t = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), toks.alias("__t"))
     grams = F.col("__t")
     if ngram_max >= 2:
         grams = F.concat(F.col("__t"), bigrams(F.col("__t")))
@@ -57,21 +62,28 @@ def terms(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max:
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max: int = 2,
-          pattern: str = TOKEN_PATTERN) -> DataFrame:
+          pattern: str = TOKEN_PATTERN, materialize: bool = True) -> DataFrame:
     """Smoothed tf-idf with an L2 row norm, long form ``(id, term, weight)``.
 
     tf = raw count; idf = ln((1+n)/(1+df)) + 1; weight = tf*idf / ||row||.
     Shuffles: (id, term) counts and term document-frequencies are partial
-    aggregates; the row norm is a window per document (bounded by one text).
+    aggregates; row norms are a grouped sum joined back on the id.
     """
     n_docs = df.select(F.count(F.lit(1))).scalar()
     tf = terms(df, id_col, text_col, stop_words, ngram_max, pattern).groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("tf"))
+    if materialize:
+        # tf feeds three consumers (document frequency, weights, norms) whose
+        # pruned plans differ, so the planner cannot share one exchange: write
+        # it once to the shared checkpoint folder instead of tokenising 3x
+        tf = cut_lineage(tf)
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(dfreq, on="term").select(
         id_col, "term", (F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    # row norms: one grouped sum per document joined back (AQE broadcasts the
+    # norms while they are small and falls back to a sort-merge join beyond)
+    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("__norm"))
+    return w.join(norms, on=id_col).select(id_col, "term", (F.col("raw") / F.col("__norm")).alias("weight"))
 
 
 def sparse_scores(vectors: DataFrame, id_col: str, query_id, key: str = "term",

@@ -15,6 +15,7 @@ from plotwise.functions import text as T
 from plotwise.operators import similarity as R
 from plotwise.plans import fixtures as fx
 from plotwise.plans.registry import query
+from plotwise.session import cut_lineage
 
 QUERY_DOC = 1
 QUERY_PART = 1
@@ -45,7 +46,8 @@ def _with(*ctes: str) -> str:
 
 # --- R1 / R2 / R7 on documents ----------------------------------------------------
 def doc_tfidf(spark, d):
-    return R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text")
+    """The document index: tf-idf vectors, written once to the checkpoint folder."""
+    return cut_lineage(R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text"))
 
 
 @query("r1_tfidf", _with(tfidf_sql("documents", "doc_id", "text")) +
@@ -84,7 +86,7 @@ def r7(spark, d):
 # --- part views ----------------------------------------------------------------------
 def part_facilities(spark, d):
     """Facilities view: tf-idf cosine of the part names."""
-    v = R.tfidf(fx.table(spark, d, "part"), "p_partkey", "p_name")
+    v = cut_lineage(R.tfidf(fx.table(spark, d, "part"), "p_partkey", "p_name"))
     return R.sparse_scores(v, "p_partkey", QUERY_PART)
 
 
