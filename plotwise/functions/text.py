@@ -14,11 +14,13 @@ from plotwise.functions import rules
 from plotwise.functions.numeric import col_, half_even, safe_div
 
 # Python's str.strip() removes any whitespace, Spark's trim() only spaces.
-_WS_EDGES = r"^\s+|\s+$"
+# The characters Java's \s matches; trimming them equals the regex strip.
+_WS_CHARS = " \t\n\r\x0b\x0c"
 
 
 def strip_ws(c) -> Column:
-    return F.regexp_replace(col_(c), _WS_EDGES, "")
+    """Python ``str.strip()`` for ASCII whitespace, without a regex."""
+    return F.trim(col_(c), F.lit(_WS_CHARS))
 
 
 def first_token(c, sep: str = " ") -> Column:
@@ -190,26 +192,49 @@ def _price_num(part: Column) -> Column:
 
 
 def config_facts(detail: Column) -> dict:
-    """T16 per configuration: building type, area low/high, price low/high."""
+    """T16 per configuration: building type, area low/high, price low/high
+    (single-expression form; ``config_facts_df`` stages the same rules)."""
     area = F.coalesce(detail.getField("area"), F.lit(""))
     ap = F.split(area, "-")
     a0, a1 = _area_num(F.get(ap, 0)), _area_num(F.get(ap, 1))
-    one = F.size(ap) == 1
-    two = F.size(ap) == 2
-    two_ok = two & a0.isNotNull() & a1.isNotNull()
-    area_low = F.when(one, a0).when(two_ok, a0)
-    area_high = F.when(one, a0).when(two_ok, a1)
-    pr = F.coalesce(detail.getField("price-range"), F.lit(""))
-    pp = F.split(pr, "-")
+    return _facts(detail.getField("building_type"), F.size(ap), a0, a1,
+                  F.split(F.coalesce(detail.getField("price-range"), F.lit("")), "-"))
+
+
+def _facts(building_type, n_area, a0, a1, pp) -> dict:
+    one = n_area == 1
+    two_ok = (n_area == 2) & a0.isNotNull() & a1.isNotNull()
     p0, p1 = _price_num(F.get(pp, 0)), _price_num(F.get(pp, 1))
     p_ok = (F.size(pp) == 2) & p0.isNotNull() & p1.isNotNull()
     return {
-        "building_type": detail.getField("building_type"),
-        "area_low": area_low, "area_high": area_high,
+        "building_type": building_type,
+        "area_low": F.when(one, a0).when(two_ok, a0), "area_high": F.when(one, a0).when(two_ok, a1),
         "price_low": F.when(p_ok, p0), "price_high": F.when(p_ok, p1),
     }
 
 
+def config_facts_df(df, struct_col: str, keep) -> "DataFrame":
+    """T16 on a DataFrame: parse each part once in its own projection, then
+    apply the rules, so no string function is evaluated twice per row."""
+    v = F.col(struct_col)
+    s1 = df.select(*keep, v.getField("building_type").alias("building_type"),
+                   F.split(F.coalesce(v.getField("area"), F.lit("")), "-").alias("__ap"),
+                   F.split(F.coalesce(v.getField("price-range"), F.lit("")), "-").alias("__pp"))
+    s2 = s1.select(*keep, "building_type", F.size("__ap").alias("__na"),
+                   _area_num(F.get(F.col("__ap"), 0)).alias("__a0"), _area_num(F.get(F.col("__ap"), 1)).alias("__a1"),
+                   F.size("__pp").alias("__np"), F.get(F.col("__pp"), 0).alias("__pp0"),
+                   F.get(F.col("__pp"), 1).alias("__pp1"))
+    s3 = s2.select(*keep, "building_type", "__na", "__a0", "__a1", "__np",
+                   _price_num(F.col("__pp0")).alias("__p0"), _price_num(F.col("__pp1")).alias("__p1"))
+    one = F.col("__na") == 1
+    two_ok = (F.col("__na") == 2) & F.col("__a0").isNotNull() & F.col("__a1").isNotNull()
+    p_ok = (F.col("__np") == 2) & F.col("__p0").isNotNull() & F.col("__p1").isNotNull()
+    return s3.select(*keep, "building_type",
+                     F.when(one, F.col("__a0")).when(two_ok, F.col("__a0")).alias("area_low"),
+                     F.when(one, F.col("__a0")).when(two_ok, F.col("__a1")).alias("area_high"),
+                     F.when(p_ok, F.col("__p0")).alias("price_low"), F.when(p_ok, F.col("__p1")).alias("price_high"))
+
+
 def distance_to_meters(c) -> Column:
     """``1.5 Km`` -> 1500, ``800 Meter`` -> 800, else null."""
     x = col_(c)

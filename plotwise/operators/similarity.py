@@ -66,11 +66,16 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max:
     """Smoothed tf-idf with an L2 row norm, long form ``(id, term, weight)``.
 
     tf = raw count; idf = ln((1+n)/(1+df)) + 1; weight = tf*idf / ||row||.
-    Shuffles: (id, term) counts and term document-frequencies are partial
-    aggregates; row norms are a grouped sum joined back on the id.
+    Shuffles: the texts by id (the (id, term) counts then need none), term
+    document frequencies (partial aggregate), and the row norms (a grouped
+    sum joined back on the id).
     """
     n_docs = df.select(F.count(F.lit(1))).scalar()
-    tf = terms(df, id_col, text_col, stop_words, ngram_max, pattern).groupBy(id_col, "term").agg(
+    # Shuffle the raw texts by id once: hash partitioning on the id already
+    # satisfies the (id, term) aggregate, so the exploded grams (several times
+    # the text volume) are counted in place and never cross the network.
+    by_doc = df.select(id_col, text_col).repartition(id_col)
+    tf = terms(by_doc, id_col, text_col, stop_words, ngram_max, pattern).groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("tf"))
     if materialize:
         # tf feeds three consumers (document frequency, weights, norms) whose

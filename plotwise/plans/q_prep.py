@@ -413,8 +413,7 @@ pd AS (SELECT listing_id, config, building_type,
 
 def price_details_long(spark, d):
     r = fx.raw(spark, d).select("listing_id", F.explode(T.price_details_map("price_details")).alias("config", "v"))
-    facts = T.config_facts(F.col("v"))
-    return r.select("listing_id", "config", *[c.alias(k) for k, c in facts.items()])
+    return T.config_facts_df(r, "v", ["listing_id", "config"])
 
 
 @query("t16_price_details", fx.with_views(_PD_LONG + """
