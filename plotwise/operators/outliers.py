@@ -7,10 +7,11 @@ as a broadcast when it measures the statistics small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions import rules
 from plotwise.functions.numeric import half_even, price_per_sqft, safe_div
+from plotwise.session import cut_lineage
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
@@ -90,18 +91,40 @@ def mode_impute(df: DataFrame, col: str, passes, placeholder: str = rules.AGE_UN
 
     Each pass sees the previous result; the mode counts the placeholder too
     (so it may change nothing); ties go to the smallest value; a row with a
-    null key, or a group without a non-null value, becomes null. One grouped
-    ``mode`` (map-side combined) and one left join per pass instead of the
-    reference's per-row rescans.
+    null key, or a group without a non-null value, becomes null.
+
+    A pass only moves the placeholder rows of a group to one value, so every
+    pass can be replayed exactly on the value counts per (all pass keys,
+    original value) -- a table bounded by the key and value domains, not by
+    rows. The big table is read once to count and joined once (null-safe on
+    the keys) to the resulting (keys -> final value) map: one aggregate and
+    one join for any number of passes. On the small count table each pass is
+    two window aggregates (count per group value, then the arg-max per
+    group), so the plan grows linearly with the passes.
     """
-    out = df
+    all_keys = list(dict.fromkeys(k for p in passes for k in p))
+    counts = cut_lineage(df.groupBy(*all_keys, F.col(col).alias("__orig")).agg(F.count(F.lit(1)).alias("__n"))
+                         .withColumn("__cur", F.col("__orig")))
     for keys in passes:
         keys = list(keys)
-        modes = out.groupBy(*keys).agg(F.mode(col, True).alias("__mode"))
-        out = out.join(modes, on=keys, how="left")
-        # null keys never match the equi-join, so __mode is null there
-        out = out.withColumn(col, F.when(F.col(col) == placeholder, F.col("__mode")).otherwise(F.col(col))).drop("__mode")
-    return out
+        cur = F.col("__cur")
+        per_value = F.sum(F.when(cur.isNotNull(), F.col("__n"))).over(Window.partitionBy(*keys, "__cur"))
+        counts = counts.withColumn("__gv", per_value)
+        # mode = value with the highest group count, ties -> smallest value
+        order = F.struct((-F.col("__gv")).alias("c"), cur.alias("v"))
+        mode = F.min_by(F.when(cur.isNotNull(), cur), F.when(cur.isNotNull(), order)).over(Window.partitionBy(*keys))
+        any_null_key = F.lit(False)
+        for k in keys:
+            any_null_key = any_null_key | F.col(k).isNull()
+        # a null key never matches its group in the reference, so it gets null
+        mode = F.when(any_null_key, None).otherwise(mode)
+        counts = counts.withColumn("__cur", F.when(cur == placeholder, mode).otherwise(cur)).drop("__gv")
+    final = counts.filter(F.col("__orig") == placeholder).select(*[F.col(k).alias(f"__k_{k}") for k in all_keys],
+                                                                 F.col("__cur").alias("__final"))
+    cond = [df[k].eqNullSafe(final[f"__k_{k}"]) for k in all_keys]
+    out = df.join(final, on=cond, how="left")
+    out = out.withColumn(col, F.when(F.col(col) == placeholder, F.col("__final")).otherwise(F.col(col)))
+    return out.drop("__final", *[f"__k_{k}" for k in all_keys])
 
 
 def low_quantile_rows(df: DataFrame, num: str = "area", den: str = "bedRoom", q: float = 0.02,
