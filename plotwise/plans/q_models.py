@@ -42,6 +42,25 @@ def e3(spark, d):
     return E.one_hot_drop_first(l, ["property_type"]).drop("property_type")
 
 
+def _e2_sql():
+    cats = "(SELECT DISTINCT sector FROM listing WHERE nation_key < 20)"
+    return fx.with_views(f"""
+, c AS (SELECT sector, row_number() OVER (ORDER BY sector) AS rn FROM {cats})
+SELECT listing_id, CAST(coalesce(list_position((SELECT list(sector ORDER BY sector) FROM c WHERE rn > 1),
+  l.sector), 0) AS INTEGER) AS hot_position FROM listing l""", "listing")
+
+
+@query("e2_one_hot_unknown_zero", _e2_sql())
+def e2(spark, d):
+    """Drop-first one-hot fitted on part of the data: the position of the hot
+    column (1-based), 0 when all columns are zero (first or unseen category)."""
+    l = fx.listing(spark, d).select("listing_id", "sector", "nation_key")
+    cats = E.categories(l.filter(F.col("nation_key") < 20), "sector")
+    cols = E.dummy_columns("sector", cats)
+    hot = F.array(*[c for c in cols.values()])
+    return l.select("listing_id", F.coalesce(F.array_position(hot, 1).cast("int"), F.lit(0)).alias("hot_position"))
+
+
 @query("e4_target_encode", fx.with_views("""
 , prior AS (SELECT avg(price) AS p FROM listing),
 st AS (SELECT sector, avg(price) AS m, count(*) AS n FROM listing GROUP BY sector),
@@ -196,7 +215,21 @@ def m9(spark, d):
 
 @query("m10_select_best")
 def m10(spark, d):
-    res = m9(spark, d).withColumn("model", F.lit("forest")).withColumn("size_mb", F.lit(1.0))
+    """Best CV score among candidates whose saved model fits the size limit,
+    boosting excluded (as the reference's selection does)."""
+    from plotwise.session import checkpoint_dir
+    train, _, _ = _train_test(spark, d)
+    train = train.cache()
+    rows = []
+    base = checkpoint_dir(spark).rstrip("/")
+    for name, est in {"forest": M.regressor("forest", numTrees=10, maxDepth=6),
+                      "tree": M.regressor("tree", maxDepth=6), "linear": M.regressor("linear"),
+                      "boosting": M.regressor("boosting", maxIter=5, maxDepth=3)}.items():
+        model, res = M.cv_scores(est, train, "fold")
+        size = M.model_size_mb(model.bestModel, f"{base}/plotwise-m10-{name}")
+        rows.append((name, res[0][1], res[0][2], size))
+    train.unpersist()
+    res = spark.createDataFrame(rows, "model string, cv_mean double, cv_std double, size_mb double")
     return M.select_best(res, exclude=["boosting"])
 
 
