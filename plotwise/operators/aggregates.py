@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plotwise.functions import numeric
 from plotwise.functions.recode import cut_left_closed
+from plotwise.operators.quantiles import grouped_quantiles
 
 
 def _q(col: str, q, approx: bool, accuracy: int = 10000) -> Column:
@@ -41,12 +42,18 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False, out: str = "c
 def kpis(df: DataFrame, price: str = "price", key: str = "sector", area: str = "built_up_area",
          approx: bool = False) -> DataFrame:
     """A3: rows, median price (2 dp), distinct keys, median area, in one pass."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_properties"),
-        F.round(_q(price, 0.5, approx), 2).alias("median_price"),
-        F.countDistinct(key).alias("n_sectors"),
-        _q(area, 0.5, approx).alias("median_area"),
-    )
+    if approx:
+        return df.agg(
+            F.count(F.lit(1)).alias("total_properties"),
+            F.round(_q(price, 0.5, approx), 2).alias("median_price"),
+            F.countDistinct(key).alias("n_sectors"),
+            _q(area, 0.5, approx).alias("median_area"),
+        )
+    mp = grouped_quantiles(df, [], price, [0.5]).select("q0").scalar()
+    ma = grouped_quantiles(df, [], area, [0.5]).select("q0").scalar()
+    n_keys = df.select(key).filter(F.col(key).isNotNull()).distinct().select(F.count(F.lit(1))).scalar()
+    return df.agg(F.count(F.lit(1)).alias("total_properties")).select(
+        "total_properties", F.round(mp, 2).alias("median_price"), n_keys.alias("n_sectors"), ma.alias("median_area"))
 
 
 def group_mean(df: DataFrame, keys, measures) -> DataFrame:
@@ -54,9 +61,21 @@ def group_mean(df: DataFrame, keys, measures) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in measures])
 
 
-def group_median(df: DataFrame, keys, measures, approx: bool = False) -> DataFrame:
-    """A5: median per group (exact by default)."""
-    return df.groupBy(*keys).agg(*[_q(m, 0.5, approx).alias(f"median_{m}") for m in measures])
+def group_median(df: DataFrame, keys, measures, approx: bool = False, method: str = "bounded") -> DataFrame:
+    """A5: median per group.
+
+    ``bounded`` (default): exact, O(accuracy) memory per group even for a
+    hot group of continuous values (``quantiles.grouped_quantiles``);
+    ``builtin``: Spark's exact ``percentile`` (memory = distinct values per
+    group); ``approx=True``: ``percentile_approx``.
+    """
+    if approx or method == "builtin":
+        return df.groupBy(*keys).agg(*[_q(m, 0.5, approx).alias(f"median_{m}") for m in measures])
+    out = None
+    for m in measures:
+        part = grouped_quantiles(df, keys, m, [0.5], out_prefix=f"__{m}_").withColumnRenamed(f"__{m}_0", f"median_{m}")
+        out = part if out is None else out.join(part, on=list(keys), how="full_outer")
+    return out
 
 
 def crosstab(df: DataFrame, row: str, col: str, values) -> DataFrame:
@@ -70,19 +89,27 @@ def pivot_mean(df: DataFrame, row: str, col: str, measure: str, values) -> DataF
     return df.groupBy(row).pivot(col, values).agg(F.avg(measure))
 
 
-def describe(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, col: str, approx: bool = False, method: str = "bounded") -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max."""
-    qs = _q(col, [0.25, 0.5, 0.75], approx)
-    return df.agg(
-        F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), qs.alias("__q"), F.max(col).alias("max"),
-    ).select("count", "mean", "std", "min", F.col("__q")[0].alias("p25"),
-             F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max")
+    moments = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                     F.min(col).alias("min"), F.max(col).alias("max"))
+    if approx or method == "builtin":
+        qs = df.agg(_q(col, [0.25, 0.5, 0.75], approx).alias("__q")).select(
+            F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"))
+    else:
+        qs = grouped_quantiles(df, [], col, [0.25, 0.5, 0.75]).select(
+            F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return moments.select("count", "mean", "std", "min", qs.select("p25").scalar().alias("p25"),
+                          qs.select("p50").scalar().alias("p50"), qs.select("p75").scalar().alias("p75"), "max")
 
 
-def quantiles(df: DataFrame, col: str, qs, approx: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, col: str, qs, approx: bool = False, method: str = "bounded") -> DataFrame:
     """One row per requested quantile (linear interpolation)."""
-    arr = df.agg(_q(col, list(qs), approx).alias("v"))
+    if approx or method == "builtin":
+        arr = df.agg(_q(col, list(qs), approx).alias("v"))
+    else:
+        arr = grouped_quantiles(df, [], col, list(qs)).select(F.array(*[F.col(f"q{i}") for i in range(len(qs))])
+                                                           .alias("v"))
     return arr.select(F.posexplode("v").alias("i", "value")).select(
         F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1).alias("q"), "value")
 
@@ -137,11 +164,13 @@ def box_stats(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
     by = list(by or [])
     x = F.col(col)
     if by:
-        q = df.groupBy(*by).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("__q"))
+        q = grouped_quantiles(df, by, col, [0.25, 0.5, 0.75]).select(
+            *by, F.array("q0", "q1", "q2").alias("__q"))
         joined = df.join(q, on=by, how="inner")
     else:
         # one global set of quartiles: a scalar subquery, no join at all
-        joined = df.withColumn("__q", df.agg(F.percentile(col, [0.25, 0.5, 0.75])).scalar())
+        qv = grouped_quantiles(df, [], col, [0.25, 0.5, 0.75]).select(F.array("q0", "q1", "q2")).scalar()
+        joined = df.withColumn("__q", qv)
     joined = joined.withColumns({"q1": F.col("__q")[0], "median": F.col("__q")[1], "q3": F.col("__q")[2]})
     joined = joined.withColumn("lo_fence", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn(
         "hi_fence", F.col("q3") + k * (F.col("q3") - F.col("q1")))

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions import rules
 from plotwise.functions.numeric import half_even, price_per_sqft, safe_div
+from plotwise.operators.quantiles import grouped_quantiles
 from plotwise.session import cut_lineage
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """Q1: one row ``q1, q3, iqr, lower, upper``."""
-    q = df.agg(F.percentile(col, [0.25, 0.75]).alias("q"))
-    return q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn(
+    """Q1: one row ``q1, q3, iqr, lower, upper`` (exact, bounded memory)."""
+    q = grouped_quantiles(df, [], col, [0.25, 0.75])
+    return q.select(F.col("q0").alias("q1"), F.col("q1").alias("q3")).withColumn(
         "iqr", F.col("q3") - F.col("q1")).withColumn(
         "lower", F.col("q1") - k * F.col("iqr")).withColumn("upper", F.col("q3") + k * F.col("iqr"))
 

@@ -186,3 +186,19 @@ def test_no_cartesian_or_python_udf_in_plans(spark, sf_small):
 def test_scan_prunes_columns(spark, sf_small):
     plan = fx.listing(spark, sf_small).select("listing_id", "price")._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan.split("ReadSchema")[1] if "ReadSchema" in plan else True
+
+
+def test_bounded_quantiles_equal_builtin(spark):
+    from plotwise.operators.quantiles import grouped_quantiles
+    df = spark.range(20000).select(
+        (F.col("id") % 7).alias("g"),
+        F.when(F.col("id") % 7 == 0, F.col("id") % 13).otherwise(F.sin(F.col("id")) * 1000).alias("x"))
+    df = df.unionByName(spark.range(50000).select(F.lit(99).cast("long").alias("g"), (F.rand(3) * 1e6).alias("x")))
+    qs = [0.0, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(qs))] for r in grouped_quantiles(df, ["g"], "x", qs, accuracy=500).collect()}
+    exp = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", qs).alias("p")).collect()}
+    assert set(got) == set(exp)
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], rel=1e-12, abs=1e-9), g
+    glob = grouped_quantiles(df, [], "x", [0.5], accuracy=500).first()[0]
+    assert glob == pytest.approx(df.agg(F.median("x")).first()[0], rel=1e-12)
