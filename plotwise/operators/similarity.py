@@ -131,7 +131,10 @@ def standardised_cosine(long_df: DataFrame, entities: DataFrame, id_col: str, ke
     """Cosine of the query entity against all entities on standardised
     features, exact, without materialising the dense matrix."""
     stats, deltas = standardise_long(long_df, entities, id_col, key, value, default)
-    s0 = stats.select(F.sum(F.col("z0") * F.col("z0"))).scalar()
+    # the deltas feed four consumers (norms, query row, overlap, z0 sum):
+    # written once to the checkpoint folder rather than rebuilt per consumer
+    deltas = cut_lineage(deltas)
+    s0 = deltas.select(key, "z0").dropDuplicates([key]).select(F.sum(F.col("z0") * F.col("z0"))).scalar()
     per = deltas.groupBy(id_col).agg(F.sum(F.col("d") * F.col("z0")).alias("p"),
                                      F.sum(F.col("d") * F.col("d")).alias("qq"))
     qd = deltas.filter(F.col(id_col) == query_id).select(key, F.col("d").alias("__dq"))
