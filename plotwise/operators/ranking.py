@@ -49,7 +49,7 @@ def rank_of_key(df: DataFrame, key: str, measure: str) -> DataFrame:
     means = df.groupBy(key).agg(F.avg(measure).alias("mean_value"))
     w = Window.orderBy(F.desc("mean_value"), F.asc(key))
     return means.withColumn("rank", F.row_number().over(w)).withColumn(
-        "n_keys", F.count(F.lit(1)).over(Window.partitionBy()))
+        "n_keys", means.select(F.count(F.lit(1))).scalar())
 
 
 def rank_lookup(ranks: DataFrame, key: str, value) -> DataFrame:
@@ -59,21 +59,54 @@ def rank_lookup(ranks: DataFrame, key: str, value) -> DataFrame:
 
 
 def cumulative_share(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
-    """Value counts in descending order with their running share."""
+    """Value counts in descending order with their running share.
+
+    With ``n`` (the head the reference shows) the top n are taken first by a
+    distributed top-k, so the running window sees n rows only.
+    """
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = counts.select(F.sum("count")).scalar()
-    w = Window.orderBy(F.desc("count"), F.asc(col)).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("cum_share", F.sum("count").over(w) / total)
-    out = out.orderBy(F.desc("count"), F.asc(col))
-    return out.limit(n) if n else out
+    order = [F.desc("count"), F.asc(col)]
+    if n:
+        counts = counts.orderBy(*order).limit(n)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("cum_share", F.sum("count").over(w) / total).orderBy(*order)
+
+
+def running_total(df: DataFrame, order_col: str, value_col: str, out: str, buckets: int = 256) -> DataFrame:
+    """Running sum of ``value_col`` in ascending ``order_col`` (distinct, numeric
+    order keys), without a single-partition window.
+
+    Equi-depth bucket bounds come from one sketch (a scalar subquery); each
+    row's bucket is the number of bounds below it; the running sum is a window
+    per bucket (about 1/buckets of the rows each) plus the total of all
+    earlier buckets (a window over at most ``buckets`` rows). The bounds only
+    decide where work is split, never the result.
+    """
+    probes = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.array_distinct(F.percentile_approx(F.col(order_col).cast("double"), probes, 10 * buckets))
+                    ).scalar()
+    x = F.col(order_col).cast("double")
+    with_b = df.withColumn("__bounds", bounds).withColumn(
+        "__b", F.size(F.filter(F.col("__bounds"), lambda b: b < x))).drop("__bounds")
+    totals = with_b.groupBy("__b").agg(F.sum(value_col).alias("__t"))
+    offsets = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b").rowsBetween(
+        Window.unboundedPreceding, -1))).alias("__off"))
+    inner = F.sum(value_col).over(Window.partitionBy("__b").orderBy(order_col).rowsBetween(
+        Window.unboundedPreceding, 0))
+    return (with_b.withColumn("__run", inner).join(F.broadcast(offsets), on="__b")
+            .withColumn(out, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__run"))
+            .drop("__b", "__run", "__off"))
 
 
 def ecdf(df: DataFrame, col: str) -> DataFrame:
-    """Cumulative count by value divided by *all* rows (nulls included)."""
+    """Cumulative count by value divided by *all* rows (nulls included).
+
+    Runs over one row per distinct value; ``running_total`` splits even a
+    continuous column's distinct values across tasks."""
     total = df.select(F.count(F.lit(1))).scalar()
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("ecdf", F.sum("count").over(w) / total)
+    return running_total(counts, col, "count", "__cum").withColumn("ecdf", F.col("__cum") / total).drop("__cum")
 
 
 def sort_index(df: DataFrame, key: str) -> DataFrame:

@@ -398,3 +398,39 @@ def v2b(spark, d):
     r = V.residuals(_pairs(spark, d))
     out = A.describe(r, "residual")
     return out.select("count", *[F.round(c, 6).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+
+
+# --- 2.1 sources and sinks as round trips through the shared storage -------------------------
+def _scratch(spark, name):
+    import uuid
+    from plotwise.session import checkpoint_dir
+    return checkpoint_dir(spark).rstrip("/") + f"/plotwise-{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_s2_csv_roundtrip", fx.with_views("""
+SELECT listing_id, round_even(CASE WHEN split_part(price_text, ' ', 2) = 'Lac'
+  THEN TRY_CAST(split_part(price_text, ' ', 1) AS DOUBLE) / 100
+  ELSE TRY_CAST(split_part(price_text, ' ', 1) AS DOUBLE) END, 2) AS price FROM raw""", "raw"))
+def s1(spark, d):
+    """Write the raw listing text as a CSV stage (S2), read it back with an
+    explicit schema (S1) and parse the price (T2)."""
+    from pyspark.sql import types as Ty
+    from plotwise.sources import io
+    path = _scratch(spark, "csv")
+    io.write_table(fx.raw(spark, d).select("listing_id", "price_text"), path, fmt="csv")
+    schema = Ty.StructType([Ty.StructField("listing_id", Ty.LongType()), Ty.StructField("price_text", Ty.StringType())])
+    back = io.read_csv(spark, path, schema)
+    return back.select("listing_id", T.parse_price("price_text").alias("price"))
+
+
+@query("s4_metrics_json", "WITH " + _PAIRS_SQL[2:] + """
+, o AS (SELECT label AS y, prediction AS p, exp(label) - 1 AS yo, exp(prediction) - 1 AS po FROM pairs)
+SELECT count(*) AS n, round(avg(abs(yo - po)), 6) AS mae, round(sqrt(avg((yo - po) * (yo - po))), 6) AS rmse FROM o""")
+def s4(spark, d):
+    """V1 metrics written as a one-record JSON file (S4) and read back."""
+    from plotwise.sources import io
+    m = V.regression_metrics(_pairs(spark, d), "label", "prediction", log_target=True).first()
+    path = _scratch(spark, "metrics")
+    io.write_metrics_json(spark, {"n": int(m["n"]), "mae": round(float(m["mae"]), 6),
+                                  "rmse": round(float(m["rmse"]), 6)}, path)
+    return spark.read.schema("n long, mae double, rmse double").json(path)
