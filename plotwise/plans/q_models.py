@@ -66,25 +66,25 @@ def e2(spark, d):
 st AS (SELECT sector, avg(price) AS m, count(*) AS n FROM listing GROUP BY sector),
 enc AS (SELECT sector, (1.0 / (1.0 + exp(-(n - 20) / 10.0))) * m + (1 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) * p AS e
         FROM st, prior)
-SELECT listing_id, round(coalesce(e, (SELECT p FROM prior)), 9) AS sector_te FROM listing LEFT JOIN enc
+SELECT listing_id, round(coalesce(e, (SELECT p FROM prior)), 6) AS sector_te FROM listing LEFT JOIN enc
 ON listing.sector = enc.sector""", "listing"))
 def e4(spark, d):
     l = fx.listing(spark, d).select("listing_id", "sector", "price")
     out = E.target_encode(l, "sector", "price")
-    return out.select("listing_id", F.round("sector_te", 9).alias("sector_te"))
+    return out.select("listing_id", F.round("sector_te", 6).alias("sector_te"))
 
 
 @query("e5_standard_scale", fx.with_views("""
 SELECT unit_id, round(CASE WHEN stddev_pop(area) OVER () > 0 THEN (area - avg(area) OVER ()) / stddev_pop(area) OVER ()
-  ELSE 0 END, 9) AS area_z,
+  ELSE 0 END, 6) AS area_z,
   round(CASE WHEN stddev_pop(price_per_sqft) OVER () > 0
-  THEN (price_per_sqft - avg(price_per_sqft) OVER ()) / stddev_pop(price_per_sqft) OVER () ELSE 0 END, 9) AS price_per_sqft_z
+  THEN (price_per_sqft - avg(price_per_sqft) OVER ()) / stddev_pop(price_per_sqft) OVER () ELSE 0 END, 6) AS price_per_sqft_z
 FROM unit""", "unit"))
 def e5(spark, d):
     u = fx.unit(spark, d).select("unit_id", "area", "price_per_sqft")
     out = E.standard_scale(u, ["area", "price_per_sqft"])
-    return out.select("unit_id", F.round("area_z", 9).alias("area_z"),
-                      F.round("price_per_sqft_z", 9).alias("price_per_sqft_z"))
+    return out.select("unit_id", F.round("area_z", 6).alias("area_z"),
+                      F.round("price_per_sqft_z", 6).alias("price_per_sqft_z"))
 
 
 # --- fitted encoders and models (rows-only checks) ----------------------------------------

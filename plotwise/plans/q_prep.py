@@ -54,12 +54,12 @@ def p4(spark, d):
 
 
 @query("p5_log_target", fx.with_views("""
-SELECT listing_id, round(ln(1 + price), 9) AS log_price, round(exp(ln(1 + price)) - 1, 9) AS price_back
+SELECT listing_id, round(ln(1 + price), 6) AS log_price, round(exp(ln(1 + price)) - 1, 9) AS price_back
 FROM listing""", "listing"))
 def p5(spark, d):
     l = P.log_target(fx.listing(spark, d), "price", "log_price")
     l = P.unlog_target(l, "log_price", "price_back")
-    return l.select("listing_id", F.round("log_price", 9).alias("log_price"),
+    return l.select("listing_id", F.round("log_price", 6).alias("log_price"),
                     F.round("price_back", 9).alias("price_back"))
 
 

@@ -51,17 +51,17 @@ def doc_tfidf(spark, d):
 
 
 @query("r1_tfidf", _with(tfidf_sql("documents", "doc_id", "text")) +
-       "SELECT id AS doc_id, term, round(weight, 9) AS weight FROM tfw")
+       "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM tfw")
 def r1(spark, d):
-    return doc_tfidf(spark, d).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+    return doc_tfidf(spark, d).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("r2_cosine_scores", _with(tfidf_sql("documents", "doc_id", "text")) + f"""
-SELECT a.id AS doc_id, round(sum(a.weight * q.weight), 9) AS score FROM tfw a
+SELECT a.id AS doc_id, round(sum(a.weight * q.weight), 6) AS score FROM tfw a
 JOIN (SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id""")
 def r2(spark, d):
     s = R.sparse_scores(doc_tfidf(spark, d), "doc_id", QUERY_DOC)
-    return s.select("doc_id", F.round("score", 9).alias("score"))
+    return s.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _recommend_sql(scores_cte: str, items: str, id_col: str, n: int = TOP_N) -> str:
@@ -171,25 +171,25 @@ def r3(spark, d):
 
 
 @query("r4_standardise", _with(_PRICE_DENSE) + """
-SELECT k AS feature, round(stddev_pop(x), 9) AS std,
-       round(CASE WHEN stddev_pop(x) > 0 THEN (0.0 - avg(x)) / stddev_pop(x) ELSE 0.0 END, 9) AS z0
+SELECT k AS feature, round(stddev_pop(x), 6) AS std,
+       round(CASE WHEN stddev_pop(x) > 0 THEN (0.0 - avg(x)) / stddev_pop(x) ELSE 0.0 END, 6) AS z0
 FROM dense GROUP BY k""")
 def r4(spark, d):
     stats, _ = R.standardise_long(part_price_long(spark, d), fx.table(spark, d, "part"), "p_partkey",
                                   "feature", "value", 0.0)
-    return stats.select("feature", F.round("std", 9).alias("std"), F.round("z0", 9).alias("z0"))
+    return stats.select("feature", F.round("std", 6).alias("std"), F.round("z0", 6).alias("z0"))
 
 
 @query("r5_location_cosine", _with(_LOC_DENSE, _COSINE_DENSE) + """
-SELECT p.p_partkey, round(coalesce(c.score, 0.0), 9) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
+SELECT p.p_partkey, round(coalesce(c.score, 0.0), 6) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
 def r5(spark, d):
-    return part_location(spark, d).select("p_partkey", F.round("score", 9).alias("score"))
+    return part_location(spark, d).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("r6_price_cosine", _with(_PRICE_DENSE, _COSINE_DENSE) + """
-SELECT p.p_partkey, round(coalesce(c.score, 0.0), 9) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
+SELECT p.p_partkey, round(coalesce(c.score, 0.0), 6) AS score FROM part p LEFT JOIN cos c ON p.p_partkey = c.p_partkey""")
 def r6(spark, d):
-    return part_price(spark, d).select("p_partkey", F.round("score", 9).alias("score"))
+    return part_price(spark, d).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("r6_dense_embedding_cosine", f"""
@@ -200,11 +200,11 @@ z AS (SELECT vec_id, e.pos, CASE WHEN s > 0 THEN (x - m) / s ELSE 0.0 END AS z F
 qz AS (SELECT pos, z AS zq FROM z WHERE vec_id = {QUERY_VEC}),
 nq AS (SELECT sqrt(sum(zq * zq)) AS nq FROM qz)
 SELECT z.vec_id, round(CASE WHEN sqrt(sum(z.z * z.z)) > 0 AND max(nq) > 0
-  THEN sum(z.z * qz.zq) / (sqrt(sum(z.z * z.z)) * max(nq)) ELSE 0.0 END, 9) AS score
+  THEN sum(z.z * qz.zq) / (sqrt(sum(z.z * z.z)) * max(nq)) ELSE 0.0 END, 6) AS score
 FROM z JOIN qz ON z.pos = qz.pos, nq GROUP BY z.vec_id""")
 def r6d(spark, d):
     s = R.dense_standardised_cosine(fx.table(spark, d, "embeddings"), "vec_id", "embedding", QUERY_VEC)
-    return s.select("vec_id", F.round("score", 9).alias("score"))
+    return s.select("vec_id", F.round("score", 6).alias("score"))
 
 
 _FAC_SCORES = (f"fac AS (SELECT a.id AS p_partkey, sum(a.weight * q.weight) AS score FROM tfp a JOIN "
