@@ -13,6 +13,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -81,7 +82,13 @@ def cv_scores(estimator, df: DataFrame, fold_col: str = "fold", label_col: str =
     ev = RegressionEvaluator(labelCol=label_col, metricName=metric)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
                         numFolds=num_folds, parallelism=parallelism, collectSubModels=False)
-    model = cv.fit(df)
+    # every fold and parameter map rescans the input: persist it once
+    # (memory and disk; lost blocks are recomputed from lineage)
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     std = list(model.stdMetrics) if model.stdMetrics else [0.0] * len(grid)
     return model, [({p.name: v for p, v in pm.items()}, float(m), float(s))
                    for pm, m, s in zip(grid, model.avgMetrics, std)]
@@ -102,10 +109,16 @@ def compare_models(candidates: dict, train: DataFrame, test: DataFrame, label_co
     MAE on the original scale (expm1 when the label is log1p); sorted by MAE."""
     from plotwise.operators.evaluate import regression_metrics
     rows = []
-    for name, est in candidates.items():
-        pred = est.fit(train).transform(test)
-        m = regression_metrics(pred, label_col, "prediction", log_target=log_target).first()
-        rows.append((name, float(m["r2"]), float(m["mae"]), float(m["rmse"])))
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for name, est in candidates.items():
+            pred = est.fit(train).transform(test)
+            m = regression_metrics(pred, label_col, "prediction", log_target=log_target).first()
+            rows.append((name, float(m["r2"]), float(m["mae"]), float(m["rmse"])))
+    finally:
+        train.unpersist()
+        test.unpersist()
     out = train.sparkSession.createDataFrame(rows, "model string, r2 double, mae double, rmse double")
     return out.orderBy("mae", "model")
 

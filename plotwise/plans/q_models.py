@@ -164,10 +164,8 @@ def _candidates(n_train):
 @query("m2_m5_m7_compare_models")
 def m7(spark, d):
     train, test, _ = _train_test(spark, d)
-    train = train.cache()
     n = train.count()
-    out = M.compare_models(_candidates(n), train, test)
-    return out
+    return M.compare_models(_candidates(n), train, test)
 
 
 @query("m3_ols_summary")
@@ -219,7 +217,6 @@ def m10(spark, d):
     boosting excluded (as the reference's selection does)."""
     from plotwise.session import checkpoint_dir
     train, _, _ = _train_test(spark, d)
-    train = train.cache()
     rows = []
     base = checkpoint_dir(spark).rstrip("/")
     for name, est in {"forest": M.regressor("forest", numTrees=10, maxDepth=6),
@@ -228,7 +225,6 @@ def m10(spark, d):
         model, res = M.cv_scores(est, train, "fold")
         size = M.model_size_mb(model.bestModel, f"{base}/plotwise-m10-{name}")
         rows.append((name, res[0][1], res[0][2], size))
-    train.unpersist()
     res = spark.createDataFrame(rows, "model string, cv_mean double, cv_std double, size_mb double")
     return M.select_best(res, exclude=["boosting"])
 
