@@ -204,9 +204,15 @@ def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
         exprs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}")]
         if c in num:
             exprs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                      F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}"),
-                      _q(c, [0.25, 0.5, 0.75], approx).alias(f"q{i}")]
+                      F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
+            if approx:
+                exprs.append(_q(c, [0.25, 0.5, 0.75], approx).alias(f"q{i}"))
     row = df.agg(*exprs)
+    if not approx:
+        for i, c in enumerate(cols):
+            if c in num:
+                qv = grouped_quantiles(df, [], c, [0.25, 0.5, 0.75]).select(F.array("q0", "q1", "q2")).scalar()
+                row = row.withColumn(f"q{i}", qv)
     parts = []
     for i, c in enumerate(cols):
         vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("cnt"))

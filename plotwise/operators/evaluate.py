@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plotwise.functions import rules
 from plotwise.operators import aggregates as A
 from plotwise.operators import nulls as D
+from plotwise.operators.quantiles import exact_quantile
 
 
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "prediction", n_features: int | None = None,
@@ -28,8 +29,7 @@ def regression_metrics(df: DataFrame, label: str = "label", pred: str = "predict
         F.avg(ae).alias("mae"),
         F.avg((yo - po) * (yo - po)).alias("mse"),
         (F.avg(F.abs(F.try_divide(yo - po, yo))) * 100).alias("mape"),
-        F.median(ae).alias("median_ae"),
-    ).withColumn("rmse", F.sqrt("mse"))
+    ).withColumn("median_ae", exact_quantile(df, ae)).withColumn("rmse", F.sqrt("mse"))
     if n_features is not None:
         out = out.withColumn("adj_r2", 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - n_features - 1))
     return out
@@ -158,6 +158,6 @@ def dataset_stats(df: DataFrame, price: str = "price", key: str = "sector") -> D
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.countDistinct(key).alias("n_keys"),
-        F.avg(price).alias("avg_price"), F.median(price).alias("median_price"),
+        F.avg(price).alias("avg_price"), exact_quantile(df, price).alias("median_price"),
         F.min(price).alias("min_price"), F.max(price).alias("max_price"),
     ).withColumn("n_nulls", nulls).withColumn("n_duplicates", dups)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions import rules
 from plotwise.functions.numeric import half_even, price_per_sqft, safe_div
-from plotwise.operators.quantiles import grouped_quantiles
+from plotwise.operators.quantiles import exact_quantile, grouped_quantiles
 from plotwise.session import cut_lineage
 
 
@@ -51,8 +51,8 @@ def ratio_medians(df: DataFrame, sup: str = "super_built_up_area", built: str =
                   carp: str = "carpet_area") -> DataFrame:
     """Q3: median super/built and carpet/built where all three are present."""
     present = df.filter(F.col(sup).isNotNull() & F.col(built).isNotNull() & F.col(carp).isNotNull())
-    return present.agg(F.median(safe_div(sup, built)).alias("super_to_built"),
-                       F.median(safe_div(carp, built)).alias("carpet_to_built"))
+    return df.sparkSession.range(1).select(exact_quantile(present, safe_div(sup, built)).alias("super_to_built"),
+                                           exact_quantile(present, safe_div(carp, built)).alias("carpet_to_built"))
 
 
 def impute_built_up(df: DataFrame, sup: str = "super_built_up_area", built: str = "built_up_area",
@@ -82,8 +82,8 @@ def impute_constant(df: DataFrame, col: str, value: float = rules.FLOOR_FILL) ->
 def impute_group_median(df: DataFrame, col: str, by=None) -> DataFrame:
     """Q6 variant: fill with the (group) median, computed by one aggregate."""
     if not by:
-        return df.withColumn(col, F.coalesce(F.col(col), df.agg(F.median(col)).scalar()))
-    med = df.groupBy(*by).agg(F.median(col).alias("__med"))
+        return df.withColumn(col, F.coalesce(F.col(col), exact_quantile(df, col)))
+    med = grouped_quantiles(df, by, col, [0.5]).withColumnRenamed("q0", "__med")
     return df.join(med, on=by, how="left").withColumn(col, F.coalesce(F.col(col), F.col("__med"))).drop("__med")
 
 
@@ -134,6 +134,6 @@ def low_quantile_rows(df: DataFrame, num: str = "area", den: str = "bedRoom", q:
     rows whose ratio falls below ``cutoff`` (default: that quantile)."""
     ratio = safe_div(num, den)
     base = df.filter(F.col(rate) <= rate_max).select(ratio.alias("__r"))
-    qv = base.agg(F.percentile("__r", q)).scalar()
+    qv = exact_quantile(base, "__r", q)
     limit = F.lit(cutoff) if cutoff is not None else qv
     return df.withColumn("ratio", ratio).withColumn("ratio_q", qv).filter(F.col("ratio") < limit)

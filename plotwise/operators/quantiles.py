@@ -90,3 +90,10 @@ def grouped_quantiles(df: DataFrame, keys, col: str, qs, accuracy: int = DEFAULT
                                                  for i in range(len(qs))])
         out = out.drop("__g").unionByName(empty.filter(F.lit(s.select(F.count(F.lit(1))).scalar() == 0)))
     return out
+
+
+def exact_quantile(df: DataFrame, col, q: float = 0.5) -> Column:
+    """One exact quantile of a column (or expression) as a scalar subquery."""
+    c = F.col(col) if isinstance(col, str) else col
+    base = df.select(c.alias("__v"))
+    return grouped_quantiles(base, [], "__v", [q]).select("q0").scalar()
