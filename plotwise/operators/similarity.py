@@ -91,6 +91,36 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max:
     return w.join(norms, on=id_col).select(id_col, "term", (F.col("raw") / F.col("__norm")).alias("weight"))
 
 
+def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max: int = 2,
+                pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """(id, term, tf) for every text, written once to the checkpoint folder
+    (texts shuffled by id first, so the counts need no further shuffle)."""
+    by_doc = df.select(id_col, text_col).repartition(id_col)
+    tf = terms(by_doc, id_col, text_col, stop_words, ngram_max, pattern).groupBy(id_col, "term").agg(
+        F.count(F.lit(1)).alias("tf"))
+    return cut_lineage(tf)
+
+
+def tfidf_query_scores(df: DataFrame, id_col: str, text_col: str, query_id, stop_words=None,
+                       ngram_max: int = 2, pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """R1+R2 for one query text: the cosine of every text with the query,
+    without materialising all weights. Needs the document frequencies and
+    the row norms (one pass over the term counts) and the dot products over
+    the query's terms only (a semi-join with one text's term list)."""
+    n_docs = df.select(F.count(F.lit(1))).scalar()
+    tf = term_counts(df, id_col, text_col, stop_words, ngram_max, pattern)
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
+    raw = tf.join(dfreq, on="term").select(id_col, "term", (F.col("tf") * idf).alias("raw"))
+    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("__norm"))
+    q = raw.filter(F.col(id_col) == query_id).select("term", F.col("raw").alias("__q"))
+    qnorm = norms.filter(F.col(id_col) == query_id).select(F.max("__norm")).scalar()
+    shared = tf.join(q.select("term"), on="term", how="left_semi").join(dfreq, on="term").select(
+        id_col, "term", (F.col("tf") * idf).alias("raw"))
+    dots = shared.join(q, on="term").groupBy(id_col).agg(F.sum(F.col("raw") * F.col("__q")).alias("__dot"))
+    return dots.join(norms, on=id_col).select(id_col, (F.col("__dot") / (F.col("__norm") * qnorm)).alias("score"))
+
+
 def sparse_scores(vectors: DataFrame, id_col: str, query_id, key: str = "term",
                   value: str = "weight") -> DataFrame:
     """R2: dot product of every row with the query row (normalised rows ->

@@ -60,7 +60,7 @@ def r1(spark, d):
 SELECT a.id AS doc_id, round(sum(a.weight * q.weight), 6) AS score FROM tfw a
 JOIN (SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id""")
 def r2(spark, d):
-    s = R.sparse_scores(doc_tfidf(spark, d), "doc_id", QUERY_DOC)
+    s = R.tfidf_query_scores(fx.table(spark, d, "documents"), "doc_id", "text", QUERY_DOC)
     return s.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -79,15 +79,14 @@ SELECT CAST(rk - 1 AS INTEGER) AS rank, {id_col}, round(score, 4) AS score FROM
     "items AS (SELECT doc_id FROM documents)") + _recommend_sql("sc", "items", "doc_id"))
 def r7(spark, d):
     docs = fx.table(spark, d, "documents")
-    scores = R.sparse_scores(doc_tfidf(spark, d), "doc_id", QUERY_DOC)
+    scores = R.tfidf_query_scores(docs, "doc_id", "text", QUERY_DOC)
     return R.recommend(scores, docs, "doc_id", TOP_N)
 
 
 # --- part views ----------------------------------------------------------------------
 def part_facilities(spark, d):
     """Facilities view: tf-idf cosine of the part names."""
-    v = cut_lineage(R.tfidf(fx.table(spark, d, "part"), "p_partkey", "p_name"))
-    return R.sparse_scores(v, "p_partkey", QUERY_PART)
+    return R.tfidf_query_scores(fx.table(spark, d, "part"), "p_partkey", "p_name", QUERY_PART)
 
 
 PRICE_CATS = ["p_brand", "p_type"]
