@@ -592,16 +592,16 @@ _IMP = ["price", "area", "bedRoom", "discount"]
 
 
 def _imp_tables(u):
-    def long(expr_fn, name):
-        parts = ", ".join(f"'{c}', {expr_fn(c)}" for c in _IMP)
-        return u.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in _IMP]).agg(
-            *[F.expr(expr_fn(c)).alias(c) for c in _IMP]).selectExpr(
-            f"stack({len(_IMP)}, {', '.join(f'{chr(39)}{c}{chr(39)}, {c}' for c in _IMP)}) AS (feature, {name})") \
-            if parts else None
-    t1 = long(lambda c: f"avg({c})", "mean_value")
-    t2 = long(lambda c: f"stddev_samp({c})", "std_value")
-    t3 = long(lambda c: f"max({c})", "max_value")
-    return t1, t2, t3
+    """Three small (feature, statistic) tables: mean, sample std and max of
+    each numeric column, each from one aggregate unpivoted with ``stack``."""
+    num = u.select(*[F.col(c).cast("double").alias(c) for c in _IMP])
+    pairs = ", ".join(f"'{c}', {c}" for c in _IMP)
+
+    def table(fn, name):
+        return num.agg(*[fn(c).alias(c) for c in _IMP]).selectExpr(
+            f"stack({len(_IMP)}, {pairs}) AS (feature, {name})")
+
+    return table(F.avg, "mean_value"), table(F.stddev_samp, "std_value"), table(F.max, "max_value")
 
 
 @query("j4_join_chain", fx.with_views("\nUNION ALL\n".join(

@@ -202,3 +202,24 @@ def test_bounded_quantiles_equal_builtin(spark):
         assert got[g] == pytest.approx(exp[g], rel=1e-12, abs=1e-9), g
     glob = grouped_quantiles(df, [], "x", [0.5], accuracy=500).first()[0]
     assert glob == pytest.approx(df.agg(F.median("x")).first()[0], rel=1e-12)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_shapes_for_scale(spark, sf_small):
+    from plotwise.plans import registry
+    registry.load_all()
+    # flagship median: sketch bracket + short windows (the exact aggregate only
+    # sits behind the semi-join of failed groups, which AQE prunes when empty)
+    flag = _plan(registry.QUERIES["a5_median_price_by_sector"](spark, sf_small))
+    assert "percentile_approx" in flag and "collect_list" in flag and "LeftSemi" in flag
+    # term counts: the texts are shuffled by id once; no exchange on (id, term)
+    docs = fx.table(spark, sf_small, "documents")
+    tc = _plan(R.terms(docs.repartition("doc_id"), "doc_id", "text").groupBy("doc_id", "term").count())
+    assert tc.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id#" in tc
+    assert "hashpartitioning(doc_id#0L, term" not in tc
+    # ECDF: the running window is partitioned by bucket
+    e = _plan(W.ecdf(fx.unit(spark, sf_small), "bedRoom"))
+    assert "windowspecdefinition(__b" in e
