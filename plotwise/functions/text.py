@@ -216,23 +216,39 @@ def _facts(building_type, n_area, a0, a1, pp) -> dict:
 def config_facts_df(df, struct_col: str, keep) -> "DataFrame":
     """T16 on a DataFrame: parse each part once in its own projection, then
     apply the rules, so no string function is evaluated twice per row."""
-    v = F.col(struct_col)
-    s1 = df.select(*keep, v.getField("building_type").alias("building_type"),
-                   F.split(F.coalesce(v.getField("area"), F.lit("")), "-").alias("__ap"),
-                   F.split(F.coalesce(v.getField("price-range"), F.lit("")), "-").alias("__pp"))
-    s2 = s1.select(*keep, "building_type", F.size("__ap").alias("__na"),
-                   _area_num(F.get(F.col("__ap"), 0)).alias("__a0"), _area_num(F.get(F.col("__ap"), 1)).alias("__a1"),
-                   F.size("__pp").alias("__np"), F.get(F.col("__pp"), 0).alias("__pp0"),
-                   F.get(F.col("__pp"), 1).alias("__pp1"))
-    s3 = s2.select(*keep, "building_type", "__na", "__a0", "__a1", "__np",
-                   _price_num(F.col("__pp0")).alias("__p0"), _price_num(F.col("__pp1")).alias("__p1"))
-    one = F.col("__na") == 1
-    two_ok = (F.col("__na") == 2) & F.col("__a0").isNotNull() & F.col("__a1").isNotNull()
-    p_ok = (F.col("__np") == 2) & F.col("__p0").isNotNull() & F.col("__p1").isNotNull()
-    return s3.select(*keep, "building_type",
-                     F.when(one, F.col("__a0")).when(two_ok, F.col("__a0")).alias("area_low"),
-                     F.when(one, F.col("__a0")).when(two_ok, F.col("__a1")).alias("area_high"),
-                     F.when(p_ok, F.col("__p0")).alias("price_low"), F.when(p_ok, F.col("__p1")).alias("price_high"))
+    out = config_facts_wide(df, {"": F.col(struct_col)}, keep)
+    return out
+
+
+def config_facts_wide(df, structs: dict, keep) -> "DataFrame":
+    """T16/T17 for several structs at once (``{prefix: struct Column}``):
+    three staged projections (split, numbers, rules); outputs
+    ``{prefix}building_type``, ``{prefix}area_low`` ... per prefix."""
+    s1 = df.select(*keep, *[c for p, v in structs.items() for c in (
+        v.getField("building_type").alias(f"{p}building_type"),
+        F.split(F.coalesce(v.getField("area"), F.lit("")), "-").alias(f"__{p}ap"),
+        F.split(F.coalesce(v.getField("price-range"), F.lit("")), "-").alias(f"__{p}pp"))])
+    s2 = s1.select(*keep, *[c for p in structs for c in (
+        F.col(f"{p}building_type"), F.size(f"__{p}ap").alias(f"__{p}na"),
+        _area_num(F.get(F.col(f"__{p}ap"), 0)).alias(f"__{p}a0"),
+        _area_num(F.get(F.col(f"__{p}ap"), 1)).alias(f"__{p}a1"),
+        F.size(f"__{p}pp").alias(f"__{p}np"), F.get(F.col(f"__{p}pp"), 0).alias(f"__{p}pp0"),
+        F.get(F.col(f"__{p}pp"), 1).alias(f"__{p}pp1"))])
+    s3 = s2.select(*keep, *[c for p in structs for c in (
+        F.col(f"{p}building_type"), F.col(f"__{p}na"), F.col(f"__{p}a0"), F.col(f"__{p}a1"),
+        F.col(f"__{p}np"), _price_num(F.col(f"__{p}pp0")).alias(f"__{p}p0"),
+        _price_num(F.col(f"__{p}pp1")).alias(f"__{p}p1"))])
+    cols = []
+    for p in structs:
+        one = F.col(f"__{p}na") == 1
+        two_ok = (F.col(f"__{p}na") == 2) & F.col(f"__{p}a0").isNotNull() & F.col(f"__{p}a1").isNotNull()
+        p_ok = (F.col(f"__{p}np") == 2) & F.col(f"__{p}p0").isNotNull() & F.col(f"__{p}p1").isNotNull()
+        cols += [F.col(f"{p}building_type"),
+                 F.when(one, F.col(f"__{p}a0")).when(two_ok, F.col(f"__{p}a0")).alias(f"{p}area_low"),
+                 F.when(one, F.col(f"__{p}a0")).when(two_ok, F.col(f"__{p}a1")).alias(f"{p}area_high"),
+                 F.when(p_ok, F.col(f"__{p}p0")).alias(f"{p}price_low"),
+                 F.when(p_ok, F.col(f"__{p}p1")).alias(f"{p}price_high")]
+    return s3.select(*keep, *cols)
 
 
 def distance_to_meters(c) -> Column:

@@ -430,19 +430,14 @@ def _cfg(c: str) -> str:
 
 def fixed_config_columns(spark, d):
     """The facts of the named configurations as fixed wide columns
-    (a projection of the parsed map, no pivot shuffle)."""
+    (a staged projection of the parsed map, no pivot shuffle)."""
     r = fx.raw(spark, d).select("listing_id", T.price_details_map("price_details").alias("m"))
-    cols = []
-    for cfg in rules.CONFIGS:
-        facts = T.config_facts(F.try_element_at(F.col("m"), F.lit(cfg)))
-        bt = facts["building_type"]
-        if cfg == "Land":
-            bt = F.when(bt == "", F.lit("Land")).otherwise(bt)
-        cols += [bt.alias(f"{_cfg(cfg)}_building_type"), facts["area_low"].alias(f"{_cfg(cfg)}_area_low"),
-                 facts["area_high"].alias(f"{_cfg(cfg)}_area_high"),
-                 F.round(facts["price_low"], 6).alias(f"{_cfg(cfg)}_price_low"),
-                 F.round(facts["price_high"], 6).alias(f"{_cfg(cfg)}_price_high")]
-    return r.select("listing_id", *cols)
+    structs = {f"{_cfg(cfg)}_": F.try_element_at(F.col("m"), F.lit(cfg)) for cfg in rules.CONFIGS}
+    wide = T.config_facts_wide(r, structs, ["listing_id"])
+    land = f"{_cfg('Land')}_building_type"
+    wide = wide.withColumn(land, F.when(F.col(land) == "", F.lit("Land")).otherwise(F.col(land)))
+    rounded = {f"{p}price_{s}": F.round(f"{p}price_{s}", 6) for p in structs for s in ("low", "high")}
+    return wide.withColumns(rounded)
 
 
 def _t17_sql():
