@@ -14,7 +14,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def hash_bucket(key: str, seed: int, buckets: int = 100):
@@ -133,7 +133,7 @@ def select_best(results: DataFrame, score: str = "cv_mean", size: str = "size_mb
 def model_size_mb(model, path: str) -> float:
     """Saved size of a model directory (MLlib persistence), in MB."""
     model.write().overwrite().save(path)
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,8 +1,6 @@
 """Operator semantics on tiny inline tables, metamorphic checks, and the
 sparse similarity operators against brute-force dense computations."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
