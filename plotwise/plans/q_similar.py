@@ -15,7 +15,6 @@ from plotwise.functions import text as T
 from plotwise.operators import similarity as R
 from plotwise.plans import fixtures as fx
 from plotwise.plans.registry import query
-from plotwise.session import cut_lineage
 
 QUERY_DOC = 1
 QUERY_PART = 1
@@ -46,8 +45,8 @@ def _with(*ctes: str) -> str:
 
 # --- R1 / R2 / R7 on documents ----------------------------------------------------
 def doc_tfidf(spark, d):
-    """The document index: tf-idf vectors, written once to the checkpoint folder."""
-    return cut_lineage(R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text"))
+    """The document vectors (long form); the term counts inside are cut once."""
+    return R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("r1_tfidf", _with(tfidf_sql("documents", "doc_id", "text")) +
