@@ -15,13 +15,17 @@ Here each group needs two passes and O(accuracy) memory:
 
 A group whose bracket check fails (it cannot, within the sketch's error
 bound, but the check is cheap) falls back to the exact built-in aggregate
-for that group only; AQE prunes that branch when no group needs it.
+for that group only. The per-group results (one small row each) are
+materialised in the checkpoint folder first, so that branch is only
+planned when some group needs it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotwise.session import cut_lineage
+
 DEFAULT_ACCURACY = 100_000
 MARGIN = 2.0
 
@@ -39,7 +43,8 @@ def _pick(win: Column, below: Column, n: Column, q: float) -> tuple[Column, Colu
     pos = (n - 1) * F.lit(float(q))
     r0 = F.floor(pos).cast("long")
     frac = pos - r0
-    r1 = F.least(r0 + 1, n - 1)
+    # the next rank is only needed when the position falls between two ranks
+    r1 = F.when(frac > 0, F.least(r0 + 1, n - 1)).otherwise(r0)
     i0, i1 = r0 - below, r1 - below
     size = F.size(win).cast("long")
     ok = (n > 0) & (i0 >= 0) & (i1 < size) & (i0 < size)
@@ -79,11 +84,16 @@ def grouped_quantiles(df: DataFrame, keys, col: str, qs, accuracy: int = DEFAULT
         cols.append(v.alias(f"{out_prefix}{i}"))
         oks.append(ok)
     res = win.select(*keys, *cols, F.aggregate(F.array(*oks), F.lit(True), lambda a, b: a & b).alias("__ok"))
-    good = res.filter("__ok").drop("__ok")
-    bad = res.filter(~F.col("__ok")).select(*keys)
-    exact = s.join(bad, on=keys, how="left_semi").groupBy(*keys).agg(F.percentile("__x", qs).alias("__e"))
-    fallback = exact.select(*keys, *[F.col("__e")[i].alias(f"{out_prefix}{i}") for i in range(len(qs))])
-    out = good.unionByName(fallback)
+    # one small row per group: materialise it, so the exact fallback is only
+    # planned when a group actually needs it (a lazy fallback branch would
+    # re-read and sort all values just to semi-join them with nothing)
+    res = cut_lineage(res)
+    out = res.filter("__ok").drop("__ok")
+    if res.filter(~F.col("__ok")).limit(1).count() > 0:
+        bad = res.filter(~F.col("__ok")).select(*keys)
+        exact = s.join(bad, on=keys, how="left_semi").groupBy(*keys).agg(F.percentile("__x", qs).alias("__e"))
+        out = out.unionByName(exact.select(*keys, *[F.col("__e")[i].alias(f"{out_prefix}{i}")
+                                                  for i in range(len(qs))]))
     if glob:
         # an empty table still yields one row of nulls, as an aggregate does
         empty = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f"{out_prefix}{i}")
