@@ -22,26 +22,9 @@ from plotwise.functions.text import TOKEN_PATTERN, bigrams, tokens
 from plotwise.session import cut_lineage
 
 
-_STOP_WORDS: list[str] | None = None
-
-
 def default_stop_words() -> list[str]:
-    """Spark ML's English stop-word list (a parameter of ``tfidf``).
-
-    Read from the resource file inside the installed MLlib jar, so no JVM is
-    needed (the same list ``StopWordsRemover.loadDefaultStopWords`` returns).
-    """
-    global _STOP_WORDS
-    if _STOP_WORDS is None:
-        import glob
-        import os
-        import zipfile
-
-        import pyspark
-        jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-        with zipfile.ZipFile(jars[0]) as z:
-            _STOP_WORDS = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return list(_STOP_WORDS)
+    """The English stop-word list of ``StopWordsRemover`` (a parameter of ``tfidf``)."""
+    return list(rules.ENGLISH_STOP_WORDS)
 
 
 def terms(df: DataFrame, id_col: str, text_col: str, stop_words=None, ngram_max: int = 2,

@@ -1,13 +1,15 @@
 """Session construction and lineage cutting.
 
-The cluster owns ``spark.checkpoint.dir``; we only read it. A local
-fallback is set only when the session has none (tests, laptops).
+The cluster owns ``spark.checkpoint.dir``; we only read it. A fallback is
+set only when a local master has none (tests, laptops).
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,44 +49,44 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a private folder under the system temp dir is created.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    ``local`` master (tests, laptops: one machine) gets a private folder; on
+    a cluster that would be invisible to the executors, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="plotwise-ckpt-")
-    sc.setCheckpointDir(local)
+    if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="plotwise-ckpt-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
+    sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
 
-CUT_FORMAT = os.environ.get("PLOTWISE_CUT_FORMAT", "parquet")
+_CUTS: list[str] = []
 
 
-def cut_lineage(df: DataFrame, eager: bool = True, fmt: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from it.
 
-    ``parquet`` (default) writes a compressed columnar table under this
-    application's checkpoint folder and reads it back: smaller than
-    serialised rows, column-pruned on read, and with real size statistics for
-    AQE. ``checkpoint`` uses ``Dataset.checkpoint`` (reliable, never local).
-    Either way the data lives in the cluster's shared storage, so it survives
-    the loss of any executor.
+    Writes a compressed columnar table under this application's checkpoint
+    folder and reads it back: smaller than serialised rows, column-pruned on
+    read, with real size statistics for AQE, and it survives the loss of any
+    executor. ``drop_cuts`` deletes the tables of the session.
     """
-    import uuid
-    fmt = fmt or CUT_FORMAT
-    base = checkpoint_dir(df.sparkSession)
-    if fmt == "checkpoint":
-        return df.checkpoint(eager=eager)
-    path = f"{base.rstrip('/')}/plotwise-cut-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/plotwise-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.parquet(path)
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` wrote; call it once their readers are done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(conf).delete(path, True)
