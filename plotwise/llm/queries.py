@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotwise.llm import exact_dedup, mixing
+from plotwise.llm import exact_dedup, mixing, warc
 from plotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -37,3 +37,17 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, MIX_SHARES, MIX_BLOCK).select(
         "doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_offset")
+
+
+@query("op2_warc_seekable", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM d
+      WHERE payload_bytes >= {warc.MIN_REVISIT_BYTES} GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.n > 1 AND d.page_id IS DISTINCT FROM f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.n > 1 AND d.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND f.first_id IS NOT NULL""")
+def op2(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
