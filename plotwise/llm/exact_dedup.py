@@ -57,10 +57,11 @@ def verified_recipes(found: DataFrame) -> DataFrame:
     share a hash with another chunk (empty for nearly every document)."""
     parts = found.select("doc_id", "text_sha256", F.posexplode("chunks").alias("pos", "c")).select(
         "doc_id", "text_sha256", "pos", "c.h", "c.a", "c.b")
-    clash = parts.groupBy("h").agg(*(f(x).alias(f.__name__ + x) for x in "ab" for f in (F.min, F.max))).filter(
-        (F.col("mina") != F.col("maxa")) | (F.col("minb") != F.col("maxb"))).select("h")
-    # a window per clashing hash: the few digests that share it
-    numbered = parts.join(clash, "h", "left_semi").select("h", "a", "b").distinct().withColumn(
+    # copies of a chunk combine before the shuffle, so a chunk of a third of all rows is one row per task
+    distinct = parts.select("h", "a", "b").distinct()
+    clash = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h")
+    # a window per clashing hash: the few digests that share it (a semi-join would be pushed below distinct)
+    numbered = distinct.join(clash, "h").withColumn(
         "n", F.row_number().over(Window.partitionBy("h").orderBy("a", "b")))
     fixes = parts.join(numbered, ["h", "a", "b"]).select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "pos", "n").distinct().groupBy(

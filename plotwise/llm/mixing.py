@@ -51,7 +51,7 @@ def order_key(id_col: str) -> Column:
 
 
 def mix(docs: DataFrame, shares: dict[str, int], block: int = 16, id_col: str = "doc_id",
-        source_col: str = "source", bucket_rows: int = 20_000) -> DataFrame:
+        source_col: str = "source", bucket_rows: int = 2_000) -> DataFrame:
     """``docs`` with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_offset``.
 
     ``shares``: whole shares per source; sources without one, null included,

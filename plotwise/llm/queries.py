@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from plotwise.llm import exact_dedup, mixing, warc
+from pyspark.sql import functions as F
+
+from plotwise.llm import exact_dedup, langid, mixing, token_output, warc
 from plotwise.llm.common import table
 
+#: The public tokenizer of the token-id output.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -51,3 +56,21 @@ FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND f.first_id IS NOT
 def op2(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+@query("op7_token_shards")
+def op7(spark, sf_dir):
+    return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op8_bloom_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
