@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.llm import exact_dedup, langid, mixing, token_output, warc
+from plotwise.llm import exact_dedup, langid, minhash, mixing, token_output, warc
 from plotwise.llm.common import table
 
 #: The public tokenizer of the token-id output.
@@ -74,3 +74,8 @@ def op8(spark, sf_dir):
     model = langid.learn(docs.filter(~langid.held_out()))
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op3_dart_minhash")
+def op3(spark, sf_dir):
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
