@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.llm import exact_dedup, langid, minhash, mixing, token_output, warc
+from plotwise.llm import exact_dedup, langid, minhash, mixing, suffix_dedup, token_output, warc
 from plotwise.llm.common import table
 
 #: The public tokenizer of the token-id output.
@@ -79,3 +79,8 @@ def op8(spark, sf_dir):
 @query("op3_dart_minhash")
 def op3(spark, sf_dir):
     return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sparse_suffix_repeats")
+def op10(spark, sf_dir):
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
