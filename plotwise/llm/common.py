@@ -30,6 +30,14 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """At most ``rows`` rows in a batch that goes to Python: documents are long, and the session's
+    usual 10,000 of them would be held several times over (a smaller setting is left as it is)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

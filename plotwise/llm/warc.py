@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plotwise.llm.common import cut_lineage, shared_folder, ship
+from plotwise.llm.common import cut_lineage, shared_folder, ship, small_batches
 
 #: Payloads below this many bytes are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
@@ -207,6 +207,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     record is never split, so a very long page is a frame of its own. An empty
     table writes no bundle.
     """
+    small_batches(pages.sparkSession)
     # ids travel as text: pandas would make floats of whole numbers beside nulls
     rows = classify(pages, id_col, url_col, html_col).withColumns(
         {c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
