@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotwise.llm.common import cut_lineage, ship, worker_cache
+from plotwise.llm.common import cut_lineage, ship, small_batches, worker_cache
 
 N = 5
 #: Slots of the filter (a power of two) and hashes of an n-gram.
@@ -178,6 +178,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     language, nothing that grows with the corpus. More than 64 languages are
     an error. Without learning rows the model knows no language.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = cut_lineage(rows.mapInArrow(_count(n), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(
@@ -212,6 +213,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     the language that sorts first. Columns of these two names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score")
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # fixed size: 8 bytes a slot
 

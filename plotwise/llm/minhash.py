@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotwise.llm.common import cut_lineage, ship, word_hashes
+from plotwise.llm.common import cut_lineage, ship, small_batches, word_hashes
 from plotwise.llm.graph import components
 
 SHINGLE = 5
@@ -345,6 +345,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class has no id. An empty table gives an empty result. Columns besides
     the two named are not read.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     signed = cut_lineage(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_hashes(text).alias("words"))
                          .mapInArrow(_sign(width), "doc_id bigint, node bigint, bands array<bigint>, sketch binary"))

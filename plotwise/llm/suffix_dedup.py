@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plotwise.llm.common import cut_lineage, ship, word_hashes
+from plotwise.llm.common import cut_lineage, ship, small_batches, word_hashes
 from plotwise.llm.minhash import C1, C3, _sizes, mix, pieces
 
 #: A passage has this many words at least.
@@ -143,6 +143,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 1 <= gram <= length - window + 1:
         raise ValueError("a minimiser's words must lie within its right context")
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn(
         "row", F.xxhash64("doc_id", "text"))
     suffixes = cut_lineage(found.select("row", word_hashes(F.col("text")).alias("words")).mapInArrow(

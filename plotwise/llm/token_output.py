@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotwise.llm.common import cut_lineage, shared_folder, ship, worker_cache
+from plotwise.llm.common import cut_lineage, shared_folder, ship, small_batches, worker_cache
 from plotwise.llm.warc import open_folder, put_file
 
 END_ID = 0
@@ -51,7 +51,7 @@ FILE_BYTES = 64 << 20
 #: Code points whose letter, digit and space classes are the same in every Unicode version in use.
 SAFE_BELOW = 0x0250
 #: Pre-tokens that a worker remembers.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +62,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
     have = cache.get("powers")
     if have is None or len(have[0]) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = max(1 << 19, 1 << int(n).bit_length())
         inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
         have = cache["powers"] = tuple(
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, m)])) for m in (MULTIPLIER, inverse))
@@ -230,7 +230,7 @@ def vocabulary(path: str) -> _Vocabulary:
     return cache[key]
 
 
-def encode_all(texts: list[str], path: str, end_id: int = END_ID, chars: int = 2 << 20) -> Iterator[np.ndarray]:
+def encode_all(texts: list[str], path: str, end_id: int = END_ID, chars: int = 1 << 19) -> Iterator[np.ndarray]:
     """The ids of each text with the end id, some ``chars`` characters at a time."""
     v, group, size = vocabulary(path), [], 0
     for t in [*texts, None]:
@@ -276,8 +276,8 @@ def _encode(tokenizer: str, width: int, dictionary: bytes, bounds: list[int]):
         pack = _compressor(dictionary)[0]
         cuts = np.array(bounds, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids = list(encode_all(part.column(1).to_pylist(), tokenizer))
                 frames = [pack.compress(x.astype(_dtype(width)).tobytes()) for x in ids]
                 doc = part.column(0)
@@ -331,6 +331,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     that repeat an id all stay, next to one another, ordered by their frames.
     An empty table writes no shard. Columns besides the two named are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dictionary = train_dictionary(rows, tokenizer, width, "doc_id", "text")
