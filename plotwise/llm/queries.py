@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.llm import exact_dedup, langid, minhash, mixing, suffix_dedup, token_output, warc
+from plotwise.llm import decontaminate, exact_dedup, langid, minhash, mixing, suffix_dedup, token_output, warc
 from plotwise.llm.common import table
 
 #: The public tokenizer of the token-id output.
@@ -84,3 +84,8 @@ def op3(spark, sf_dir):
 @query("op10_sparse_suffix_repeats")
 def op10(spark, sf_dir):
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_decontamination")
+def op1(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
