@@ -247,15 +247,19 @@ def _dtype(width: int) -> str:
     return "<u2" if width == 2 else "<u4"
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, id_col: str, text_col: str) -> bytes:
-    """A dictionary from the ids of the ``DICT_DOCS`` documents that a fixed hash of the id puts first.
+def train_dictionary(docs: DataFrame, n_docs: int, tokenizer: str, width: int, id_col: str, text_col: str) -> bytes:
+    """A dictionary from the ids of some ``DICT_DOCS`` documents that a fixed hash of the id selects.
 
-    The driver gets that many texts, cut to what training uses. Too few ids to train on: no dictionary.
+    The hash keeps about three times as many of the ``n_docs`` rows, wherever they are, and the first of
+    those are taken: the driver gets that many texts, cut to what training uses, whatever the corpus. Too few
+    ids to train on: no dictionary.
     """
     import zstandard
+    share = min(1.0, 3 * DICT_DOCS / max(1, n_docs))
     text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, 8 * DICT_IDS)
-    sample = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), text.alias("t")).orderBy(
-        "h", "i", "t").limit(DICT_DOCS).select("t").collect()
+    h = F.coalesce(F.xxhash64(id_col), F.lit(0))
+    sample = docs.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).select(
+        h.alias("h"), F.col(id_col).alias("i"), text.alias("t")).orderBy("h", "i", "t").limit(DICT_DOCS).select("t").collect()
     ids = [x[:DICT_IDS].astype(_dtype(width)).tobytes() for x in encode_all([r.t for r in sample], tokenizer)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
@@ -334,9 +338,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dictionary = train_dictionary(rows, tokenizer, width, "doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    dictionary = train_dictionary(rows, size.n, tokenizer, width, "doc_id", "text")
     put_file(folder, "dictionary", dictionary)
-    total = rows.agg(F.sum(F.octet_length("text") + 1).alias("b")).first().b or 0
+    total = size.b or 0
     n_shards = max(1, -(-total // shard_bytes))
     bounds: list[int] = []
     if n_shards > 1:
