@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, suffix_dedup, token_output, warc
+from plotwise.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, mixing, suffix_dedup, token_output, warc
 from plotwise.llm.common import table
 
 #: The public tokenizer of the token-id output.
@@ -94,3 +94,8 @@ def op1(spark, sf_dir):
 @query("op5_line_neighbourhood_dedup")
 def op5(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_template_extraction")
+def op9(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))

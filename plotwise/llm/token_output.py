@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plotwise.llm.common import cut_lineage, shared_folder, ship, small_batches, worker_cache
 from plotwise.llm.warc import open_folder, put_file
@@ -275,21 +275,21 @@ def _compressor(dictionary: bytes):
 
 
 def _encode(tokenizer: str, width: int, dictionary: bytes, bounds: list[int]):
-    """doc_id and text to (shard, doc_id, n_tokens, frame), where the text is read."""
+    """(key, doc_id, text) to (shard, key, doc_id, n_tokens, frame), where the text is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _compressor(dictionary)[0]
         cuts = np.array(bounds, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = list(encode_all(part.column(1).to_pylist(), tokenizer))
+                ids = list(encode_all(part.column(2).to_pylist(), tokenizer))
                 frames = [pack.compress(x.astype(_dtype(width)).tobytes()) for x in ids]
-                doc = part.column(0)
-                shard = np.searchsorted(cuts, np.asarray(doc.fill_null(0)), side="left")
-                shard[np.asarray(doc.is_null())] = 0
+                key = part.column(0)
+                shard = np.searchsorted(cuts, np.asarray(key.fill_null(0)), side="left")
+                shard[np.asarray(key.is_null())] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), doc, pa.array(list(map(len, ids)), pa.int32()),
-                     pa.array(frames, pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
+                    [pa.array(shard, pa.int32()), key, part.column(1), pa.array(list(map(len, ids)), pa.int32()),
+                     pa.array(frames, pa.binary())], names=["shard", "key", "doc_id", "n_tokens", "frame"])
 
     return run
 
@@ -312,7 +312,7 @@ def _write(folder: str, width: int, dict_hash: bytes):
                                                "n_tokens": pa.array([tokens], pa.int64())})
 
         for batch in batches:
-            for shard, doc, n, frame in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for shard, _, doc, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != current or offset > FILE_BYTES:
                     if docs:
                         yield close()
@@ -328,15 +328,17 @@ def _write(folder: str, width: int, dict_hash: bytes):
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                 width: int = 2, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, bytes]:
+                 width: int = 2, shard_bytes: int = SHARD_BYTES, order: Column | None = None) -> tuple[DataFrame, bytes]:
     """Write the shards and the dictionary; returns (one row per file: shard, part, name, n_docs, n_tokens; dictionary).
 
+    Documents go in ascending order of ``order`` (a bigint), of their id without one.
     Null and empty texts give the end id alone. A null id sorts first. Rows
     that repeat an id all stay, next to one another, ordered by their frames.
     An empty table writes no shard. Columns besides the two named are not read.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+    key = F.col(id_col) if order is None else order
+    rows = docs.select(key.cast("bigint").alias("key"), F.col(id_col).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
     dictionary = train_dictionary(rows, size.n, tokenizer, width, "doc_id", "text")
@@ -346,12 +348,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     bounds: list[int] = []
     if n_shards > 1:
         at = [i / n_shards for i in range(1, n_shards)]
-        found = rows.agg(F.percentile_approx("doc_id", at, 100 * n_shards).alias("q")).first().q
+        found = rows.agg(F.percentile_approx("key", at, 100 * n_shards).alias("q")).first().q
         bounds = sorted(set(found or []))
     frames = rows.mapInArrow(_encode(tokenizer, width, dictionary, bounds),
-                             "shard int, doc_id bigint, n_tokens int, frame binary")
+                             "shard int, key bigint, doc_id bigint, n_tokens int, frame binary")
     placed = frames.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions(
-        "shard", F.col("doc_id").asc_nulls_first(), "frame")
+        "shard", F.col("key").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "frame")
     dict_hash = hashlib.sha256(dictionary).digest()
     return cut_lineage(placed.mapInArrow(_write(folder, width, dict_hash),
                                          "shard int, part int, name string, n_docs bigint, n_tokens bigint")), dictionary
@@ -432,10 +434,11 @@ def read_shards(folder: str, shards: DataFrame, dictionary: bytes, with_ids: boo
     return names.mapInPandas(lambda it: (x.drop(columns="ids") for x in read(it)), schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+               order: Column | None = None) -> DataFrame:
     """Write the shards of ``docs`` to a new shared folder and read them back, without the ids."""
     folder = shared_folder(docs.sparkSession, "tokens")
-    shards, dictionary = write_shards(docs, folder, tokenizer, id_col, text_col)
+    shards, dictionary = write_shards(docs, folder, tokenizer, id_col, text_col, order=order)
     return read_shards(folder, shards, dictionary, with_ids=False)
 
 
