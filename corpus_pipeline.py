@@ -19,7 +19,7 @@ from plotwise.llm import decontaminate, langid, minhash, mixing, queries, token_
 from plotwise.llm.common import shared_folder, table
 
 #: A text is in a known language if the best one has at least this share of the n-grams found in any.
-MIN_LANGUAGE_SCORE = 0.3
+MIN_LANGUAGE_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ N-grams are runs of ``N`` letters over lower-cased text in which everything
 but letters is one space. Learning counts n-grams per language over all
 learning documents, in map tasks and then by a shuffle on (n-gram, language);
 an n-gram belongs to a language if it makes up a large enough share of that
-language's n-grams. The filter has a fixed size, whatever the corpus.
+language's n-grams, and is not much rarer there than in another language (so
+that a few foreign lines don't count). The filter has a fixed size, whatever
+the corpus.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from plotwise.llm.common import cut_lineage, ship, small_batches, worker_cache
 
-N = 5
+N = 4
 #: Slots of the filter (a power of two) and hashes of an n-gram.
 SLOTS, HASHES = 1 << 21, 2
 #: An n-gram belongs to a language from this share of the language's n-grams on, and from two occurrences on.
 MIN_SHARE = 2e-7
+#: Nor does it if its share is below this part of its share in the language that has most of it.
+MIN_RATIO = 0.1
 #: The filter keeps at most one word of bits per slot.
 MAX_LANGUAGES = 64
 #: Distinct n-grams that a learning task holds before it passes them on.
@@ -58,22 +62,21 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
 def grams(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the texts, and the index of each one's text.
 
-    A text is framed by spaces, so that a single short word has n-grams too.
+    A text is framed by two spaces and one, so that a word of one letter has an n-gram too.
     """
     is_letter, low = letters()
-    joined = "\x00".join(t or "" for t in texts) + "\x00"
+    joined = "".join(f"\x00\x00{t or ''}\x00" for t in texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len(t or "") + 3 for t in texts), np.int64, len(texts))
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     safe = np.minimum(cp, len(low) - 1)
     letter = is_letter[safe] & (cp < len(low))
     c = np.where(letter, low[safe], np.uint32(32))
-    # one space for each run of other characters; the end of a text always keeps one
+    # one space for each run of other characters after a letter, and the frame
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    keep[0] = True
     first = np.cumsum(sizes) - sizes
-    keep[first] = True
+    keep[first] = keep[first + 1] = True
     c, doc, letter = c[keep], doc[keep], letter[keep]
     if len(c) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int32)
@@ -171,7 +174,7 @@ def _count(n: int):
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = N, size: int = SLOTS,
-          hashes: int = HASHES, min_share: float = MIN_SHARE) -> Model:
+          hashes: int = HASHES, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Model:
     """Learn from every row of ``docs`` that has a text and a language.
 
     The driver receives the filter's slots (at most ``size``) and a total per
@@ -191,7 +194,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     if languages:
         least = F.create_map(*(F.lit(x) for k in languages for x in (k, max(2.0, totals[k] * min_share))))
         bit = F.create_map(*(F.lit(x) for i, k in enumerate(languages) for x in (k, 1 << i if i < 63 else -(1 << 63))))
-        kept = counts.filter(F.col("n") >= least[F.col("lang")]).select("gram", bit[F.col("lang")].cast("bigint").alias("bit"))
+        size_of = F.create_map(*(F.lit(x) for k in languages for x in (k, float(totals[k]))))
+        share = F.col("n") / size_of[F.col("lang")]
+        most = counts.groupBy("gram").agg(F.max(share).alias("most"))
+        kept = counts.join(most, "gram").filter(
+            (F.col("n") >= least[F.col("lang")]) & (share >= F.col("most") * min_ratio)).select("gram", bit[F.col("lang")].cast("bigint").alias("bit"))
 
         def place(batches):
             for b in batches:
