@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plotwise.llm.common import cut_lineage
 
+#: Rows of 16 bytes that may be broadcast; beyond, a shuffle join.
+BROADCAST_ROWS = 500_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: bigint); the component is one of its nodes.
@@ -15,23 +18,27 @@ def components(links: DataFrame) -> DataFrame:
     Each round, every node joins the least of itself and its neighbours, in
     an order that a new salt draws, and the links are contracted. The nodes
     shrink by a constant factor a round in expectation, whatever the shape. A
-    hub costs no more than its links: minima combine before the shuffle.
+    hub costs no more than its links: minima combine before the shuffle, the
+    one shuffle of a round while the nodes that moved are few enough to be
+    broadcast.
     """
     salts = random.Random(0)
-    edges = cut_lineage(links.select("a", "b").filter("a != b").distinct())
+    edges = cut_lineage(links.select("a", "b").filter("a != b"))
     labels = cut_lineage(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
                          .withColumn("component", F.col("node")))
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         salt = F.lit(salts.getrandbits(63) - (1 << 62))
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(salt)).alias("m")).select(
             F.col("a").alias("from"), F.least(F.col("a").bitwiseXOR(salt), "m").bitwiseXOR(salt).alias("to"))
         step = cut_lineage(least.filter(F.col("from") != F.col("to")))
+        if step.count() <= BROADCAST_ROWS:
+            step = F.broadcast(step)
 
         def moved(df, col):
             return df.join(step, F.col(col) == F.col("from"), "left").withColumn(
                 col, F.coalesce("to", col)).drop("from", "to")
 
-        edges = cut_lineage(moved(moved(edges, "a"), "b").filter("a != b").distinct())
+        edges = cut_lineage(moved(moved(edges, "a"), "b").filter("a != b"))
         labels = cut_lineage(moved(labels, "component"))
     return labels

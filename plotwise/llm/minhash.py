@@ -18,9 +18,11 @@ Joining, with no group expanded into its pairs:
 3. In a bucket, the signatures (a byte per coordinate) estimate similarities,
    and a maximum spanning forest over them gives fewer links than nodes.
 4. Links are verified on the exact multisets, and components formed.
-5. Nodes of one bucket that are in different components, though their
-   estimate is within error of the threshold, are verified too, so that an
-   estimate's error costs no link. Components are formed again.
+5. An estimate's error must cost no link: where a bucket holds different
+   components, their nodes' texts are sent to it, and all pairs across whose
+   estimate is within error of the threshold are verified there, until the
+   components are joined or the pairs are done. Only links that join
+   components leave the bucket. Components are formed again.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plotwise.llm.common import cut_lineage, ship, small_batches, word_hashes
-from plotwise.llm.graph import components
+from plotwise.llm.graph import BROADCAST_ROWS, components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -192,57 +194,97 @@ def forest(sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def across(sketch: np.ndarray, bands: np.ndarray, band: int, label: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """Pairs of different components with an estimate of at least ``least`` whose first common band is ``band``."""
+def across(sketch: np.ndarray, bands: np.ndarray, band: int, label: np.ndarray, least: float,
+           verify) -> Iterator[tuple[int, int]]:
+    """Verified links that join the components of a bucket, one for each join.
+
+    Of the pairs with an estimate of at least ``least``, each is tried in the
+    first bucket that its nodes share, the likeliest first.
+    """
     names, where, count = np.unique(label, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
+    root = list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     need = least * sketch.shape[1]
     largest = int(count.argmax())
     for i in np.flatnonzero(where != largest).tolist():
         # a pair of two smaller components is met twice: take it once
-        other = (where != where[i]) & ((where == largest) | (np.arange(len(where)) < i))
-        at = np.flatnonzero(other)
-        at = at[np.count_nonzero(sketch[at] == sketch[i], axis=1) >= need]
-        for j in at.tolist():
+        at = np.flatnonzero((where != where[i]) & ((where == largest) | (np.arange(len(where)) < i)))
+        same = np.count_nonzero(sketch[at] == sketch[i], axis=1)
+        for n in np.argsort(-same, kind="stable").tolist():
+            if same[n] < need:
+                break
+            j = int(at[n])
+            x, y = find(int(where[i])), find(int(where[j]))
+            if x == y:
+                continue
             common = np.flatnonzero(bands[i, :BANDS] == bands[j, :BANDS])
-            if len(common) and common[0] == band or not len(common):
+            if (not len(common) or common[0] == band) and verify(i, j):
+                root[x] = y
                 yield i, j
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Runs of equal keys in a stream of batches that is sorted by its first column."""
+def _column(c: pa.Array) -> list:
+    """The rows of a column; an array's as a numpy view."""
+    if not isinstance(c, pa.ListArray):
+        return c.to_pylist()
+    ends = np.asarray(c.offsets).astype(np.int64)
+    values = np.asarray(c.values)
+    return [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of two or more equal keys in a stream of batches that is sorted by its first column."""
     key, rows = None, []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
+        for r in zip(*map(_column, batch.columns)):
             if r[0] != key:
                 if len(rows) > 1:
-                    yield key, rows
+                    yield rows
                 key, rows = r[0], []
             rows.append(r)
     if len(rows) > 1:
-        yield key, rows
+        yield rows
 
 
-def _candidates(labelled: bool, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for _, rows in _groups(batches):
-            sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            if labelled:
-                pairs = across(sketch, np.array([r[3] for r in rows]), rows[0][4], np.array([r[5] for r in rows]), least)
-            else:
-                pairs = forest(sketch, least)
-            for i, j in pairs:
-                x, y = rows[i][1], rows[j][1]
-                a.append(min(x, y))
-                b.append(max(x, y))
-                if len(a) >= 50_000:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-                    a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _links(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of nodes that ``find`` names by their places in each group."""
+    out = []
+    for rows in _groups(batches):
+        out += [sorted((rows[i][1], rows[j][1])) for i, j in find(rows)]
+        if len(out) >= 50_000:
+            yield pa.RecordBatch.from_pydict({k: pa.array([x[n] for x in out], pa.int64()) for n, k in enumerate("ab")})
+            out = []
+    yield pa.RecordBatch.from_pydict({k: pa.array([x[n] for x in out], pa.int64()) for n, k in enumerate("ab")})
 
-    return run
+
+def _sketches(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+
+
+def _candidates(least: float):
+    """(key, node, sketch) to the links of each bucket's forest."""
+    return lambda batches: _links(batches, lambda rows: forest(_sketches(rows), least))
+
+
+def _joins(least: float, threshold: float, width: int):
+    """(key, node, sketch, bands, band, component, words) to the verified links between components."""
+    def find(rows):
+        have: dict[int, np.ndarray] = {}
+
+        def units_of(i):
+            if i not in have:
+                have[i] = sorted_units(rows[i][6], width)
+            return have[i]
+
+        return across(_sketches(rows), np.array([r[3] for r in rows]), rows[0][4], np.array([r[5] for r in rows]),
+                      least, lambda i, j: similarity(units_of(i), units_of(j)) >= threshold)
+
+    return lambda batches: _links(batches, find)
 
 
 def buckets(nodes: DataFrame, size: int = BUCKET) -> DataFrame:
@@ -273,14 +315,17 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def sorted_units(words: np.ndarray, width: int) -> np.ndarray:
+    w = np.asarray(words, np.int64).view(np.uint64)
+    return np.sort(units(*shingles(w, np.array([len(w)]), width)))
+
+
 def _verify(threshold: float, width: int):
     def run(links: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         have = {}
         for node, words in zip(texts["node"], texts["words"]):
             if node not in have:
-                w = np.asarray(words, np.int64).view(np.uint64)
-                h, doc = shingles(w, np.array([len(w)]), width)
-                have[node] = np.sort(units(h, doc))
+                have[node] = sorted_units(words, width)
         keep = [similarity(have[a], have[b]) >= threshold for a, b in zip(links["a"], links["b"])]
         return links.loc[np.array(keep, bool), ["a", "b"]]
 
@@ -308,24 +353,36 @@ def _node_texts(width: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of nodes whose counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def node_words(docs: DataFrame, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (with a column node) with the words of each node's text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), word_hashes(text).alias("words")).mapInArrow(
+        _node_texts(width), "node bigint, text string")
+    # texts go no further than they must: first a filter by the nodes, then one text of each
+    one = texts.join(_small(cut_lineage(wanted.select("node").distinct())), "node").groupBy("node").agg(
+        F.first("text").alias("text"))
+    return wanted.join(one, "node").withColumn("words", word_hashes(F.col("text"))).drop("text")
+
+
 def verified(docs: DataFrame, text_col: str, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs of nodes (a, b) whose exact similarity is at least ``threshold``, as a table.
 
-    Pairs of one candidate component go to one block, or to several where
-    there are many, and each node's text is sent to its blocks once.
+    The pairs of one node ``a`` go to one block, or to several where there are
+    many, and each node's text is sent to its blocks once.
     """
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    group = components(pairs)
     n_blocks = max(1, pairs.count() // BLOCK_LINKS)
-    placed = pairs.join(group.withColumnRenamed("node", "a"), "a")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_LINKS)).alias("__parts"))
-    placed = cut_lineage(placed.join(sizes, "component").select(
-        "a", "b", F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("a"), "__parts")), F.lit(n_blocks)).alias("block")))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINKS).alias("__parts")).filter("__parts > 1")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("__parts", F.lit(1)))
+    placed = cut_lineage(pairs.join(parts, "a", "left").select(
+        "a", "b", F.pmod(F.xxhash64("a", part), F.lit(n_blocks)).alias("block")))
     wanted = placed.select("block", F.col("a").alias("node")).union(placed.select("block", "b")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(text.alias("text"), word_hashes(text).alias("words")).mapInArrow(
-        _node_texts(width), "node bigint, text string")
-    sent = texts.join(wanted, "node").select("block", "node", word_hashes(F.col("text")).alias("words"))
+    sent = node_words(docs, text_col, wanted, width)
     # a renamed column keeps the two sides of one table apart
     sent = sent.withColumnRenamed("block", "__block")
     return cut_lineage(placed.groupBy("block").cogroup(sent.groupBy("__block")).applyInPandas(
@@ -355,21 +412,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = threshold - MARGIN
     tasks = max(8, members.count() // 50_000)
 
-    def met(rows, labelled):
-        return rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
-            _candidates(labelled, least), "a bigint, b bigint")
+    def met(rows, function):
+        return rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(function, "a bigint, b bigint")
 
     plain = members.join(nodes, "node").select("key", "node", "sketch")
-    links = verified(docs, text_col, met(plain, False), threshold, width)
+    links = verified(docs, text_col, met(plain, _candidates(least)), threshold, width)
     label = components(links)
-    known = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = members.join(_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("key").agg(F.min("component").alias("__x"), F.max("component").alias("__y")).filter(
         "__x != __y").select("key")
-    rest = known.join(mixed, "key").join(nodes, "node").select("key", "node", "sketch", "bands", "band", "component")
-    more = verified(docs, text_col, met(rest, True), threshold, width)
-    label = components(links.union(more))
-    of_doc = signed.select("doc_id", "node").join(label, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    rest = cut_lineage(known.join(mixed, "key").select("key", "node", "band", "component"))
+    rest = node_words(docs, text_col, rest, width).join(nodes, "node").select(
+        "key", "node", "sketch", "bands", "band", "component", "words")
+    more = cut_lineage(met(rest, _joins(least, threshold, width)))
+    # the components of the first links are the nodes of the second
+    first = _small(label)
+
+    def contracted(df, col):
+        return df.join(first, F.col(col) == F.col("node"), "left").withColumn(
+            col, F.coalesce("component", col)).drop("node", "component")
+
+    again = components(contracted(contracted(more, "a"), "b")).select(
+        F.col("node").alias("component"), F.col("component").alias("joined"))
+    of_doc = signed.select("doc_id", "node").join(first, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).join(_small(again), "component", "left").withColumn(
+        "component", F.coalesce("joined", "component")).drop("joined")
     classes = of_doc.filter("node IS NOT NULL").groupBy("component").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("node").isNull()
