@@ -58,14 +58,3 @@ def sample_kurt(c) -> Column:
     x = col_(c)
     n = F.count(x).cast("double")
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
-
-
-def nan_to_null(c) -> Column:
-    """A NaN counts as a value in Spark aggregates; convert it at ingest."""
-    x = col_(c)
-    return F.when(~F.isnan(x), x)
-
-
-def adjusted_r2(r2, n, p) -> Column:
-    """1 - (1 - r2)(n - 1)/(n - p - 1)."""
-    return 1 - (1 - col_(r2)) * (col_(n) - 1) / (col_(n) - F.lit(p) - 1)

@@ -288,3 +288,6 @@ ENGLISH_STOP_WORDS = [
     "can't", "couldn't", "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's",
     "when's", "where's", "who's", "why's", "would",
 ]
+
+# FIXED: a value followed by its square metres, as in "1800.0 (167.23 sq.m.)".
+SQM_PATTERN = r"(\d+\.?\d*) \((\d+\.?\d*) sq.m.\)"

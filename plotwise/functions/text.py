@@ -116,12 +116,13 @@ def plot_area(c) -> Column:
 def to_sqft(text, value, factor: float = rules.SQFT_PER_SQM) -> Column:
     """If the text reads ``<value> (<x> sq.m.)`` return x * factor.
 
-    The value is printed as a float (``1800.0``) like the reference does, so an
-    integer in the text rarely matches; the pattern is built per row.
+    The value is printed as a float (``1800.0``), so an integer in the text
+    rarely matches. One constant pattern finds all pairs; the first whose value
+    is the given one counts.
     """
     v = col_(value)
-    pattern = F.concat(v.cast("string"), F.lit(r" \((\d+\.?\d*) sq.m.\)"))
-    sqm = F.nullif(F.call_function("regexp_extract", col_(text), pattern, F.lit(1)), F.lit(""))
+    found = [F.regexp_extract_all(col_(text), F.lit(rules.SQM_PATTERN), F.lit(i)) for i in (1, 2)]
+    sqm = F.get(found[1], (F.array_position(found[0], v.cast("string")) - 1).cast("int"))
     return F.when(v.isNull(), None).when(sqm.isNotNull(), sqm.try_cast("double") * factor).otherwise(v)
 
 

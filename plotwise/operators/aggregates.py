@@ -280,7 +280,3 @@ def frequency_bins(df: DataFrame, key: str, bands=FREQUENCY_BANDS) -> DataFrame:
         cond = n >= lo if hi is None else n.between(lo, hi)
         exprs.append(F.count_if(cond).alias(label))
     return counts.agg(*exprs)
-
-
-def sum_columns(cols) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in cols])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +13,8 @@ from plotwise.functions import rules
 from plotwise.operators import aggregates as A
 from plotwise.operators import nulls as D
 from plotwise.operators.quantiles import exact_quantile
+from plotwise.operators.ranking import running_total
+from plotwise.session import cut_lineage
 
 
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "prediction", n_features: int | None = None,
@@ -58,26 +63,27 @@ def permutation_importance(model, df: DataFrame, feature_cols, key: str, label:
                            n_repeats: int = 5, seed: int = 42, assemble=None) -> DataFrame:
     """V4: mean drop in R² when one input column is permuted.
 
-    A permutation pairs each row with the value of the row at the same rank
-    of a seeded hash order; ranks come from ``zipWithIndex`` (a distributed
-    sort, no single-task window), and the pairing is an equi-join on rank.
+    Rows are numbered once, by a running total over a hash of the key. A
+    repeat pairs row i with row (a i + b) mod n, a seeded bijection, by one
+    equi-join on the number.
     """
     spark = df.sparkSession
     base_pred = model.transform(assemble(df) if assemble else df)
     base_r2 = regression_metrics(base_pred, label, "prediction", log_target=False).select("r2").first()[0]
 
-    def ranked(frame, order_col):
-        rdd = frame.orderBy(order_col, key).rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-        return spark.createDataFrame(rdd, frame.columns + ["__rank"])
-
+    ranks = running_total(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, "__n", "__rank")
+    numbered = cut_lineage(df.join(ranks.select(key, (F.col("__rank") - 1).alias("__rank")), key))
+    n = numbered.count()
+    rng = random.Random(seed)
     rows = []
     for c in feature_cols:
         drops = []
-        for r in range(n_repeats):
-            left = ranked(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed + r))), "__h")
-            right = ranked(df.select(key, c).withColumn("__h2", F.xxhash64(F.col(key), F.lit(seed + 1000 + r))),
-                           "__h2").select(F.col("__rank"), F.col(c).alias("__perm"))
-            perm = left.join(right, "__rank").withColumn(c, F.col("__perm")).drop("__perm", "__rank", "__h")
+        for _ in range(n_repeats):
+            a, b = next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)
+            # a * rank stays below n squared: decimals, as n may be beyond 2^31
+            to = F.pmod(F.col("__rank").cast("decimal(38,0)") * F.lit(a) + F.lit(b), F.lit(n)).cast("bigint")
+            other = numbered.select(to.alias("__rank"), F.col(c).alias("__perm"))
+            perm = numbered.join(other, "__rank").withColumn(c, F.col("__perm")).drop("__perm", "__rank")
             pred = model.transform(assemble(perm) if assemble else perm)
             r2 = regression_metrics(pred, label, "prediction", log_target=False).select("r2").first()[0]
             drops.append(base_r2 - r2)
@@ -90,18 +96,19 @@ def permutation_importance(model, df: DataFrame, feature_cols, key: str, label:
 
 def rfe(fit_fn, df: DataFrame, features, n_keep: int, step: int = 1):
     """V5: recursive elimination: fit, drop the ``step`` least important, repeat.
+    Kept features rank 1, those dropped last rank 2, and so on.
     ``fit_fn(df, features) -> importances`` (list aligned with features)."""
     current = list(features)
-    ranking = {}
+    rounds = []
     while len(current) > n_keep:
         imp = fit_fn(df, current)
         order = sorted(zip(current, imp), key=lambda t: (t[1], t[0]))
         k = min(step, len(current) - n_keep)
-        for name, _ in order[:k]:
-            ranking[name] = len(current)
-            current.remove(name)
-    for name in current:
-        ranking[name] = 1
+        rounds.append([name for name, _ in order[:k]])
+        current = [name for name in current if name not in rounds[-1]]
+    ranking = dict.fromkeys(current, 1)
+    for rank, names in enumerate(reversed(rounds), start=2):
+        ranking |= dict.fromkeys(names, rank)
     return current, ranking
 
 

@@ -35,14 +35,17 @@ def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, col: str = "
 def regressor(name: str, features_col: str = "features", label_col: str = "label", **params):
     """M2/M5: linear / ridge / lasso / tree / forest / boosting.
 
-    ridge and lasso take ``alpha`` as scikit-learn does; MLlib's objective
-    divides the loss by n, so ``regParam = alpha / n`` needs ``n`` (rows).
+    ridge and lasso take ``alpha`` of the objectives ``|y - Xw|^2 + alpha |w|_2^2``
+    and ``|y - Xw|^2 / (2n) + alpha |w|_1``. MLlib minimises the mean loss, and
+    scales the L2 penalty by the label's standard deviation: lasso's alpha is its
+    ``regParam``; ridge's is ``alpha / n * label_std`` and needs both
+    (``label_scale``).
     """
     common = {"featuresCol": features_col, "labelCol": label_col}
     if name in ("linear", "ridge", "lasso"):
-        n = params.pop("n", 1)
+        n, label_std = params.pop("n", 1), params.pop("label_std", 1.0)
         alpha = params.pop("alpha", 1.0)
-        reg = 0.0 if name == "linear" else alpha / n
+        reg = {"linear": 0.0, "ridge": alpha / n * label_std, "lasso": alpha}[name]
         enet = 1.0 if name == "lasso" else 0.0
         return LinearRegression(regParam=reg, elasticNetParam=enet, standardization=params.pop("standardization", False),
                                 solver=params.pop("solver", "auto"), **common, **params)
@@ -55,6 +58,12 @@ def regressor(name: str, features_col: str = "features", label_col: str = "label
     raise ValueError(f"unknown regressor {name!r}")
 
 
+def label_scale(df: DataFrame, label_col: str = "label") -> dict:
+    """Rows and sample standard deviation of the label, as ridge takes them."""
+    r = df.agg(F.count(label_col).alias("n"), F.stddev_samp(label_col).alias("s")).first()
+    return {"n": max(1, r.n), "label_std": float(r.s or 0.0)}
+
+
 def ols_summary(df: DataFrame, names, features_col: str = "features", label_col: str = "label") -> DataFrame:
     """M3: coefficients with standard errors, t and p values, plus R² (normal
     equations, one distributed pass for the Gram matrix)."""

@@ -4,14 +4,14 @@ the definition of ``percentile``/``median``/``quantile_cont``).
 Spark's exact ``percentile`` merges a value -> count map per group in one
 task: fine for bounded domains (2-dp prices, integer areas), but a hot group
 of continuous values would put billions of distinct values in one task.
-Here each group needs two passes and O(accuracy) memory:
+Here each group needs two passes, and no list of rows is ever built:
 
 1. per group: ``count`` and ``percentile_approx`` at ``q -+ margin/accuracy``.
    The sketch's rank error is at most n/accuracy, so the two values bracket
    the rows of the exact target ranks.
-2. per group: the number of rows below the bracket and the values inside it
-   (about 2*margin*n/accuracy of them), sorted; the target ranks are read
-   from that short array and interpolated.
+2. per group: the number of rows below the bracket, and a count per distinct
+   value inside it (ties collapse, so at most about 2*margin*n/accuracy
+   values); the target ranks are read from the running counts and interpolated.
 
 A group whose bracket check fails (it cannot, within the sketch's error
 bound, but the check is cheap) falls back to the exact built-in aggregate
@@ -22,7 +22,7 @@ planned when some group needs it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.session import cut_lineage
 
@@ -38,22 +38,6 @@ def _probe_list(qs, accuracy: int, margin: float):
     return out
 
 
-def _pick(win: Column, below: Column, n: Column, q: float) -> tuple[Column, Column]:
-    """Interpolated value at ``q`` from the sorted window; and its validity."""
-    pos = (n - 1) * F.lit(float(q))
-    r0 = F.floor(pos).cast("long")
-    frac = pos - r0
-    # the next rank is only needed when the position falls between two ranks
-    r1 = F.when(frac > 0, F.least(r0 + 1, n - 1)).otherwise(r0)
-    i0, i1 = r0 - below, r1 - below
-    size = F.size(win).cast("long")
-    ok = (n > 0) & (i0 >= 0) & (i1 < size) & (i0 < size)
-    v0 = F.get(win, i0.cast("int"))
-    v1 = F.get(win, i1.cast("int"))
-    val = F.when(frac > 0, v0 + frac * (v1 - v0)).otherwise(v0)
-    return F.when(ok, val), ok
-
-
 def grouped_quantiles(df: DataFrame, keys, col: str, qs, accuracy: int = DEFAULT_ACCURACY,
                       margin: float = MARGIN, out_prefix: str = "q") -> DataFrame:
     """Exact quantiles per group: ``keys..., {out_prefix}0, {out_prefix}1, ...``
@@ -71,19 +55,31 @@ def grouped_quantiles(df: DataFrame, keys, col: str, qs, accuracy: int = DEFAULT
     st = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
                               F.percentile_approx("__x", probes, accuracy).alias("__pa"))
     j = s.join(F.broadcast(st) if glob else st, on=keys)
-    aggs = []
-    for i, _ in enumerate(qs):
-        lo, hi = F.col("__pa")[2 * i], F.col("__pa")[2 * i + 1]
-        x = F.col("__x")
-        aggs += [F.count_if(x < lo).alias(f"__b{i}"),
-                 F.array_sort(F.collect_list(F.when((x >= lo) & (x <= hi), x))).alias(f"__w{i}")]
-    win = j.groupBy(*keys, "__n").agg(*aggs)
-    cols, oks = [], []
-    for i, q in enumerate(qs):
-        v, ok = _pick(F.col(f"__w{i}"), F.col(f"__b{i}"), F.col("__n"), q)
-        cols.append(v.alias(f"{out_prefix}{i}"))
-        oks.append(ok)
-    res = win.select(*keys, *cols, F.aggregate(F.array(*oks), F.lit(True), lambda a, b: a & b).alias("__ok"))
+    x = F.col("__x")
+    bounds = [(F.col("__pa")[2 * i], F.col("__pa")[2 * i + 1]) for i in range(len(qs))]
+    below = j.groupBy(*keys, "__n").agg(F.array(*[F.count_if(x < lo) for lo, _ in bounds]).alias("__below"))
+    # the values inside the brackets, counted: ties collapse before the shuffle, and no list of rows is built
+    held = F.filter(F.array(*[F.when((x >= lo) & (x <= hi), F.lit(i)) for i, (lo, hi) in enumerate(bounds)]),
+                    lambda i: i.isNotNull())
+    counts = j.select(*keys, "__x", F.explode(held).alias("__i")).groupBy(*keys, "__i", "__x").agg(
+        F.count(F.lit(1)).alias("__c"))
+    pos = (F.col("__n") - 1) * F.get(F.array(*map(F.lit, qs)), F.col("__i"))
+    r0 = F.floor(pos).cast("long")
+    # the next rank is only needed when the position falls between two ranks
+    r1 = F.when(pos > r0, F.least(r0 + 1, F.col("__n") - 1)).otherwise(r0)
+    running = Window.partitionBy(*keys, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(below, on=keys).withColumn("__b", F.get("__below", F.col("__i"))).withColumn(
+        "__cum", F.col("__b") + F.sum("__c").over(running))
+    picked = placed.groupBy(*keys, "__n", "__i", "__b").agg(
+        F.min(F.when(F.col("__cum") > r0, x)).alias("__v0"), F.min(F.when(F.col("__cum") > r1, x)).alias("__v1"))
+    value = F.when(r0 >= F.col("__b"), F.col("__v0") + F.when(
+        pos > r0, (pos - r0) * (F.col("__v1") - F.col("__v0"))).otherwise(0.0))
+    at = picked.select(*keys, "__i", value.alias("__v")).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(f"{out_prefix}{i}") for i in range(len(qs))])
+    res = at.withColumn("__ok", F.aggregate(F.array(*[F.col(f"{out_prefix}{i}").isNotNull() for i in range(len(qs))]),
+                                            F.lit(True), lambda a, b: a & b))
+    # a group whose every bracket missed has no row yet
+    res = below.select(*keys).join(res, on=keys, how="left").fillna(False, subset=["__ok"])
     # one small row per group: materialise it, so the exact fallback is only
     # planned when a group actually needs it (a lazy fallback branch would
     # re-read and sort all values just to semi-join them with nothing)

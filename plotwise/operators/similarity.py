@@ -129,9 +129,11 @@ def standardise_long(long_df: DataFrame, entities: DataFrame, id_col: str, key:
     per-entry deltas ``d = (x - default)/std`` (zero variance -> 0)."""
     n = entities.select(F.count(F.lit(1))).scalar()
     dd = long_df.select(id_col, key, (F.col(value) - default).alias("__d"))
-    stats = dd.groupBy(key).agg(F.sum("__d").alias("s1"), F.sum(F.col("__d") * F.col("__d")).alias("s2"))
-    mean_d = F.col("s1") / n
-    var = F.greatest(F.col("s2") / n - mean_d * mean_d, F.lit(0.0))
+    # the present values' mean and variance, combined with the n - c defaults (whose d is 0)
+    stats = dd.groupBy(key).agg(F.count("__d").alias("c"), F.avg("__d").alias("m"), F.var_pop("__d").alias("v"))
+    part = F.col("c") / n
+    mean_d = F.col("m") * part
+    var = F.col("v") * part + F.col("m") * F.col("m") * part * (1 - part)
     std = F.sqrt(var)
     stats = stats.select(key, std.alias("std"), F.when(std > 0, (-mean_d) / std).otherwise(0.0).alias("z0"))
     deltas = dd.join(stats, on=key).select(

@@ -32,8 +32,7 @@ def clean_source(raw: DataFrame, kind: str) -> DataFrame:
     df = Fl.not_null(df, "bedRoom")
     out = clean_listing_columns(df, kind)
     out = out.withColumn("area", X.half_even(X.safe_div(F.col("price") * 1e7, F.col("price_per_sqft")), 0))
-    keep = df.select("listing_id", "property_name", F.coalesce("facing", F.lit("NA")).alias("facing"))
-    return out.join(keep, on="listing_id")
+    return out.withColumn("facing", F.coalesce("facing", F.lit("NA")))
 
 
 def with_sector(df: DataFrame, min_count: int = rules.LOCALITY_MIN_COUNT) -> DataFrame:

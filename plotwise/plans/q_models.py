@@ -133,7 +133,7 @@ def e8(spark, d):
 @query("e9_elbow")
 def e9(spark, d):
     counts, items = _furnish_counts(spark, d)
-    return E.elbow(counts, items, k_max=6, seed=SEED)
+    return E.elbow(counts, items, k_max=10, seed=SEED)
 
 
 @query("m1_split")
@@ -150,13 +150,13 @@ def _train_test(spark, d):
     return transform(train), transform(test), names
 
 
-def _candidates(n_train):
+def _candidates(train):
     return {
         "linear": M.regressor("linear"),
-        "ridge": M.regressor("ridge", alpha=1.0, n=n_train),
-        "lasso": M.regressor("lasso", alpha=0.001, n=n_train),
+        "ridge": M.regressor("ridge", alpha=1.0, **M.label_scale(train)),
+        "lasso": M.regressor("lasso", alpha=0.01),
         "tree": M.regressor("tree", maxDepth=8),
-        "forest": M.regressor("forest", numTrees=20, maxDepth=8),
+        "forest": M.regressor("forest", numTrees=100, maxDepth=8),
         "boosting": M.regressor("boosting", maxIter=20, maxDepth=5),
     }
 
@@ -164,8 +164,7 @@ def _candidates(n_train):
 @query("m2_m5_m7_compare_models")
 def m7(spark, d):
     train, test, _ = _train_test(spark, d)
-    n = train.count()
-    return M.compare_models(_candidates(n), train, test)
+    return M.compare_models(_candidates(train), train, test)
 
 
 @query("m3_ols_summary")

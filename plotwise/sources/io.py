@@ -39,11 +39,12 @@ MODEL_SCHEMA = T.StructType([
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
-             null_values=("nan", "NA")) -> DataFrame:
-    """Header row, quoted fields with embedded commas/newlines, explicit
-    schema; the text markers the reference treats as missing become null."""
+             null_values=("nan", "NA"), multi_line: bool = False) -> DataFrame:
+    """Header row, quoted fields with embedded commas, explicit schema; the
+    text markers for missing values become null. ``multi_line`` allows line
+    breaks within quotes, at the price of one task per file."""
     df = (spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"')
-          .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+          .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     if null_values:
         from pyspark.sql import functions as F
         df = df.select(*[F.when(F.col(f"`{f.name}`").isin(list(null_values)), None)
@@ -69,9 +70,13 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """S3: load a saved ``PipelineModel`` (or any MLlib model with a reader)."""
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """S3: load any saved MLlib model; its class is in its metadata."""
+    import importlib
+
+    from pyspark.ml.util import DefaultParamsReader
+    saved = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"]
+    module, name = saved.replace("org.apache.spark", "pyspark").rsplit(".", 1)
+    return getattr(importlib.import_module(module), name).load(path)
 
 
 def write_metrics_json(spark: SparkSession, metrics: dict, path: str) -> DataFrame:
@@ -79,8 +84,3 @@ def write_metrics_json(spark: SparkSession, metrics: dict, path: str) -> DataFra
     row = spark.createDataFrame([tuple(metrics.values())], list(metrics.keys()))
     row.coalesce(1).write.mode("overwrite").json(path)
     return row
-
-
-def metrics_frame(metrics_df: DataFrame) -> DataFrame:
-    """S4 from a distributed metrics aggregate (e.g. V1): already one row."""
-    return metrics_df.limit(1)

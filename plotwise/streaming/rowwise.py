@@ -25,7 +25,7 @@ def clean_listing_columns(df: DataFrame, kind: str = "flat") -> DataFrame:
         F.lower(F.coalesce(F.col("additionalRoom"), F.lit("not available"))).alias("additionalRoom"),
         X.floor_number(floor, kind=kind).alias("floorNum"),
         X.categorise_age("agePossession").alias("agePossession"),
-        "areaWithType", "furnishDetails", "features",
+        "areaWithType", "furnishDetails", "features", "property_name", "facing",
     )
 
 

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -86,3 +87,45 @@ def test_cv_and_random_search(linear):
     est = M.regressor("tree")
     maps = M.random_param_maps(est, {"maxDepth": [2, 3, 4]}, n_iter=2, seed=1)
     assert len(maps) == 2
+
+def test_ridge_and_lasso_match_the_closed_form(spark):
+    """One centred unit-variance feature, slope 2: ridge gives 2 n / (n + alpha), lasso 2 - alpha."""
+    n = 400
+    xs = [1.0 if i % 2 else -1.0 for i in range(n)]
+    df = spark.createDataFrame([(Vectors.dense([x]), 2.0 * x + 3.0) for x in xs], ["features", "label"])
+    scale = M.label_scale(df)
+    ridge = M.regressor("ridge", alpha=float(n), **scale).fit(df)
+    lasso = M.regressor("lasso", alpha=0.5).fit(df)
+    assert abs(ridge.coefficients[0] - 1.0) < 5e-3 and abs(ridge.intercept - 3.0) < 1e-6
+    assert abs(lasso.coefficients[0] - 1.5) < 5e-3
+
+
+def test_load_model_reads_any_saved_model(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from plotwise.sources import io
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(60)], ["x", "label"])
+    vec = VectorAssembler(inputCols=["x"], outputCol="features")
+    forest = M.regressor("forest", numTrees=3)
+    for i, (est, data) in enumerate([(forest, vec.transform(df)), (Pipeline(stages=[vec, forest]), df)]):
+        model = M.refit_and_save(est, data, str(tmp_path / str(i)))
+        want = [r.prediction for r in model.transform(data).orderBy("x").collect()]
+        back = io.load_model(str(tmp_path / str(i)))
+        assert [r.prediction for r in back.transform(data).orderBy("x").collect()] == want
+
+
+def test_rfe_ranks_and_permutation_importance(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from plotwise.operators import evaluate as V
+    weights = {"a": 5, "b": 4, "c": 3, "d": 2, "e": 1}
+    kept, ranks = V.rfe(lambda df, fs: [weights[f] for f in fs], None, list(weights), n_keep=2)
+    assert kept == ["a", "b"] and ranks == {"a": 1, "b": 1, "c": 2, "d": 3, "e": 4}
+    df = spark.createDataFrame([(i, float(i % 11), float(i % 3), 4.0 * (i % 11)) for i in range(300)],
+                               ["id", "x", "noise", "label"])
+    vec = VectorAssembler(inputCols=["x", "noise"], outputCol="features")
+    model = M.regressor("linear").fit(vec.transform(df))
+    got = {r.feature: r.importance_mean for r in V.permutation_importance(
+        model, df, ["x", "noise"], "id", n_repeats=3, assemble=lambda f: vec.transform(f.drop("features"))).collect()}
+    assert got["x"] > 0.5 and abs(got["noise"]) < 1e-6

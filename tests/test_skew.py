@@ -59,3 +59,16 @@ def test_hot_key_top_k_and_frequency(spark, skewed):
     assert per["hot"] == 3 and len(per) == 98
     kept = Fl.frequent_keys(skewed, "sector", 10000)
     assert kept.count() == 10000 and kept.select("sector").distinct().first()[0] == "hot"
+
+
+def test_quantiles_collapse_ties(spark):
+    """Constant and few-valued columns: exact, and no list of tied rows in the plan."""
+    from pyspark.sql import functions as F
+
+    from plotwise.operators.quantiles import grouped_quantiles
+    df = spark.range(20_000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.lit(7.0).alias("c"),
+                                    (F.col("id") % 50).cast("double").alias("f"))
+    for col in ("c", "f"):
+        got = {r.g: (r.q0, r.q1) for r in grouped_quantiles(df, ["g"], col, [0.25, 0.5]).collect()}
+        want = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile(col, [0.25, 0.5]).alias("q")).collect()}
+        assert got == want
