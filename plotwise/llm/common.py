@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text as an array; null, empty and wordless texts give an empty array."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP, " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_hashes(text: Column) -> Column:
