@@ -6,7 +6,7 @@ word put in, left out or replaced) makes them equal. A line stays if no
 earlier line of the corpus is the same; earlier is by (doc_id, line number).
 
 The deletion neighbourhood of a line is the line and its variants with one
-word left out, as hashes. Lines at an edit of one share a variant: the same
+word left out, as hashes (each a xor over the hashes of word and place). Lines at an edit of one share a variant: the same
 place left out of both (replaced), or one whole line (put in or left out).
 Equal variants are joined, and the earliest line of each is compared word by
 word with the others, so a group gives as many pairs as lines.
@@ -19,7 +19,7 @@ occur twice are joined. Everything is a built-in expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.llm.common import cut_lineage, words
 
@@ -57,8 +57,10 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "k1", "k2", F.struct("doc_id", "line_no").alias("pos"), F.size("w").alias("n"),
         F.xxhash64(F.lit("head"), F.slice("w", 1, END)).alias("head"),
         F.xxhash64(F.lit("tail"), F.slice("w", -END, END)).alias("tail"))
-    return cut_lineage(keyed.filter("n > 0").groupBy("k1", "k2").agg(
-        F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")))
+    # blank lines are one key, dropped behind the aggregate: a filter before it would be pushed below the words
+    return cut_lineage(keyed.groupBy("k1", "k2").agg(
+        F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+        .filter("n > 0"))
 
 
 def near_earlier(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,10 +75,20 @@ def near_earlier(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     held = cut_lineage(held.join(_small(wanted), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
                                  & F.col("at").eqNullSafe(F.col("pos"))).select("k1", "k2", "pos", "w")
                        .dropDuplicates(["k1", "k2"]))
-    variants = held.select("k1", "k2", "pos", F.explode(F.transform(
-        F.sequence(F.lit(-1), F.size("w") - 1),
-        lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("w"), i)).alias("h")))).alias("v")).select(
-        "k1", "k2", "pos", "v.i", "v.h")
+    # a variant's hash from those of the words before and behind the gap, whose places move up by one: running
+    # xors over the words of a line, so a line of n words costs n steps and not n squared
+    line = held.repartition("k1", "k2").select("k1", "k2", "pos", F.posexplode("w").alias("i", "word")).select(
+        "k1", "k2", "pos", "i", F.xxhash64("i", "word").alias("here"), F.xxhash64(F.col("i") - 1, "word").alias("moved"))
+    upto = Window.partitionBy("k1", "k2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("k1", "k2")
+    sums = line.select("k1", "k2", "pos", "i", "here", "moved", F.bit_xor("here").over(upto).alias("head"),
+                       F.bit_xor("moved").over(upto).alias("gone"), F.bit_xor("here").over(behind).alias("whole"),
+                       F.bit_xor("moved").over(behind).alias("all"))
+    short = sums.select("k1", "k2", "pos", "i", F.xxhash64(F.col("head").bitwiseXOR(F.col("here")).bitwiseXOR(
+        F.col("all")).bitwiseXOR(F.col("gone"))).alias("h"))
+    variants = short.union(sums.filter("i = 0").select(
+        "k1", "k2", "pos", F.lit(-1).alias("i"), F.xxhash64("whole").alias("h")))
+    variants = cut_lineage(variants)
     live = cut_lineage(variants.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"))
     variants = cut_lineage(variants.join(_small(live), "h"))
     whole, short = variants.filter("i < 0"), variants.filter("i >= 0")
