@@ -31,6 +31,10 @@ HEADLINE = [
     "e4_target_encode",            # grouped encoding joined back
     "v1_regression_metrics",       # one-aggregate metrics
     "v10_dataset_stats",           # nulls, duplicates, price summary
+    "m3_ols_summary",              # normal equations
+    "m6_kfold_cv",                 # forest, five folds
+    "m11_refit_and_save",          # fit on all rows and save
+    "x1_prepare_model_table",      # raw exports to the model table
 ]
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plotwise.operators.joins import grouped_side
+
 MAX_CATEGORIES = 10_000
 
 
@@ -69,7 +71,7 @@ def target_encode(df: DataFrame, col: str, target: str, fit_df: DataFrame | None
     stats = fit_df.groupBy(col).agg(F.avg(target).alias("__m"), F.count(F.lit(1)).alias("__n"))
     s = 1.0 / (1.0 + F.exp(-(F.col("__n") - min_samples_leaf) / smoothing))
     stats = stats.select(col, (s * F.col("__m") + (1 - s) * prior).alias("__enc"))
-    res = df.join(stats, on=col, how="left")
+    res = df.join(grouped_side(stats), on=col, how="left")
     return res.withColumn(out or f"{col}_te", F.coalesce(F.col("__enc"), prior)).drop("__enc")
 
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from plotwise.operators.joins import grouped_side
+
 
 def drop_sentinel(df: DataFrame, col: str, sentinel: str) -> DataFrame:
     """``col != sentinel`` keeping nulls (pandas semantics)."""
@@ -50,11 +52,10 @@ def frequent_keys(df: DataFrame, key: str, min_count: int = 3) -> DataFrame:
     """keep rows whose key occurs at least ``min_count`` times.
 
     Counted with a partial/final aggregate (map-side combine) and applied with
-    a left-semi join; the key list is tiny next to the rows, so AQE turns the
-    semi join into a broadcast at run time when it measures it small.
+    a left-semi join with the list of keys (``joins.grouped_side``).
     """
     keep = df.groupBy(key).count().filter(F.col("count") >= min_count).select(key)
-    return df.join(keep, on=key, how="left_semi")
+    return df.join(grouped_side(keep), on=key, how="left_semi")
 
 
 def exclude_value(df: DataFrame, col: str, value) -> DataFrame:

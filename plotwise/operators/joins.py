@@ -13,14 +13,27 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from plotwise.session import cut_lineage
+
 # Rows we accept to broadcast after counting them (a lookup table, not data).
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only when the table is proven small; else leave it to AQE."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+BROADCAST_BYTE_LIMIT = 64 << 20
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, byte_limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast only when the table is proven small in rows and text bytes; else leave it to AQE."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    size = F.sum(reduce(lambda a, b: a + b, texts, F.lit(8 * len(df.columns)).cast("bigint")))
+    r = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return F.broadcast(df) if r.n <= limit and (r.b or 0) <= byte_limit else df
+
+
+def grouped_side(df: DataFrame) -> DataFrame:
+    """A grouped table to be joined back: computed once, and broadcast if that is proven small, so that
+    the rows it came from are not shuffled by their group's key."""
+    return checked_broadcast(cut_lineage(df))
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on, how: str = "inner",

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plotwise.operators.joins import checked_broadcast
+
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
     """``sort_values(...).head(k)``; ``order`` must end with a unique tie key."""
@@ -36,6 +38,8 @@ def nearest_k_batch(candidates: DataFrame, requests: DataFrame, on, value: str,
     cond = [candidates[c] == requests[c] for c in on]
     if range_col is not None:
         cond.append(candidates[range_col].between(requests[range_target] - spread, requests[range_target] + spread))
+    # requests are many or few: counted first, and broadcast if few
+    requests = checked_broadcast(requests)
     joined = candidates.join(requests, on=cond, how="inner").select(
         requests[request_id], candidates[tie], candidates[value],
         F.abs(candidates[value] - requests[target]).alias("distance"))
