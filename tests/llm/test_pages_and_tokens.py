@@ -162,3 +162,27 @@ def test_extraction_of_templated_pages(spark):
     assert got[104, "http://long.example/"].n_chars == 499_999
     assert html_extract.extract(pages(spark, rows)).count() == len(rows)
     assert html_extract.extract(pages(spark, [])).count() == 0
+
+
+def test_the_template_decides_on_marked_pages_too(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(12):
+        body = [f"Title {i}", H.sentence(rng, 40), H.sentence(rng, 30)]
+        # a notice without a listed name, on most pages only, and a sentence without an element of its own
+        notice = '<div class="box"><p>Write to us, we like mail.</p></div>' if i % 4 else ""
+        rows.append((i, f"http://a.example/{i}", f"<html><body><article><h1>{body[0]}</h1><p>{body[1]}</p>{notice}"
+                     f"<p>Read on below.</p><p>{body[2]}</p></article></body></html>"))
+        want[i] = "\n\n".join(body)
+        # the only article is a teaser
+        rows.append((100 + i, f"http://b.example/{i}", f"<html><body><article><p>Teaser {i}</p></article>"
+                     f"<div><h1>{body[0]}</h1><p>{body[1]}</p><p>{body[2]}</p></div></body></html>"))
+        want[100 + i] = want[i]
+    # an article that is there twice under equal html, on a host of five pages, is no template
+    rows += [(200 + i, f"http://c.example/{i}", f"<html><body><article><p>Text of page {max(i, 3)}</p></article></body></html>")
+             for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    for i in range(12):
+        assert got[i] == want[i]
+        assert want[i] in got[100 + i]
+    assert all(got[200 + i] == f"Text of page {max(i, 3)}" for i in range(6))
