@@ -186,3 +186,20 @@ def test_the_template_decides_on_marked_pages_too(spark):
         assert got[i] == want[i]
         assert want[i] in got[100 + i]
     assert all(got[200 + i] == f"Text of page {max(i, 3)}" for i in range(6))
+
+
+def test_whole_frame_and_slots_by_the_template(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(9):
+        body = H.sentence(rng, 60)
+        # over 400 frame tags before the text, each slot of this menu a link of its own
+        menu = "".join(f'<div id="m{k}"><a href="/{k}">{k} of {i}</a></div>' for k in range(300))
+        # a short section, and a paragraph that is mostly one link
+        rows.append((i, f"http://a.example/{i}", f'<html><body>{menu}<div id="t"><h1>Title {i}</h1>{body}</div><div id="s"><p>Short {i}</p>'
+                     f'</div><div id="r"><p>{body[::-1]}</p><p>See <a href="/x">the very long name of paper {i}</a></p></div></body></html>'))
+        want[i] = "\n\n".join([f"Title {i}", body, f"Short {i}", body[::-1], f"See the very long name of paper {i}"])
+    rows += [(20, None, "<ul><li><a href='/'>Menu</a></li></ul><p>Some text that is longer.</p><p><a href='/'>A link.</a></p>")]
+    want[20] = "Some text that is longer.\n\nA link."
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == want
