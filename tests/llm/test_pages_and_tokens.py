@@ -203,3 +203,22 @@ def test_whole_frame_and_slots_by_the_template(spark):
     want[20] = "Some text that is longer.\n\nA link."
     got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
     assert got == want
+
+
+def test_names_do_not_empty_a_page(spark):
+    rng = random.Random(13)
+    body = [H.sentence(rng, 30) for _ in range(6)]
+    text = "<h1>Title</h1>" + "".join(f"<p>{b}</p>" for b in body)
+    shapes = [f'<body class="single no-sidebar">{text}</body>', f'<body class="search">{text}</body>',
+              f'<body class="comments-open"><article class="post legal">{text}</article></body>',
+              f'<div id="page-search-results">{text}</div>', f'<div id="search">{text}</div><div class="ad">Buy</div>',
+              f'<form id="aspnetForm">{text}</form>', f'<html id="menu"><main class="side">{text}</main></html>',
+              f'<article><div class="side-by-side">{text}</div></article><div class="comments">{H.sentence(rng, 20)}</div>']
+    rows = [(i, None, s) for i, s in enumerate(shapes)]
+    # with a template: an element of a listed name around all slots but one
+    rows += [(100 + i, f"http://a.example/{i}", f'<html><body><div id="overlay"><div id="a"><p>{H.sentence(rng, 9)} {i}</p></div>'
+              f'<div id="b"><p>more {i}</p></div></div><div class="share">Share {i}</div></body></html>') for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    for i in range(len(shapes)):
+        assert got[i] == "\n\n".join(["Title", *body]), shapes[i][:60]
+    assert all(got[100 + i].endswith(f"{i}\n\nmore {i}") for i in range(5))
