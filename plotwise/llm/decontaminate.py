@@ -9,13 +9,17 @@ is verified by the exact weighted Jaccard similarity of the shingles.
 
 Fingerprinting all windows of a corpus for every item size is not feasible
 with built-in expressions (63 counters per word and size), nor needed: a
-window that is similar enough shares ``o = ceil(2 m t / (1 + t))`` shingles
-with the item, so it holds at least one of any ``m - o + 1`` of the item's
-shingles. These few (the item's anchors) are looked up in all documents, and
-only windows around them are fingerprinted. This loses no window.
+window that is similar enough shares at least ``o = ceil(m t)`` shingles with
+the item (a window of m shingles shares ``ceil(2 m t / (1 + t))``, but that of a
+document of n < m shingles only ``ceil(t (m + n) / (1 + t))``, where n >= m t),
+so it holds at least one of any ``m - o + 1`` of the item's shingles. These few
+(the item's anchors) are looked up in all documents, and only windows around
+them are fingerprinted. This loses no window.
 
 The radius of 20 bits keeps a pair at the similarity of 0.8 (cosine 0.889,
 15 % of bits expected to differ) with a probability of 0.9998, and more above.
+Few shingles give coarser bits (four of five: 19 % differ), so the one window
+of a document that is shorter than the item is verified whatever its bits.
 
 Everything is a built-in expression.
 """
@@ -91,7 +95,7 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str, threshold: fl
         .filter(F.size("w") > 0).distinct()
     items = items.withColumn("width", F.least(F.lit(width), F.size("w"))).withColumn(
         "hs", shingle_hashes(F.col("w"), F.col("width"))).withColumn("m", F.size("hs"))
-    need = F.ceil(F.col("m") * 2 * threshold / (1 + threshold) - 1e-9)
+    need = F.ceil(F.col("m") * threshold - 1e-9)
     return cut_lineage(items.select(
         "item_id", F.xxhash64("item_id", "w").alias("item"), "m", "width", "hs",
         F.array_distinct(F.slice(F.sort_array("hs"), F.lit(1), (F.col("m") - need + 1).cast("int"))).alias("anchors")))
@@ -127,6 +131,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             small(anchors.filter(F.col("width") == k), n_anchors), "h").select("row", "n", "pos", "item", "m", "width")
         hits = found if hits is None else hits.union(found)
     hits = cut_lineage(hits)
+    # fewer shingles than that can't reach the threshold
+    hits = hits.filter(F.col("n") >= F.col("m") * threshold - 1e-9)
     size = F.least("m", "n")
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - size + 1), F.least(F.col("pos"), F.col("n") - size))
     windows = hits.select("row", "item", "width", size.alias("size"), F.explode(starts).alias("start")).distinct()
@@ -149,7 +155,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     index = item_prints.select(F.col("item"), "g", F.explode(blocks(F.col("g"))).alias("block"))
     near = prints.select("row", "item", "start", "f", F.explode(blocks(F.col("f"))).alias("block")).join(
         small(index, n_items * BLOCKS), ["item", "block"]).filter(
-        F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("row", "item", "start").distinct()
+        F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("row", "item", "start")
+    near = near.union(hits.filter("n < m").select("row", "item", F.lit(0).alias("start"))).distinct()
     pairs = units(near.join(cuts, ["row", "item", "start"]), "ws").join(
         small(units(items.select("item", "item_id", "hs"), "hs"), n_items if n_items < 50_000 else BROADCAST_ROWS + 1), "item")
     both = F.size(F.array_intersect("ws", "hs"))

@@ -63,6 +63,23 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.decontaminated(H.frame(spark, rows), nothing).count() == len(rows)
 
 
+def test_truncated_items_equal_brute_force(spark):
+    rng = random.Random(14)
+    items, rows = [], []
+    for i in range(120):
+        n = rng.choice([9, 10, 15, 19, 30])
+        items.append((i, H.sentence(rng, n, 5000)))
+        w = items[-1][1].split()
+        for cut in (1, 2, 3):
+            rows.append((len(rows), " ".join(w[:-cut]), "en", "s", 1))
+            rows.append((len(rows), " ".join(w[cut:]), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9))
+           for r in decontaminate.matches(H.frame(spark, rows), bench).collect()}
+    want = brute_matches(rows, items)
+    assert got == want and len(want) > 300
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = random.Random(0)
     for _ in range(200):
