@@ -105,10 +105,11 @@ def slots(h: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """The filter (fixed size), its languages, and each language's false-positive rate."""
+    """The filter (fixed size), its languages, each one's false-positive rate and the share of its n-grams it holds."""
     languages: list[str]
     filter: np.ndarray
     false_positive: np.ndarray
+    coverage: np.ndarray
     hashes: int = HASHES
     n: int = N
 
@@ -126,8 +127,12 @@ class Model:
         f = self.false_positive
         return total, np.maximum(0, (hits - total[:, None] * f) / (1 - f))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score: the winner's share of the corrected counts of all languages."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and coverage.
+
+        The score is the winner's share of the corrected counts of all languages; the coverage is its share of the
+        text's n-grams, over the share expected of a text in that language (1 or about for such a text).
+        """
         total, hits = self.counts(texts)
         best = hits.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
         is_letter, _ = letters()
@@ -136,9 +141,11 @@ class Model:
         top = hits.max(axis=1, initial=0)
         score = np.where(every > 0, top / np.where(every > 0, every, 1), 0.0)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-        return names, np.where(known, score, 0.0)
+        expected = np.maximum(total, 1) * self.coverage[best]
+        covered = np.where(expected > 0, top / np.where(expected > 0, expected, 1), 0.0)
+        return names, np.where(known, score, 0.0), np.where(known, covered, 0.0)
 
 
 def _count(n: int):
@@ -190,15 +197,19 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     languages = sorted(totals)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the filter holds {MAX_LANGUAGES}")
-    table = np.zeros(size, np.uint64)
+    table, held = np.zeros(size, np.uint64), {}
     if languages:
         least = F.create_map(*(F.lit(x) for k in languages for x in (k, max(2.0, totals[k] * min_share))))
         bit = F.create_map(*(F.lit(x) for i, k in enumerate(languages) for x in (k, 1 << i if i < 63 else -(1 << 63))))
         size_of = F.create_map(*(F.lit(x) for k in languages for x in (k, float(totals[k]))))
         share = F.col("n") / size_of[F.col("lang")]
         most = counts.groupBy("gram").agg(F.max(share).alias("most"))
-        kept = counts.join(most, "gram").filter(
-            (F.col("n") >= least[F.col("lang")]) & (share >= F.col("most") * min_ratio)).select("gram", bit[F.col("lang")].cast("bigint").alias("bit"))
+        kept = cut_lineage(counts.join(most, "gram").filter(
+            (F.col("n") >= least[F.col("lang")]) & (share >= F.col("most") * min_ratio)).select(
+            "lang", "gram", "n", (F.col("n") - 1 >= least[F.col("lang")]).alias("again")))
+        # of a text that was not learned from: an n-gram counts if the filter would hold it without that occurrence
+        held = {r.lang: r.n for r in kept.filter("again").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        kept = kept.select("gram", bit[F.col("lang")].cast("bigint").alias("bit"))
 
         def place(batches):
             for b in batches:
@@ -210,34 +221,42 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
             .toPandas()
         table[found["slot"].to_numpy()] = found["bits"].to_numpy(np.int64).view(np.uint64)
     full = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return Model(languages, table, full ** hashes, hashes, n)
+    coverage = np.array([held.get(k, 0) / max(1, totals[k]) for k in languages])
+    return Model(languages, table, full ** hashes, coverage, hashes, n)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1), by the text alone.
+    """``docs`` with ``lang_pred``, ``lang_score`` (0 to 1) and ``lang_coverage``, by the text alone.
 
-    A null text or one without letters is ``und`` with score 0. Ties go to
-    the language that sorts first. Columns of these two names are replaced.
+    The score compares the learned languages with each other; the coverage
+    (0, to 1 or about for a text in the language) tells whether it is one of
+    them. A null text or one without letters is ``und`` with score and coverage
+    0. Ties go to the language that sorts first. Columns of these three names
+    are replaced.
     """
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop("lang_pred", "lang_score", "lang_coverage")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # fixed size: 8 bytes a slot
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, coverage double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
             texts = texts.tolist()
-            names, scores = [], []
+            names, scores, coverages = [], [], []
             for at in range(0, len(texts), 512):
-                a, b = m.predict([t if isinstance(t, str) else None for t in texts[at:at + 512]])
+                a, b, c = m.predict([t if isinstance(t, str) else None for t in texts[at:at + 512]])
                 names += a
                 scores.append(b)
-            yield pd.DataFrame({"lang": names, "score": np.concatenate(scores) if scores else np.empty(0)})
+                coverages.append(c)
+            none = [np.empty(0)]
+            yield pd.DataFrame({"lang": names, "score": np.concatenate(scores or none),
+                                "coverage": np.concatenate(coverages or none)})
 
     out = docs.withColumn("__guess", guess(F.col(text_col).cast("string")))
-    return out.select(*docs.columns, F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("lang_score"))
+    return out.select(*docs.columns, F.col("__guess.lang").alias("lang_pred"), F.col("__guess.score").alias("lang_score"),
+                      F.col("__guess.coverage").alias("lang_coverage"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -54,6 +54,22 @@ def test_pipeline_equals_brute_force(spark, folder):
     assert [tuple(r) for r in got] == want
 
 
+def test_language_stage_drops_other_languages_and_junk(spark, folder):
+    path, rows = folder
+    rng = random.Random(15)
+    stems = ["lö", "äm", "gra", "ust", "vry"]
+    bad = ["".join(rng.choice(stems) for _ in range(4)) + " " for _ in range(60)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)]
+    # without labels, so nothing learns from them; a chance word of a learned language makes their score 1
+    more = [(200, "".join(bad), None, "src0", 1), (201, "".join(bad) + "bado", None, "src0", 1),
+            (202, " ".join(junk), None, "src0", 1), (203, " ".join(junk) + " bado", None, "src0", 1),
+            (204, "мир труд май " * 9, None, "src0", 1), (205, rows[0][1] + " 12 ... " + bad[0], None, "src0", 1)]
+    docs = spark.createDataFrame(rows + more, H.DOCS)
+    got = [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, path).collect()]
+    clean = [r[0] for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    assert sorted(got) == sorted([*clean, 205])
+
+
 def test_stages_keep_the_columns(spark, folder):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     path, _ = folder
