@@ -14,15 +14,18 @@ Joining, with no group expanded into its pairs:
 1. Documents of equal shingle multisets are one node.
 2. ``BANDS`` bands of ``ROWS`` coordinates bring nodes into buckets. A bucket
    of more than ``BUCKET`` nodes is split by as many bands of other
-   coordinates; what is still larger is cut into blocks that share a node.
+   coordinates; what is still larger is cut into blocks that share a node for
+   step 3, and compared block by block in step 5.
 3. In a bucket, the signatures (a byte per coordinate) estimate similarities,
    and a maximum spanning forest over them gives fewer links than nodes.
 4. Links are verified on the exact multisets, and components formed.
 5. An estimate's error must cost no link: where a bucket holds different
    components, their nodes' texts are sent to it, and all pairs across whose
    estimate is within error of the threshold are verified there, until the
-   components are joined or the pairs are done. Only links that join
-   components leave the bucket. Components are formed again.
+   components are joined or the pairs are done. Of a bucket in blocks, each
+   block meets each block of the nodes outside the largest component, so all
+   pairs across meet. Only links that join components leave the bucket.
+   Components are formed again.
 """
 
 from __future__ import annotations
@@ -194,12 +197,13 @@ def forest(sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def across(sketch: np.ndarray, bands: np.ndarray, band: int, label: np.ndarray, least: float,
+def across(sketch: np.ndarray, keys: list[np.ndarray], key: int, label: np.ndarray, least: float,
            verify) -> Iterator[tuple[int, int]]:
     """Verified links that join the components of a bucket, one for each join.
 
     Of the pairs with an estimate of at least ``least``, each is tried in the
-    first bucket that its nodes share, the likeliest first.
+    first bucket (by key) in which both nodes are, the likeliest first.
+    ``keys`` are the buckets of each node, ascending.
     """
     names, where, count = np.unique(label, return_inverse=True, return_counts=True)
     root = list(range(len(names)))
@@ -222,8 +226,7 @@ def across(sketch: np.ndarray, bands: np.ndarray, band: int, label: np.ndarray,
             x, y = find(int(where[i])), find(int(where[j]))
             if x == y:
                 continue
-            common = np.flatnonzero(bands[i, :BANDS] == bands[j, :BANDS])
-            if (not len(common) or common[0] == band) and verify(i, j):
+            if np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key and verify(i, j):
                 root[x] = y
                 yield i, j
 
@@ -272,41 +275,76 @@ def _candidates(least: float):
 
 
 def _joins(least: float, threshold: float, width: int):
-    """(key, node, sketch, bands, band, component, words) to the verified links between components."""
+    """(key, node, sketch, keys, component, words) to the verified links between components."""
     def find(rows):
         have: dict[int, np.ndarray] = {}
 
         def units_of(i):
             if i not in have:
-                have[i] = sorted_units(rows[i][6], width)
+                have[i] = sorted_units(rows[i][5], width)
             return have[i]
 
-        return across(_sketches(rows), np.array([r[3] for r in rows]), rows[0][4], np.array([r[5] for r in rows]),
-                      least, lambda i, j: similarity(units_of(i), units_of(j)) >= threshold)
+        return across(_sketches(rows), [r[3] for r in rows], rows[0][0], np.array([r[4] for r in rows]), least,
+                      lambda i, j: similarity(units_of(i), units_of(j)) >= threshold)
 
     return lambda batches: _links(batches, find)
 
 
-def buckets(nodes: DataFrame, size: int = BUCKET) -> DataFrame:
-    """(key, node, band): the members of all buckets of two or more nodes, at most about ``size`` each."""
+def meetings(nodes: DataFrame, size: int) -> DataFrame:
+    """(key, node, members): all buckets of two or more nodes; those of more than ``size`` split by further bands once."""
     def by(df, key):
-        n = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        n = df.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         return df.join(n, key)
 
-    first = by(nodes.select("node", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key")), "key")
-    small = first.filter(F.col("__n") <= size).select("key", "node", "band")
+    first = by(nodes.select("node", F.explode(F.slice("bands", 1, BANDS)).alias("key")), "key")
     subs = nodes.select("node", F.explode(F.slice("bands", BANDS + 1, BANDS)).alias("sub"))
-    split = by(first.filter(F.col("__n") > size).select("key", "node", "band").join(subs, "node").select(
-        F.xxhash64("key", "sub").alias("key"), "node", "band"), "key")
-    # what other coordinates can't split is alike in all of them: blocks that share the least node
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("__n") / size))
-    large = split.filter(F.col("__n") > size)
-    shared = large.groupBy("key").agg(F.min("node").alias("node"), F.min("band").alias("band"), F.max("__n").alias("__n"))
-    blocks = large.select("key", "node", "band", block.alias("block")).union(shared.select(
-        "key", "node", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("__n") / size) - 1)
-                                                    .cast("bigint"))).alias("block"))).distinct()
-    return small.union(split.filter(F.col("__n") <= size).select("key", "node", "band")).union(
-        blocks.select(F.xxhash64("key", "block").alias("key"), "node", "band"))
+    split = by(first.filter(F.col("members") > size).select("key", "node").join(subs, "node").select(
+        F.xxhash64("key", "sub").alias("key"), "node"), "key")
+    return first.filter(F.col("members") <= size).select("key", "node", "members").union(
+        split.select("key", "node", "members"))
+
+
+def cut(met: DataFrame, size: int) -> DataFrame:
+    """(key, node): the buckets, larger ones in blocks of about ``size`` nodes that share the least node."""
+    n = F.ceil(F.col("members") / size).cast("bigint")
+    large = met.filter(F.col("members") > size)
+    shared = large.groupBy("key").agg(F.min("node").alias("node"), F.max("members").alias("members"))
+    blocks = large.select("key", "node", F.pmod(F.xxhash64("node"), n).alias("block")).union(
+        shared.select("key", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("block"))).distinct()
+    return met.filter(F.col("members") <= size).select("key", "node").union(
+        blocks.select(F.xxhash64("key", "block").alias("key"), "node"))
+
+
+def buckets(nodes: DataFrame, size: int | None = None) -> DataFrame:
+    """(key, node): the members of all buckets of two or more nodes, at most about ``size`` each."""
+    size = size or BUCKET
+    return cut(cut_lineage(meetings(nodes, size)), size)
+
+
+def paired(met: DataFrame, size: int) -> DataFrame:
+    """(key, node, component): buckets of several components, larger ones as pairs of blocks.
+
+    A block of all nodes meets a block of those outside the bucket's largest
+    component, so each pair across components meets, and no task has more than
+    about two blocks.
+    """
+    large = met.filter(F.col("members") > size)
+    parts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("__n")).groupBy("key").agg(
+        F.max(F.struct("__n", "component")).alias("__l"))
+    large = large.join(parts, "key")
+
+    def blocks(n):
+        return F.greatest(F.lit(1), F.ceil(n / size)).cast("bigint")
+
+    alls, others = blocks(F.col("members")), blocks(F.col("members") - F.col("__l.__n"))
+    zero = F.lit(0).cast("bigint")
+    one = large.select("key", "node", "component", F.pmod(F.xxhash64("node"), alls).alias("x"),
+                       F.explode(F.sequence(zero, others - 1)).alias("y"))
+    two = large.filter(F.col("component") != F.col("__l.component")).select(
+        "key", "node", "component", F.explode(F.sequence(zero, alls - 1)).alias("x"),
+        F.pmod(F.xxhash64("node", F.lit(1)), others).alias("y"))
+    tasks = one.union(two).select(F.xxhash64("key", "x", "y").alias("key"), "node", "component").distinct()
+    return met.filter(F.col("members") <= size).select("key", "node", "component").union(tasks)
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -408,7 +446,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          .mapInArrow(_sign(width), "doc_id bigint, node bigint, bands array<bigint>, sketch binary"))
     nodes = cut_lineage(signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    members = cut_lineage(buckets(nodes))
+    whole = cut_lineage(meetings(nodes, BUCKET))
+    members = cut_lineage(cut(whole, BUCKET))
     least = threshold - MARGIN
     tasks = max(8, members.count() // 50_000)
 
@@ -418,12 +457,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = members.join(nodes, "node").select("key", "node", "sketch")
     links = verified(docs, text_col, met(plain, _candidates(least)), threshold, width)
     label = components(links)
-    known = members.join(_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = whole.join(_small(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = known.groupBy("key").agg(F.min("component").alias("__x"), F.max("component").alias("__y")).filter(
         "__x != __y").select("key")
-    rest = cut_lineage(known.join(mixed, "key").select("key", "node", "band", "component"))
-    rest = node_words(docs, text_col, rest, width).join(nodes, "node").select(
-        "key", "node", "sketch", "bands", "band", "component", "words")
+    rest = cut_lineage(paired(cut_lineage(known.join(mixed, "key").select("key", "node", "component", "members")), BUCKET))
+    keys = cut_lineage(rest.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")))
+    rest = node_words(docs, text_col, rest, width).join(nodes, "node").join(keys, "node").select(
+        "key", "node", "sketch", "keys", "component", "words")
     more = cut_lineage(met(rest, _joins(least, threshold, width)))
     # the components of the first links are the nodes of the second
     first = _small(label)

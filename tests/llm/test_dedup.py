@@ -91,6 +91,23 @@ def test_large_buckets_are_split_without_losing_links(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_true_pairs_in_a_template_group_larger_than_a_bucket(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(minhash, "BUCKET", 6)
+    rng = random.Random(7)
+    shared = H.sentence(rng, 100, 9000)
+    # 96 shared shingles and 15 own: 0.76 to each other, but two by two 0.8 and more
+    rows = []
+    for i in range(40):
+        own = [f"o{i}x{k}" for k in range(15)]
+        twin = own[:11] + [f"t{i}x{k}" for k in range(4)]
+        rows += [(2 * i, f"{shared} {' '.join(own)}", "en", "s", 1), (2 * i + 1, f"{shared} {' '.join(twin)}", "en", "s", 1)]
+    sets = [H.shingles(r[1]) for r in rows]
+    assert H.jaccard(sets[0], sets[1]) >= 0.8 > H.jaccard(sets[0], sets[2])
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_classes(H.frame(spark, rows, extra=False)).collect()}
+    assert got == {r[0]: (r[0] // 2 * 2, 2) for r in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)] + [(200, x) for x in range(201, 240)]
     got = collections.defaultdict(set)
