@@ -8,13 +8,14 @@ words is repeated, its first minimiser is less than ``WINDOW`` words from its
 start in every copy, and at least ``LENGTH - WINDOW + 1`` words of right
 context are within the copy.
 
-1. Sort the retained suffixes by that right context (its hash), across the
-   cluster, and compare neighbours: suffixes without an equal neighbour can't
-   be in a repeated passage and go. Within a task, equal suffixes first
+1. Group the retained suffixes by a hash of that right context: those alone
+   in their group can't be in a repeated passage and go. Grouping by equality
+   stands in for sorting and comparing neighbours, as only equal contexts
+   matter; suffixes are nowhere ordered. Within a task, equal suffixes first
    combine, so a passage of a third of all documents is a row a task.
 2. Extend the remaining matches left and right in their documents: every
    window of ``LENGTH`` words around a retained suffix gets its exact hash;
-   sorted again, windows with an equal neighbour are repeated.
+   grouped again, windows that occur twice are repeated.
 3. Overlapping repeated windows join to maximal spans.
 
 The result equals that of comparing all windows of ``LENGTH`` words with one
