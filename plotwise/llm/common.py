@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
@@ -38,6 +39,18 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = 500):
+    """``small_batches`` for the jobs that run inside the block; then the session's own setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, mixing, suffix_dedup, token_output, warc
+from plotwise.llm import (decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, mixing, packing, spelling,
+                          suffix_dedup, token_output, warc, whitening)
 from plotwise.llm.common import table
 
 #: The public tokenizer of the token-id output.
@@ -99,3 +100,19 @@ def op5(spark, sf_dir):
 @query("op9_template_extraction")
 def op9(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark, sf_dir):
+    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))[0]
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

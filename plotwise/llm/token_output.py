@@ -125,11 +125,11 @@ def pre_token_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 class _Vocabulary:
     """Ids of pre-tokens by their hash: sorted keys, and the ids of all in one array."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer_text(source))
         vocab = self.tokenizer.get_vocab()
         # byte-level vocabularies write the space as G with a dot
         self.opens_word = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -222,17 +222,27 @@ class _Vocabulary:
         return out
 
 
-def vocabulary(path: str) -> _Vocabulary:
+def tokenizer_text(source: str) -> str:
+    """The JSON text of a tokenizer, given as text or as the path of its file: the driver reads the file, and tasks
+    get the text, since executors need not have the file."""
+    if source.lstrip().startswith("{"):
+        return source
+    with open(source, encoding="utf-8") as f:
+        return f.read()
+
+
+def vocabulary(source: str) -> _Vocabulary:
+    """The vocabulary of a tokenizer's path or text, made once in a worker."""
     cache = worker_cache()
-    key = f"vocabulary {path}"
+    key = f"vocabulary {len(source)} {hash(source)}"
     if key not in cache:
-        cache[key] = _Vocabulary(path)
+        cache[key] = _Vocabulary(source)
     return cache[key]
 
 
-def encode_all(texts: list[str], path: str, end_id: int = END_ID, chars: int = 1 << 19) -> Iterator[np.ndarray]:
+def encode_all(texts: list[str], source: str, end_id: int = END_ID, chars: int = 1 << 19) -> Iterator[np.ndarray]:
     """The ids of each text with the end id, some ``chars`` characters at a time."""
-    v, group, size = vocabulary(path), [], 0
+    v, group, size = vocabulary(source), [], 0
     for t in [*texts, None]:
         if t is None or size + len(t) > chars:
             for ids in v.encode(group):
@@ -274,15 +284,15 @@ def _compressor(dictionary: bytes):
         zstandard.ZstdDecompressor(dict_data=d)
 
 
-def _encode(tokenizer: str, width: int, dictionary: bytes, bounds: list[int]):
+def _encode(tokenizer, width: int, dictionary: bytes, bounds: list[int]):
     """(key, doc_id, text) to (shard, key, doc_id, n_tokens, frame), where the text is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _compressor(dictionary)[0]
+        pack, source = _compressor(dictionary)[0], tokenizer.value
         cuts = np.array(bounds, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = list(encode_all(part.column(2).to_pylist(), tokenizer))
+                ids = list(encode_all(part.column(2).to_pylist(), source))
                 frames = [pack.compress(x.astype(_dtype(width)).tobytes()) for x in ids]
                 key = part.column(0)
                 shard = np.searchsorted(cuts, np.asarray(key.fill_null(0)), side="left")
@@ -350,7 +360,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         at = [i / n_shards for i in range(1, n_shards)]
         found = rows.agg(F.percentile_approx("key", at, 100 * n_shards).alias("q")).first().q
         bounds = sorted(set(found or []))
-    frames = rows.mapInArrow(_encode(tokenizer, width, dictionary, bounds),
+    source = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
+    frames = rows.mapInArrow(_encode(source, width, dictionary, bounds),
                              "shard int, key bigint, doc_id bigint, n_tokens int, frame binary")
     placed = frames.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions(
         "shard", F.col("key").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "frame")
