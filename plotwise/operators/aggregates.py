@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.functions import numeric
 from plotwise.functions.recode import cut_left_closed
-from plotwise.operators.quantiles import grouped_quantiles
+from plotwise.operators.joins import grouped_side
+from plotwise.operators.quantiles import computed_once, grouped_quantiles, quantile_table
+from plotwise.session import cut_lineage
 
 
 def _q(col: str, q, approx: bool, accuracy: int = 10000) -> Column:
@@ -49,8 +51,8 @@ def kpis(df: DataFrame, price: str = "price", key: str = "sector", area: str = "
             F.countDistinct(key).alias("n_sectors"),
             _q(area, 0.5, approx).alias("median_area"),
         )
-    mp = grouped_quantiles(df, [], price, [0.5]).select("q0").scalar()
-    ma = grouped_quantiles(df, [], area, [0.5]).select("q0").scalar()
+    medians = quantile_table(df, [], [("p", price, 0.5), ("a", area, 0.5)])
+    mp, ma = medians.select("p").scalar(), medians.select("a").scalar()
     n_keys = df.select(key).filter(F.col(key).isNotNull()).distinct().select(F.count(F.lit(1))).scalar()
     return df.agg(F.count(F.lit(1)).alias("total_properties")).select(
         "total_properties", F.round(mp, 2).alias("median_price"), n_keys.alias("n_sectors"), ma.alias("median_area"))
@@ -71,11 +73,7 @@ def group_median(df: DataFrame, keys, measures, approx: bool = False, method: st
     """
     if approx or method == "builtin":
         return df.groupBy(*keys).agg(*[_q(m, 0.5, approx).alias(f"median_{m}") for m in measures])
-    out = None
-    for m in measures:
-        part = grouped_quantiles(df, keys, m, [0.5], out_prefix=f"__{m}_").withColumnRenamed(f"__{m}_0", f"median_{m}")
-        out = part if out is None else out.join(part, on=list(keys), how="full_outer")
-    return out
+    return quantile_table(df, keys, [(f"median_{m}", m, 0.5) for m in measures])
 
 
 def crosstab(df: DataFrame, row: str, col: str, values) -> DataFrame:
@@ -163,10 +161,11 @@ def box_stats(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
     """
     by = list(by or [])
     x = F.col(col)
+    df = computed_once(df.select(*by, col))
     if by:
         q = grouped_quantiles(df, by, col, [0.25, 0.5, 0.75]).select(
             *by, F.array("q0", "q1", "q2").alias("__q"))
-        joined = df.join(q, on=by, how="inner")
+        joined = df.join(grouped_side(q), on=by, how="inner")
     else:
         # one global set of quartiles: a scalar subquery, no join at all
         qv = grouped_quantiles(df, [], col, [0.25, 0.5, 0.75]).select(F.array("q0", "q1", "q2")).scalar()
@@ -185,54 +184,121 @@ def rollup_sum(df: DataFrame, parent: str, child: str, measure: str) -> DataFram
     return df.rollup(parent, child).agg(F.sum(measure).alias("total"), F.grouping_id().alias("level"))
 
 
+def column_values(df: DataFrame, cols) -> DataFrame:
+    """(i, text, number, whole, cnt): the count of each non-null value of each of ``cols`` (number i), all in one pass. A
+    value is in the field of its kind: whole numbers, floating ones, and texts for anything else."""
+    kinds = _numeric_columns(df)
+
+    def cell(i, c):
+        x, kind = F.col(f"`{c}`"), kinds.get(c)
+        no = F.lit(None)
+        return F.struct(F.lit(i).alias("i"), (no if kind in ("whole", "float") else x).cast("string").alias("text"),
+                        (x if kind in ("float", "decimal") else no).cast("double").alias("number"),
+                        (x if kind == "whole" else no).cast("bigint").alias("whole"))
+
+    cells = F.array(*[cell(i, c) for i, c in enumerate(cols)])
+    rows = df.select(F.explode(cells).alias("c")).filter("c.text is not null or c.number is not null or c.whole is not null")
+    return rows.groupBy("c.i", "c.text", "c.number", "c.whole").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _shown(df: DataFrame, cols, value: str = "") -> Column:
+    """The text of a cell of ``column_values``, as its column's own type writes it."""
+    at = {f.name: f.dataType for f in df.schema.fields}
+    out = F.coalesce(F.col(f"{value}text"), F.col(f"{value}whole").cast("string"), F.col(f"{value}number").cast("string"))
+    for i, c in enumerate(cols):
+        if at[c].typeName() == "float":
+            out = F.when(F.col("i") == i, F.col(f"{value}number").cast("float").cast("string")).otherwise(out)
+    return out
+
+
+def _numeric_columns(df: DataFrame) -> dict[str, str]:
+    kinds = {"byte": "whole", "short": "whole", "integer": "whole", "long": "whole", "float": "float", "double": "float",
+             "decimal": "decimal"}
+    return {f.name: kinds[f.dataType.typeName()] for f in df.schema.fields if f.dataType.typeName() in kinds}
+
+
+def top_values(df: DataFrame, cols, k: int) -> DataFrame:
+    """(column_name, rank, value, count, share of the non-null values) of the ``k`` most frequent values of each
+    column, ties to the smallest (numbers by size)."""
+    cols = list(cols)
+    counts = cut_lineage(column_values(df, cols))
+    order = Window.partitionBy("i").orderBy(F.desc("cnt"), "number", "whole", "text")
+    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    totals = counts.groupBy("i").agg(F.sum("cnt").alias("total"))
+    return best.join(F.broadcast(totals), "i").select(
+        F.get(F.array(*map(F.lit, cols)), F.col("i")).alias("column_name"), "rank", _shown(df, cols).alias("value"),
+        F.col("cnt").alias("count"),
+        (F.col("cnt") / F.col("total")).alias("share"))
+
+
+def profile_overview(df: DataFrame, cols=None) -> DataFrame:
+    """One row for the table: rows, columns, missing cells and their share, duplicate rows and their share."""
+    cols = list(cols or df.columns)
+    rows = df.select(*[F.col(f"`{c}`") for c in cols])
+    # copies of a row combine before the shuffle; the distinct rows then count once each
+    distinct = rows.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+    missing = sum((F.when(F.col(f"`{c}`").isNull(), F.col("__n")).otherwise(0) for c in cols), F.lit(0))
+    out = distinct.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
+                       F.coalesce(F.sum(missing), F.lit(0)).alias("n_missing"))
+    n = F.col("n_rows")
+    return out.select("n_rows", F.lit(len(cols)).alias("n_columns"), "n_missing",
+                      F.try_divide("n_missing", n * len(cols)).alias("missing_share"),
+                      (n - F.col("n_distinct")).alias("n_duplicates"),
+                      F.try_divide(n - F.col("n_distinct"), n).alias("duplicate_share"))
+
+
+def distributions(df: DataFrame, cols) -> DataFrame:
+    """(column_name, value, count) of every value of the named columns (few values each), in one pass."""
+    cols = list(cols)
+    return column_values(df, cols).select(F.get(F.array(*map(F.lit, cols)), F.col("i")).alias("column_name"),
+                                          _shown(df, cols).alias("value"), F.col("cnt").alias("count")).orderBy("column_name", F.desc("count"), "value")
+
+
 def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """Per column: count, nulls, distinct values, most frequent value
     (ties -> smallest) and, for numeric columns, mean/std/min/max/quartiles.
 
-    One plain aggregate carries every non-distinct statistic; each column's
-    distinct count and top value come from its own value-count aggregate
-    (map-side combined, one row per distinct value), read back as scalar
-    subqueries. Several exact distinct counts in one aggregate would
-    instead copy every row once per column (Expand).
+    Rows that come out of a join are written once, narrowed to the columns. One
+    plain aggregate carries the moments, one pass over (column, value) cells the
+    distinct counts and top values of all columns, and one ``quantile_table``
+    all quartiles.
     """
-    cols = cols or df.columns
-    num = {f.name for f in df.schema.fields if f.dataType.typeName() in
-           ("integer", "long", "double", "float", "short", "decimal")}
+    cols = list(cols or df.columns)
+    num = [c for c in cols if c in _numeric_columns(df)]
+    df = computed_once(df.select(*[F.col(f"`{c}`") for c in cols]))
     exprs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = F.col(f"`{c}`")
         exprs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}")]
         if c in num:
             exprs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                       F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
             if approx:
                 exprs.append(_q(c, [0.25, 0.5, 0.75], approx).alias(f"q{i}"))
+        if approx:
+            exprs.append(F.approx_count_distinct(x).alias(f"d{i}"))
     row = df.agg(*exprs)
-    if not approx:
-        for i, c in enumerate(cols):
-            if c in num:
-                qv = grouped_quantiles(df, [], c, [0.25, 0.5, 0.75]).select(F.array("q0", "q1", "q2")).scalar()
-                row = row.withColumn(f"q{i}", qv)
+    if num and not approx:
+        at = {c: i for i, c in enumerate(cols)}
+        quartiles = quantile_table(df, [], [(f"{c}:{q}", F.col(f"`{c}`"), q) for c in num for q in (0.25, 0.5, 0.75)]).first()
+        row = row.withColumns({f"q{at[c]}": F.array(*[F.lit(quartiles[f"{c}:{q}"]).cast("double") for q in (0.25, 0.5, 0.75)])
+                               for c in num})
     parts = []
     for i, c in enumerate(cols):
-        vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("cnt"))
-        if approx:
-            n_distinct = df.agg(F.approx_count_distinct(c)).scalar()
-        else:
-            n_distinct = vc.select(F.count(F.lit(1))).scalar()
-        # most frequent value, ties -> smallest (a top-1 over the value counts)
-        top = vc.orderBy(F.desc("cnt"), F.asc(c)).limit(1).select(F.col(c).cast("string")).scalar()
-        if c in num:
-            vals = [F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"),
-                    F.col(f"q{i}")[0], F.col(f"q{i}")[1], F.col(f"q{i}")[2]]
-        else:
-            vals = [F.lit(None).cast("double")] * 7
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"),
-                              F.col(f"z{i}").alias("nulls"), n_distinct.alias("n_distinct"),
-                              top.alias("top"),
+        vals = ([F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"q{i}")[0], F.col(f"q{i}")[1],
+                 F.col(f"q{i}")[2]] if c in num else [F.lit(None)] * 7)
+        parts.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"),
+                              F.col(f"z{i}").alias("nulls"), (F.col(f"d{i}") if approx else F.lit(0)).cast("bigint").alias("d"),
                               *[v.cast("double").alias(n) for v, n in
                                 zip(vals, ["mean", "std", "min", "max", "p25", "p50", "p75"])]))
-    return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    long = row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    # the most frequent value, ties to the smallest: a number as a number, a text by code point
+    best = F.min(F.struct((-F.col("cnt")).alias("c"), "number", "whole", "text"))
+    values = column_values(df, cols).groupBy("i").agg(F.count(F.lit(1)).alias("exact"), best.alias("b")).select(
+        "i", "exact", _shown(df, cols, "b.").alias("top"))
+    return long.join(F.broadcast(values), "i", "left").select(
+        "column_name", "n", "nulls", (F.col("d") if approx else F.coalesce("exact", F.lit(0))).cast("bigint").alias("n_distinct"),
+        "top", "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
 def nunique(df: DataFrame, col: str) -> DataFrame:
@@ -252,8 +318,13 @@ def ols_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def group_mode(df: DataFrame, keys, col: str, out: str = "mode") -> DataFrame:
-    """Most frequent non-null value per group, ties -> smallest."""
-    return df.groupBy(*keys).agg(F.mode(col, True).alias(out))
+    """Most frequent non-null value per group, ties -> smallest; a group without values is null.
+
+    Counts per (group, value) first, so that no task holds a group's values."""
+    x = F.col(col)
+    counts = df.groupBy(*keys, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    order = F.when(F.col("__v").isNotNull(), F.struct((-F.col("__c")).alias("c"), F.col("__v").alias("v")))
+    return counts.groupBy(*keys).agg(F.min_by("__v", order).alias(out))
 
 
 def binned_counts(df: DataFrame, col: str, edges, labels=None) -> DataFrame:

@@ -53,4 +53,5 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     A hash order is independent of partitioning and task retries (unlike
     ``rand``); ``orderBy(..).limit`` runs as a per-partition top-k.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return df.orderBy(order, F.col(key)).limit(n)

@@ -1,18 +1,22 @@
 """Feature encoding (survey 2.12, E1-E9).
 
-Category lists are learnt by a distributed ``distinct`` whose result (one
-row per category) is checked against ``max_categories`` before it reaches
-the driver; everything else is Column expressions or MLlib stages.
+What is fitted, saved and applied to other rows is in ``stages.py`` (E6). Here
+are the one-step forms. Only ``get_dummies`` (E3), whose result has a column
+for each category, brings a category list to the driver, checked against
+``max_categories``.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.operators.joins import grouped_side
+from plotwise.operators.stages import CategoryEncoder
 
 MAX_CATEGORIES = 10_000
 
@@ -26,21 +30,10 @@ def categories(df: DataFrame, col: str, max_categories: int = MAX_CATEGORIES) ->
 
 
 def ordinal_encode(df: DataFrame, cols, fit_df: DataFrame | None = None, suffix: str = "_idx") -> DataFrame:
-    """Categories sorted ascending -> 0..n-1; unknown (or null) -> -1.
-
-    Fits MLlib ``StringIndexer(alphabetAsc, keep)`` and remaps its
-    ``keep`` index (= number of labels) to -1.
-    """
-    fit_df = fit_df if fit_df is not None else df
-    out = df
-    for c in cols:
-        model = StringIndexer(inputCol=c, outputCol=c + "__i", stringOrderType="alphabetAsc",
-                              handleInvalid="keep").fit(fit_df)
-        n = len(model.labels)
-        out = model.transform(out)
-        out = out.withColumn(c + suffix, F.when(F.col(c + "__i") >= n, -1).otherwise(
-            F.col(c + "__i").cast("int"))).drop(c + "__i")
-    return out
+    """Categories sorted ascending -> 0..n-1; unknown (or null) -> -1 (one fitted ``CategoryEncoder``)."""
+    cols = list(cols)
+    out = CategoryEncoder(ordinalCols=cols).fit(fit_df if fit_df is not None else df).transform(df)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{c}__ord").cast("int").alias(c + suffix) for c in cols])
 
 
 def dummy_columns(col: str, cats, prefix: str | None = None) -> dict[str, Column]:
@@ -90,47 +83,6 @@ def standard_scale(df: DataFrame, cols, fit_df: DataFrame | None = None, ddof: i
     return df.withColumns(exprs)
 
 
-def column_transformer(num_cols, ordinal_cols=(), onehot_cols=(), target_cols=(), passthrough=(),
-                       features_col: str = "features"):
-    """A fitted-on-demand feature builder: numeric + ordinal (-1 unknown) +
-    drop-first one-hot (+ target encoding) + passthrough, assembled into one
-    vector. Returns ``fit(df, label) -> (transform(df) -> DataFrame, names)``."""
-
-    def fit(train: DataFrame, label: str):
-        ord_maps = {c: categories(train, c) for c in ordinal_cols}
-        hot_maps = {c: categories(train, c) for c in onehot_cols}
-        te_stats = {}
-        for c in target_cols:
-            prior = train.agg(F.avg(label)).first()[0]
-            te_stats[c] = (prior, train.groupBy(c).agg(F.avg(label).alias("__m"), F.count(F.lit(1)).alias("__n")))
-        names = list(num_cols)
-
-        def transform(df: DataFrame) -> DataFrame:
-            exprs = {}
-            for c, cats in ord_maps.items():
-                idx = F.array_position(F.array(*[F.lit(v) for v in cats]), F.col(c)).cast("int") - 1
-                exprs[f"{c}__ord"] = F.coalesce(idx, F.lit(-1)).cast("double")
-            for c, cats in hot_maps.items():
-                exprs.update({k: v.cast("double") for k, v in dummy_columns(c, cats, f"{c}__hot").items()})
-            out = df.withColumns(exprs) if exprs else df
-            for c, (prior, stats) in te_stats.items():
-                s = 1.0 / (1.0 + F.exp(-(F.col("__n") - 20) / 10.0))
-                enc = stats.select(c, (s * F.col("__m") + (1 - s) * F.lit(prior)).alias(f"{c}__te"))
-                out = out.join(enc, on=c, how="left").fillna({f"{c}__te": prior})
-            cols = list(num_cols) + [f"{c}__ord" for c in ord_maps] + \
-                [k for c, cats in hot_maps.items() for k in dummy_columns(c, cats, f"{c}__hot")] + \
-                [f"{c}__te" for c in te_stats] + list(passthrough)
-            return VectorAssembler(inputCols=cols, outputCol=features_col, handleInvalid="keep").transform(out)
-
-        names.extend(f"{c}__ord" for c in ord_maps)
-        names.extend(k for c, cats in hot_maps.items() for k in dummy_columns(c, cats, f"{c}__hot"))
-        names.extend(f"{c}__te" for c in te_stats)
-        names.extend(passthrough)
-        return transform, names
-
-    return fit
-
-
 def pca_components(df: DataFrame, features_col: str = "features", explained: float = 0.95) -> tuple[PipelineModel, int]:
     """Smallest k whose cumulative explained variance reaches ``explained``
     (one full PCA fit, then the k-component model)."""
@@ -161,12 +113,24 @@ def kmeans_labels(df: DataFrame, cols, k: int = 3, seed: int = 42, out: str = "c
 
 
 def elbow(df: DataFrame, cols, k_max: int = 10, seed: int = 42) -> DataFrame:
-    """Within-cluster sum of squares for k = 1..k_max on standardised data
-    (k = 1 is the total sum of squares, which MLlib's KMeans rejects)."""
+    """Within-cluster sum of squares for k = 1..k_max on standardised columns."""
     vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(df)
-    z = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(vec).transform(vec).cache()
+    z = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(vec).transform(vec)
+    return elbow_vectors(z, "__z", k_max, seed)
+
+
+def label_matrix(df: DataFrame, list_col: str, out: str = "labels", max_labels: int = 1 << 18) -> tuple[DataFrame, list[str]]:
+    """The sparse 0/1 matrix of a column of label lists, over the labels that the data hold (most frequent first),
+    and their names. Null and empty lists are empty rows."""
+    lists = df.withColumn("__l", F.coalesce(F.array_distinct(list_col), F.array().cast("array<string>")))
+    model = CountVectorizer(inputCol="__l", outputCol=out, binary=True, vocabSize=max_labels).fit(lists)
+    return model.transform(lists).drop("__l"), list(model.vocabulary)
+
+
+def elbow_vectors(df: DataFrame, features_col: str, k_max: int = 10, seed: int = 42) -> DataFrame:
+    """E9 on vectors (k = 1 is the total sum of squares, which MLlib's KMeans rejects)."""
+    z = df.select(F.col(features_col).alias("__z")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        from pyspark.ml.stat import Summarizer
         var = z.select(Summarizer.variance(F.col("__z")).alias("v"), F.count(F.lit(1)).alias("n")).first()
         rows = [(1, float(sum(var["v"].toArray()) * (var["n"] - 1)))]
         for k in range(2, k_max + 1):

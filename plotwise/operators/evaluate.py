@@ -13,7 +13,7 @@ from plotwise.functions import rules
 from plotwise.operators import aggregates as A
 from plotwise.operators import nulls as D
 from plotwise.operators.quantiles import exact_quantile
-from plotwise.operators.ranking import running_total
+from plotwise.operators.prefix import global_rank
 from plotwise.session import cut_lineage
 
 
@@ -60,37 +60,49 @@ def tree_importance(model, names) -> list[tuple]:
 
 
 def permutation_importance(model, df: DataFrame, feature_cols, key: str, label: str = "label",
-                           n_repeats: int = 5, seed: int = 42, assemble=None) -> DataFrame:
-    """V4: mean drop in R² when one input column is permuted.
-
-    Rows are numbered once, by a running total over a hash of the key. A
-    repeat pairs row i with row (a i + b) mod n, a seeded bijection, by one
-    equi-join on the number.
+                           n_repeats: int = 30, seed: int = 42, assemble=None) -> DataFrame:
+    """V4: mean drop in R² when one input column is permuted, for all columns and repeats together.
+
+    Rows are numbered once, in the order of their keys. Repeat r gives row i the
+    donor (a_r i + b_r) mod n, a seeded bijection; one join on the number brings
+    the donors of all repeats. Each pair is then spread over the columns, of
+    which one at a time takes the donor's value, so that one projection scores
+    all of it and one aggregate has the errors. ``model`` is anything with
+    ``transform`` from the raw columns (a fitted pipeline), ``assemble`` what is
+    to be done before it.
     """
-    spark = df.sparkSession
-    base_pred = model.transform(assemble(df) if assemble else df)
-    base_r2 = regression_metrics(base_pred, label, "prediction", log_target=False).select("r2").first()[0]
-
-    ranks = running_total(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, "__n", "__rank")
-    numbered = cut_lineage(df.join(ranks.select(key, (F.col("__rank") - 1).alias("__rank")), key))
+    spark, cols = df.sparkSession, list(feature_cols)
+    numbered = cut_lineage(global_rank(df.select(key, label, *[c for c in df.columns if c not in (key, label)]), [key], "__rank"))
     n = numbered.count()
-    rng = random.Random(seed)
-    rows = []
-    for c in feature_cols:
-        drops = []
-        for _ in range(n_repeats):
-            a, b = next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)
-            # a * rank stays below n squared: decimals, as n may be beyond 2^31
-            to = F.pmod(F.col("__rank").cast("decimal(38,0)") * F.lit(a) + F.lit(b), F.lit(n)).cast("bigint")
-            other = numbered.select(to.alias("__rank"), F.col(c).alias("__perm"))
-            perm = numbered.join(other, "__rank").withColumn(c, F.col("__perm")).drop("__perm", "__rank")
-            pred = model.transform(assemble(perm) if assemble else perm)
-            r2 = regression_metrics(pred, label, "prediction", log_target=False).select("r2").first()[0]
-            drops.append(base_r2 - r2)
+    if n == 0 or not cols:
+        return spark.createDataFrame([], "feature string, importance_mean double, importance_std double")
+    rng, shifts = random.Random(seed), []
+    for r in range(n_repeats):
+        a = next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1)
+        shifts.append(F.struct(F.lit(r).alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(rng.randrange(n)).cast("bigint").alias("b")))
+    own = numbered.withColumn("__i", F.col("__rank") - 1).drop("__rank")
+    # a * i stays below n squared: decimals, as n may be beyond 2^31
+    to = F.pmod(F.col("__i").cast("decimal(38,0)") * F.col("__s.a") + F.col("__s.b"), F.lit(n)).cast("bigint")
+    asked = own.withColumn("__s", F.explode(F.array(*shifts))).withColumn("__donor", to)
+    donors = own.select(F.col("__i").alias("__donor"), *[F.col(f"`{c}`").alias(f"__d{k}") for k, c in enumerate(cols)])
+    spread = asked.join(donors, "__donor").withColumn("__k", F.explode(F.array(*[F.lit(k) for k in range(len(cols))])))
+    changed = {c: F.when(F.col("__k") == k, F.col(f"__d{k}")).otherwise(F.col(f"`{c}`")) for k, c in enumerate(cols)}
+    plain = [c for c in df.columns if c not in changed]
+    rows = spread.select(F.col("__k"), F.col("__s.r").alias("__r"), *[F.col(f"`{c}`") for c in plain],
+                         *[v.alias(c) for c, v in changed.items()])
+    base = own.select(F.lit(-1).alias("__k"), F.lit(0).alias("__r"), *[F.col(f"`{c}`") for c in plain],
+                      *[F.col(f"`{c}`") for c in cols])
+    every = base.unionByName(rows)
+    scored = model.transform(assemble(every) if assemble else every)
+    y, p = F.col(label), F.col("prediction")
+    r2 = 1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(F.lit(1)))
+    found = {(r["__k"], r["__r"]): r["r2"] for r in scored.groupBy("__k", "__r").agg(r2.alias("r2")).collect()}
+    result = []
+    for k, c in enumerate(cols):
+        drops = [found[-1, 0] - found[k, r] for r in range(n_repeats)]
         mean = sum(drops) / len(drops)
-        std = (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5
-        rows.append((c, float(mean), float(std)))
-    return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double").orderBy(
+        result.append((c, float(mean), float((sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5)))
+    return spark.createDataFrame(result, "feature string, importance_mean double, importance_std double").orderBy(
         F.desc("importance_mean"), "feature")
 
 
@@ -112,6 +124,13 @@ def rfe(fit_fn, df: DataFrame, features, n_keep: int, step: int = 1):
     return current, ranking
 
 
+def rfe_report(fit_fn, df: DataFrame, features, n_keep: int, step: int = 1) -> list[tuple]:
+    """V5: (feature, rank, importance in the fit on the kept features; null for a dropped one), by rank and importance."""
+    kept, ranking = rfe(fit_fn, df, features, n_keep, step)
+    final = dict(zip(kept, map(float, fit_fn(df, kept))))
+    return sorted(((f, r, final.get(f)) for f, r in ranking.items()), key=lambda t: (t[1], -(t[2] or 0.0), t[0]))
+
+
 def importance_consensus(tables, on: str = "feature", cols=None) -> DataFrame:
     """V6: join importance tables, divide each column by its sum, average the
     chosen columns, sort descending. The column sums are scalar subqueries."""

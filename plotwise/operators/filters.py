@@ -75,3 +75,25 @@ def patch_values(df: DataFrame, patches: DataFrame, key: str, col: str,
     p = patches.select(F.col(key), F.col(value_col).alias("__patch"))
     out = df.join(p, on=key, how="left")
     return out.withColumn(col, F.coalesce(F.col("__patch").cast(df.schema[col].dataType), F.col(col))).drop("__patch")
+
+
+def apply_patches(df: DataFrame, corrections: DataFrame, key: str, column: str = "column", value: str = "value") -> DataFrame:
+    """All corrections of a row in one keyed join.
+
+    ``corrections`` has a row for each cell: a row of null ``value`` drops the
+    listing, any other overwrites the named column, cast to its type (a text
+    that doesn't fit leaves the cell as it was). They are folded to one map for
+    each key; of several for a cell the largest value counts. Columns that
+    ``df`` lacks are ignored.
+    """
+    cells = corrections.filter(F.col(key).isNotNull()).groupBy(F.col(key), F.col(column).alias("__c")).agg(
+        F.max(F.col(value).cast("string")).alias("__v"), F.count_if(F.col(value).isNull()).alias("__d"))
+    maps = cells.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("__c").isNotNull() & F.col("__v").isNotNull(),
+                                                 F.struct("__c", "__v")))).alias("__patch"),
+        (F.sum("__d") > 0).alias("__drop"))
+    joined = df.join(grouped_side(maps), key, "left").filter(~F.coalesce("__drop", F.lit(False)))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return joined.select(*[
+        F.col(f"`{c}`") if c == key else
+        F.coalesce(F.try_element_at("__patch", F.lit(c)).try_cast(kinds[c]), F.col(f"`{c}`")).alias(c) for c in df.columns])

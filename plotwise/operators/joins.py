@@ -33,6 +33,8 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, byte_limi
 def grouped_side(df: DataFrame) -> DataFrame:
     """A grouped table to be joined back: computed once, and broadcast if that is proven small, so that
     the rows it came from are not shuffled by their group's key."""
+    if "LocalRelation" in df._jdf.queryExecution().optimizedPlan().getClass().getName():
+        return F.broadcast(df)  # rows that the driver holds already
     return checked_broadcast(cut_lineage(df))
 
 

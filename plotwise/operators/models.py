@@ -18,7 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def hash_bucket(key: str, seed: int, buckets: int = 100):
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
+    """A bucket from the first 32 bits of MD5 of ``key:seed``: the same in every engine that has MD5."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def hash_bucket_sql(key: str, seed: int, buckets: int = 100) -> str:
+    """``hash_bucket`` in ANSI SQL with MD5 and hexadecimal literals."""
+    return f"(CAST(concat('0x', substr(md5(concat(coalesce(CAST({key} AS VARCHAR), ''), ':{seed}')), 1, 8)) AS BIGINT) % {buckets})"
 
 
 def split(df: DataFrame, key: str, train_pct: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +36,7 @@ def split(df: DataFrame, key: str, train_pct: int = 80, seed: int = 42) -> tuple
 
 def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, col: str = "fold") -> DataFrame:
     """Fold id 0..k-1 from a seeded hash (for ``CrossValidator(foldCol=...)``)."""
-    return df.withColumn(col, F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(k)).cast("int"))
+    return df.withColumn(col, hash_bucket(key, seed + 1, k).cast("int"))
 
 
 def regressor(name: str, features_col: str = "features", label_col: str = "label", **params):
@@ -91,9 +98,11 @@ def cv_scores(estimator, df: DataFrame, fold_col: str = "fold", label_col: str =
     ev = RegressionEvaluator(labelCol=label_col, metricName=metric)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
                         numFolds=num_folds, parallelism=parallelism, collectSubModels=False)
-    # every fold and parameter map rescans the input: persist it once
+    # every fold and parameter map rescans the input: persist what the fit reads, once
     # (memory and disk; lost blocks are recomputed from lineage)
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    features = estimator.getOrDefault("featuresCol") if estimator.hasParam("featuresCol") else None
+    data = df.select(features, label_col, fold_col) if features in df.columns else df
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = cv.fit(data)
     finally:
@@ -112,6 +121,32 @@ def random_param_maps(estimator, space: dict, n_iter: int, seed: int = 42):
     return maps
 
 
+# FIXED VALUES: the two search spaces (what MLlib has no parameter for is left out), and their draws
+FOREST_SPACE = {"numTrees": [100, 150, 200], "maxDepth": [10, 15, 20, 25], "minInstancesPerNode": [2, 4, 6],
+                "featureSubsetStrategy": ["sqrt", "log2", "0.5"]}
+BOOSTING_SPACE = {"maxIter": [100, 150, 200, 250], "stepSize": [0.03, 0.05, 0.1, 0.15], "maxDepth": [3, 4, 5, 6],
+                  "subsamplingRate": [0.7, 0.8, 0.9, 1.0], "minInstancesPerNode": [1, 2, 4],
+                  "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+FOREST_DRAWS, BOOSTING_DRAWS = 20, 25
+
+
+def random_search(df: DataFrame, forest_space: dict = FOREST_SPACE, boosting_space: dict = BOOSTING_SPACE,
+                  forest_draws: int = FOREST_DRAWS, boosting_draws: int = BOOSTING_DRAWS, fold_col: str = "fold",
+                  num_folds: int = 5, seed: int = 42, parallelism: int = 4):
+    """M9: seeded random searches over forests and boosted trees. Returns ({name: best model}, DataFrame of every draw:
+    model, draw, params, cv_mean, cv_std). No draws of a kind: it is left out."""
+    best, rows = {}, []
+    for name, space, draws in (("forest", forest_space, forest_draws), ("boosting", boosting_space, boosting_draws)):
+        if draws:
+            est = regressor(name)
+            maps = random_param_maps(est, space, draws, seed)
+            model, found = cv_scores(est, df, fold_col, grid=maps, num_folds=num_folds, parallelism=parallelism)
+            best[name] = model.bestModel
+            rows += [(name, i, str(sorted(p.items())), m, s) for i, (p, m, s) in enumerate(found)]
+    return best, df.sparkSession.createDataFrame(
+        rows, "model string, draw int, params string, cv_mean double, cv_std double")
+
+
 def compare_models(candidates: dict, train: DataFrame, test: DataFrame, label_col: str = "label",
                    log_target: bool = True) -> DataFrame:
     """M7: fit each candidate, score the test split; r2 on the model scale,
@@ -150,7 +185,19 @@ def model_size_mb(model, path: str) -> float:
 
 
 def refit_and_save(estimator, df: DataFrame, path: str):
-    """Refit on all rows and persist with MLlib's writer."""
+    """Refit on all rows (an estimator, or a pipeline of encoders and estimator) and persist with its own writer."""
     model = estimator.fit(df)
     model.write().overwrite().save(path)
     return model
+
+
+def fit_pipeline(encoders, estimator, df: DataFrame, features_col: str = "features", label_col: str = "label"):
+    """One ``PipelineModel`` of fitted encoders and estimator; the encoded rows (features and label alone) are kept while
+    the estimator passes over them."""
+    from pyspark.ml import PipelineModel
+    encoded = encoders.fit(df)
+    rows = encoded.transform(df).select(features_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[*encoded.stages, estimator.fit(rows)])
+    finally:
+        rows.unpersist()

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.operators.joins import checked_broadcast
+from plotwise.operators.prefix import global_rank, running_totals
+from plotwise.session import cut_lineage
 
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
@@ -49,10 +51,10 @@ def nearest_k_batch(candidates: DataFrame, requests: DataFrame, on, value: str,
 
 def rank_of_key(df: DataFrame, key: str, measure: str) -> DataFrame:
     """Position of every key by mean measure (desc, ties by key) and the
-    number of keys. The window runs over one row per key."""
-    means = df.groupBy(key).agg(F.avg(measure).alias("mean_value"))
-    w = Window.orderBy(F.desc("mean_value"), F.asc(key))
-    return means.withColumn("rank", F.row_number().over(w)).withColumn(
+    number of keys. However many keys there are, no task ranks all of them."""
+    means = cut_lineage(df.groupBy(key).agg(F.avg(measure).alias("mean_value")))
+    ranked = global_rank(means, [F.desc("mean_value"), F.asc(key)], "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn(
         "n_keys", means.select(F.count(F.lit(1))).scalar())
 
 
@@ -66,15 +68,19 @@ def cumulative_share(df: DataFrame, col: str, n: int | None = None) -> DataFrame
     """Value counts in descending order with their running share.
 
     With ``n`` (the head the reference shows) the top n are taken first by a
-    distributed top-k, so the running window sees n rows only.
+    distributed top-k, so the running window sees n rows only; without it the
+    running total goes over range partitions.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.select(F.sum("count")).scalar()
     order = [F.desc("count"), F.asc(col)]
     if n:
-        counts = counts.orderBy(*order).limit(n)
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("cum_share", F.sum("count").over(w) / total).orderBy(*order)
+        total = counts.select(F.sum("count")).scalar()
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.orderBy(*order).limit(n).withColumn("cum_share", F.sum("count").over(w) / total).orderBy(*order)
+    counts = cut_lineage(counts)
+    shares = running_totals(counts, order, {"cum_share": "count"})
+    total = counts.select(F.sum("count")).scalar()
+    return shares.withColumn("cum_share", F.col("cum_share") / total).orderBy(*order)
 
 
 def running_total(df: DataFrame, order_col: str, value_col: str, out: str, buckets: int = 256) -> DataFrame:

@@ -47,12 +47,7 @@ def apply_corrections(df: DataFrame, corrections: DataFrame | None) -> DataFrame
     """keyed drops (value null) and patches (one row per listing/column)."""
     if corrections is None:
         return df
-    drops = corrections.filter(F.col("value").isNull()).select("listing_id")
-    out = Fl.drop_keys(df, drops, "listing_id")
-    for col in [r[0] for r in corrections.filter(F.col("value").isNotNull()).select("column").distinct().collect()]:
-        patch = corrections.filter((F.col("column") == col) & F.col("value").isNotNull()).select("listing_id", "value")
-        out = Fl.patch_values(out, patch, "listing_id", col)
-    return out
+    return Fl.apply_patches(df, corrections, "listing_id")
 
 
 def with_features(df: DataFrame, apartments: DataFrame | None = None, furnish_items=None) -> DataFrame:
@@ -69,12 +64,11 @@ def with_features(df: DataFrame, apartments: DataFrame | None = None, furnish_it
     if furnish_items is None:
         vocab = df.select(F.explode(X.furnishing_items("furnishDetails")).alias("i")).distinct()
         furnish_items = E.categories(vocab, "i")
-    counts = df.select("listing_id", *[X.item_count("furnishDetails", i).cast("double").alias(f"__f{j}")
-                                       for j, i in enumerate(furnish_items)])
     if furnish_items:
-        clusters = E.kmeans_labels(counts, [f"__f{j}" for j in range(len(furnish_items))], k=3,
-                                   out="furnishing_type").select("listing_id", "furnishing_type")
-        df = df.join(clusters, on="listing_id", how="left")
+        # the counts stand beside the other columns, so that no row is joined back to its cluster
+        names = [f"__f{j}" for j in range(len(furnish_items))]
+        df = df.withColumns({n: X.item_count("furnishDetails", i).cast("double") for n, i in zip(names, furnish_items)})
+        df = E.kmeans_labels(df, names, k=3, out="furnishing_type").drop(*names)
     if apartments is not None:
         df = J.fill_from(df, apartments, "society", "PropertyName", "features", "TopFacilities")
     df = df.withColumn("luxury_score", R.weighted_label_score(X.parse_list("features")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotwise.functions import text as X
+from plotwise.operators.filters import apply_patches
 from plotwise.plans import fixtures as fx
 from plotwise.plans.prepare import prepare
 from plotwise.plans.registry import query
@@ -30,7 +31,31 @@ def raw_sources(spark, d):
     return flats, houses, apartments
 
 
+def corrections(spark, d):
+    """A row for each corrected cell of the raw listings; no value: the listing is dropped."""
+    r = fx.raw(spark, d).select("listing_id")
+    drop = r.filter(F.col("listing_id") % 97 == 0).select("listing_id", F.lit(None).cast("string").alias("column"),
+                                                          F.lit(None).cast("string").alias("value"))
+    bed = r.filter(F.col("listing_id") % 31 == 0).select("listing_id", F.lit("bedRoom").alias("column"),
+                                                         (F.col("listing_id") % 4 + 1).cast("string").alias("value"))
+    area = r.filter(F.col("listing_id") % 62 == 0).select("listing_id", F.lit("area").alias("column"),
+                                                          (F.col("listing_id") % 900 + 300).cast("string").alias("value"))
+    return drop.unionByName(bed).unionByName(area)
+
+
+@query("f9_patch_map", fx.with_views("""
+SELECT listing_id, CASE WHEN listing_id % 31 = 0 THEN CAST(listing_id % 4 + 1 AS VARCHAR) ELSE bedroom_text END AS "bedRoom",
+  CASE WHEN listing_id % 62 = 0 THEN CAST(listing_id % 900 + 300 AS DOUBLE) ELSE CAST(length(area_text) AS DOUBLE) END AS area,
+  society FROM raw WHERE listing_id % 97 <> 0""", "raw"))
+def f9_map(spark, d):
+    """Drops and patches of two columns, a text and a number, in one join."""
+    r = fx.raw(spark, d).select("listing_id", F.col("bedroom_text").alias("bedRoom"),
+                                F.length("area_text").cast("double").alias("area"), "society")
+    return apply_patches(r, corrections(spark, d), "listing_id")
+
+
 @query("x1_prepare_model_table")
 def x1(spark, d):
+    """With corrections, and the furnishing items that the data hold."""
     flats, houses, apartments = raw_sources(spark, d)
-    return prepare(flats, houses, apartments, furnish_items=["Fan", "AC", "Light", "Stove"])
+    return prepare(flats, houses, apartments, corrections=corrections(spark, d))

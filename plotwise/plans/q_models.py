@@ -14,11 +14,20 @@ from plotwise.functions import text as T
 from plotwise.operators import aggregates as A
 from plotwise.operators import encode as E
 from plotwise.operators import evaluate as V
+from plotwise.operators import gram as G
 from plotwise.operators import models as M
+from plotwise.operators import stages as S
 from plotwise.plans import fixtures as fx
 from plotwise.plans.registry import query
+from plotwise.session import shared_path
+from plotwise.sources import io
 
 SEED = 42
+#: The size of the forests that the queries fit; the reference's tuned one is ``REFERENCE_FOREST`` (see the README).
+FOREST = {"numTrees": 10, "maxDepth": 6}
+#: Repeats of V4 (the reference takes 30, the operator's default).
+PERMUTATIONS = 5
+REFERENCE_FOREST = {"numTrees": 200, "maxDepth": 25, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.5"}
 
 
 # --- encoders with oracles -------------------------------------------------------------
@@ -55,10 +64,10 @@ def e2(spark, d):
     """Drop-first one-hot fitted on part of the data: the position of the hot
     column (1-based), 0 when all columns are zero (first or unseen category)."""
     l = fx.listing(spark, d).select("listing_id", "sector", "nation_key")
-    cats = E.categories(l.filter(F.col("nation_key") < 20), "sector")
-    cols = E.dummy_columns("sector", cats)
-    hot = F.array(*[c for c in cols.values()])
-    return l.select("listing_id", F.coalesce(F.array_position(hot, 1).cast("int"), F.lit(0)).alias("hot_position"))
+    model = S.CategoryEncoder(ordinalCols=["sector"], oneHotCols=["sector"]).fit(l.filter(F.col("nation_key") < 20))
+    kinds = model.sizes["sector"][0]
+    slot = F.col("sector__slot").cast("int")
+    return model.transform(l).select("listing_id", F.when(slot < kinds - 1, slot + 1).otherwise(0).alias("hot_position"))
 
 
 @query("e4_target_encode", fx.with_views("""
@@ -94,33 +103,77 @@ def _prepared(spark, d):
     return M.with_folds(mt, "listing_id", k=5, seed=SEED)
 
 
-def _features(train):
-    fit = E.column_transformer(fx.MODEL_NUM, ordinal_cols=["agePossession", "luxury_category", "floor_category"],
-                               onehot_cols=["property_type", "sector", "balcony", "furnishing_type"])
-    return fit(train, "label")
+ORDINAL = ["agePossession", "luxury_category", "floor_category"]
+ONE_HOT = ["property_type", "sector", "balcony", "furnishing_type"]
 
 
-@query("e6_column_transformer")
+def _encoders(**more):
+    return S.feature_pipeline(fx.MODEL_NUM, ORDINAL, ONE_HOT, **more)
+
+
+def _saved(fitted, spark, name: str):
+    """A fitted model, written to shared storage and read back."""
+    path = shared_path(spark, name)
+    io.save_model(fitted, path)
+    return io.load_model(path)
+
+
+def _e6_sql():
+    known = "(SELECT * FROM model WHERE listing_id % 5 < 3 AND sector < 'R')"
+    order = "\n".join(f", o_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i FROM (SELECT DISTINCT {c} FROM known WHERE {c} IS NOT NULL))"
+                      for c in [*ORDINAL, *ONE_HOT])
+    ords = ", ".join(f"CAST(coalesce(o_{c}.i, -1) AS INTEGER) AS {c}_ord" for c in ORDINAL)
+    hots = ", ".join(f"CAST(coalesce(o_{c}.i, 0) AS INTEGER) AS {c}_hot" for c in ONE_HOT)
+    zs = ", ".join(f"round(CASE WHEN s_{c} > 0 THEN (m.{c} - m_{c}) / s_{c} ELSE 0 END, 6) AS {c}_z" for c in fx.MODEL_NUM)
+    st = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in fx.MODEL_NUM)
+    joins = " ".join(f"LEFT JOIN o_{c} ON m.{c} = o_{c}.{c}" for c in [*ORDINAL, *ONE_HOT])
+    share = "(1.0 / (1.0 + exp(-(n - 20) / 10.0)))"
+    return fx.with_views(f"""
+, known AS {known}
+{order}
+, st AS (SELECT {st}, avg(ln(1 + price)) AS prior FROM known),
+te AS (SELECT sector, {share} * mean + (1 - {share}) * prior AS e FROM (
+  SELECT sector, avg(ln(1 + price)) AS mean, count(*) AS n FROM known GROUP BY sector), st)
+SELECT listing_id, {zs}, {ords}, {hots}, round(coalesce(te.e, prior), 6) AS sector_te, m.price AS passed
+FROM model m {joins} LEFT JOIN te ON m.sector = te.sector, st""", "model")
+
+
+@query("e6_column_transformer", _e6_sql())
 def e6(spark, d):
-    mt = _prepared(spark, d)
-    transform, names = _features(mt)
-    return transform(mt).select("listing_id", "features", F.lit(len(names)).alias("n_features"))
+    """Encoders fitted on some rows, saved, loaded and applied to all, unknown categories included; the places of the
+    vector are read back: scaled numbers, ordinals, the hot place of each one-hot block (0: none), target encoding."""
+    from pyspark.ml.functions import vector_to_array
+    mt = fx.model_table(spark, d).withColumn("label", F.log1p("price"))
+    known = mt.filter((F.col("listing_id") % 5 < 3) & (F.col("sector") < "R"))
+    pipe = S.feature_pipeline(fx.MODEL_NUM, ORDINAL, ONE_HOT, ["sector"], ["price"], scale=True)
+    model = _saved(pipe.fit(known), spark, "encoders")
+    rows = model.transform(mt).select("listing_id", vector_to_array("features").alias("v"))
+    out, at = {}, 0
+    for c in fx.MODEL_NUM:
+        out[f"{c}_z"], at = F.round(F.get("v", F.lit(at)), 6), at + 1
+    for c in ORDINAL:
+        out[f"{c}_ord"], at = F.get("v", F.lit(at)).cast("int"), at + 1
+    for c in ONE_HOT:
+        size = max(S.encoder_of(model).sizes[c][0], 2) - 1
+        out[f"{c}_hot"] = F.array_position(F.slice("v", at + 1, size), 1.0).cast("int")
+        at += size
+    out["sector_te"], out["passed"] = F.round(F.get("v", F.lit(at)), 6), F.get("v", F.lit(at + 1))
+    return rows.select("listing_id", *[v.alias(n) for n, v in out.items()])
 
 
 @query("e7_pca")
 def e7(spark, d):
+    """Components of the whole encoded vector, as the reference takes them."""
     mt = _prepared(spark, d)
-    transform, _ = _features(mt)
-    feats = E.standard_scale(transform(mt), fx.MODEL_NUM)
-    from pyspark.ml.feature import VectorAssembler
-    vec = VectorAssembler(inputCols=[c + "_z" for c in fx.MODEL_NUM], outputCol="zf").transform(feats)
-    model, k = E.pca_components(vec, "zf", 0.95)
+    vec = _encoders(scale=True).fit(mt).transform(mt).select("listing_id", "features")
+    model, k = E.pca_components(vec, "features", 0.95)
     return model.transform(vec).select("listing_id", "pca", F.lit(k).alias("k"))
 
 
 def _furnish_counts(spark, d):
+    """A column for each furnishing item that the data hold."""
     r = fx.raw(spark, d)
-    items = ["Fan", "AC", "Light", "Stove"]
+    items = E.categories(r.select(F.explode(T.furnishing_items("furnish_details")).alias("i")), "i")
     return r.select("listing_id", *[T.item_count("furnish_details", i).cast("double").alias(i) for i in items]), items
 
 
@@ -136,7 +189,30 @@ def e9(spark, d):
     return E.elbow(counts, items, k_max=10, seed=SEED)
 
 
-@query("m1_split")
+@query("e9_facility_elbow")
+def e9_facilities(spark, d):
+    rows = fx.raw(spark, d).select(T.parse_list("features").alias("l"))
+    matrix, _ = E.label_matrix(rows, "l")
+    return E.elbow_vectors(matrix, "labels", k_max=10, seed=SEED)
+
+
+@query("e9_facility_matrix", fx.with_views("""
+, l AS (SELECT listing_id, list_distinct(regexp_extract_all(coalesce(features, ''), chr(39) || '(.*?)' || chr(39), 1)) AS l FROM raw),
+v AS (SELECT unnest(l) AS name, count(*) AS n FROM l GROUP BY 1)
+SELECT name, n, CAST((SELECT count(*) FROM l) AS BIGINT) AS n_rows FROM v""", "raw"))
+def e9_matrix(spark, d):
+    """The column sums of the label matrix, by name."""
+    from pyspark.ml.functions import vector_to_array
+    rows = fx.raw(spark, d).select(T.parse_list("features").alias("l"))
+    matrix, names = E.label_matrix(rows, "l")
+    sums = matrix.select(F.posexplode(vector_to_array("labels")).alias("at", "x")).groupBy("at").agg(
+        F.sum("x").cast("bigint").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    return sums.select(F.get(F.array(*map(F.lit, names)), F.col("at")).alias("name"), "n", "n_rows")
+
+
+@query("m1_split", fx.with_views(
+    f"SELECT listing_id, CASE WHEN {M.hash_bucket_sql('listing_id', SEED)} < 80 THEN 'train' ELSE 'test' END AS part FROM model",
+    "model"))
 def m1(spark, d):
     train, test = M.split(fx.model_table(spark, d), "listing_id", 80, SEED)
     return train.select("listing_id").withColumn("part", F.lit("train")).unionByName(
@@ -146,8 +222,9 @@ def m1(spark, d):
 def _train_test(spark, d):
     mt = _prepared(spark, d)
     train, test = M.split(mt, "listing_id", 80, SEED)
-    transform, names = _features(train)
-    return transform(train), transform(test), names
+    model = _encoders().fit(train)
+    narrow = ["listing_id", "fold", "features", "label"]
+    return model.transform(train).select(narrow), model.transform(test).select(narrow), model
 
 
 def _candidates(train):
@@ -167,26 +244,74 @@ def m7(spark, d):
     return M.compare_models(_candidates(train), train, test)
 
 
-@query("m3_ols_summary")
+def _ols_sql():
+    """Two regressors: slopes by Cramer's rule from the centred sums, errors from the residual variance."""
+    tr = f"(SELECT built_up_area AS a, bedRoom AS b, ln(1 + price) AS y FROM model WHERE {M.hash_bucket_sql('listing_id', SEED)} < 80)"
+    return fx.with_views(f"""
+, t AS {tr},
+c AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS saa, var_pop(b) * count(*) AS sbb,
+  covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby,
+  var_pop(y) * count(*) AS syy FROM t),
+k AS (SELECT *, saa * sbb - sab * sab AS det, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ka,
+  (sby * saa - say * sab) / (saa * sbb - sab * sab) AS kb FROM c),
+e AS (SELECT *, my - ka * ma - kb * mb AS k0, syy - ka * say - kb * sby AS sse,
+  (syy - ka * say - kb * sby) / (n - 3) AS s2 FROM k),
+v AS (SELECT *, sqrt(s2 * sbb / det) AS ea, sqrt(s2 * saa / det) AS eb,
+  sqrt(s2 * (1.0 / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS e0 FROM e)
+SELECT unnest(['built_up_area', 'bedRoom', 'intercept']) AS feature, round(unnest([ka, kb, k0]), 6) AS coef,
+  round(unnest([ea, eb, e0]), 8) AS std_err, round(unnest([ka / ea, kb / eb, k0 / e0]), 4) AS t,
+  round(unnest([1 - sse / syy, 1 - sse / syy, 1 - sse / syy]), 6) AS r2 FROM v""", "model")
+
+
+@query("m3_ols_summary", _ols_sql())
 def m3(spark, d):
-    mt = _prepared(spark, d)
-    train, _ = M.split(mt, "listing_id", 80, SEED)
-    fit = E.column_transformer(fx.MODEL_NUM, onehot_cols=["property_type"])
-    transform, names = fit(train, "label")
-    return M.ols_summary(transform(train), names)
+    train, _ = M.split(_prepared(spark, d), "listing_id", 80, SEED)
+    rows = S.feature_pipeline(["built_up_area", "bedRoom"]).fit(train).transform(train).select("features", "label")
+    out = M.ols_summary(rows, ["built_up_area", "bedRoom"])
+    return out.select("feature", F.round("coef", 6).alias("coef"), F.round("std_err", 8).alias("std_err"),
+                      F.round("t", 4).alias("t"), F.round("r2", 6).alias("r2"))
 
 
 @query("m4_coefficient_table")
 def m4(spark, d):
-    train, _, names = _train_test(spark, d)
+    train, _, encoders = _train_test(spark, d)
     model = M.regressor("linear").fit(train)
-    return spark.createDataFrame(M.coefficient_table(model, names), "feature string, coef double, effect double")
+    return spark.createDataFrame(M.coefficient_table(model, S.feature_names(encoders)), "feature string, coef double, effect double")
+
+
+def _folds_sql(cols: str, folds: int, extra: str = "") -> str:
+    """Model rows with the label and their fold."""
+    return (f"rows AS (SELECT {cols}, ln(1 + price) AS y, {M.hash_bucket_sql('listing_id', SEED + 1, folds)} AS fold FROM model{extra})")
+
+
+def _ridge_sql(alpha: float) -> str:
+    """Ten-fold ridge of one centred and one more feature, per fold from the sums of the other folds."""
+    return fx.with_views(f"""
+, {_folds_sql('built_up_area AS a, bedRoom AS b', 10)},
+f AS (SELECT DISTINCT fold FROM rows),
+c AS (SELECT f.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + {alpha} AS saa,
+  var_pop(b) * count(*) + {alpha} AS sbb, covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say,
+  covar_pop(b, y) * count(*) AS sby FROM f JOIN rows r ON r.fold <> f.fold GROUP BY f.fold),
+k AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ka, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS kb FROM c),
+s AS (SELECT r.fold, 1 - sum((y - my - ka * (a - ma) - kb * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM rows r JOIN k ON r.fold = k.fold GROUP BY r.fold)
+SELECT CAST({alpha} AS DOUBLE) AS alpha, round(avg(r2), 6) AS cv_mean, round(stddev_pop(r2), 6) AS cv_std FROM s""", "model")
+
+
+@query("m6_ridge_folds_from_gram", _ridge_sql(1.0) + "\nUNION ALL\n" + "(" + _ridge_sql(1000.0) + ")")
+def m6_gram(spark, d):
+    """Ten folds and two penalties from one pass: Gram matrices per fold."""
+    mt = M.with_folds(fx.model_table(spark, d).withColumn("label", F.log1p("price")), "listing_id", 10, SEED)
+    grams = G.fold_grams(mt, ["built_up_area", "bedRoom"], "label", "fold")
+    rows = [(a, *G.cv_r2(grams, alpha=a)) for a in (1.0, 1000.0)]
+    out = spark.createDataFrame(rows, "alpha double, cv_mean double, cv_std double")
+    return out.select("alpha", F.round("cv_mean", 6).alias("cv_mean"), F.round("cv_std", 6).alias("cv_std"))
 
 
 @query("m6_kfold_cv")
 def m6(spark, d):
     train, _, _ = _train_test(spark, d)
-    _, res = M.cv_scores(M.regressor("forest", numTrees=10, maxDepth=6), train, "fold")
+    _, res = M.cv_scores(M.regressor("forest", **FOREST), train, "fold")
     return spark.createDataFrame([(float(m), float(s)) for _, m, s in res], "cv_mean double, cv_std double")
 
 
@@ -200,86 +325,145 @@ def m8(spark, d):
     return spark.createDataFrame([(str(p), m, s) for p, m, s in res], "params string, cv_mean double, cv_std double")
 
 
+#: Smaller spaces and fewer draws than ``models.FOREST_SPACE`` and ``BOOSTING_SPACE`` (see the README).
+FOREST_SPACE = {"numTrees": [5, 10, 20], "maxDepth": [4, 6, 8], "minInstancesPerNode": [2, 4, 6],
+                "featureSubsetStrategy": ["sqrt", "log2", "0.5"]}
+BOOSTING_SPACE = {"maxIter": [3, 5], "stepSize": [0.1, 0.15], "maxDepth": [3, 4], "subsamplingRate": [0.8, 1.0]}
+
+
 @query("m9_random_search")
 def m9(spark, d):
     train, _, _ = _train_test(spark, d)
-    est = M.regressor("forest")
-    maps = M.random_param_maps(est, {"numTrees": [5, 10, 20], "maxDepth": [4, 6, 8], "featureSubsetStrategy":
-                                     ["onethird", "0.5", "all"]}, n_iter=4, seed=SEED)
-    _, res = M.cv_scores(est, train, "fold", grid=maps)
-    return spark.createDataFrame([(str(p), m, s) for p, m, s in res], "params string, cv_mean double, cv_std double")
+    return M.random_search(train, FOREST_SPACE, BOOSTING_SPACE, forest_draws=3, boosting_draws=2, seed=SEED)[1]
 
 
 @query("m10_select_best")
 def m10(spark, d):
     """Best CV score among candidates whose saved model fits the size limit,
     boosting excluded (as the reference's selection does)."""
-    from plotwise.session import checkpoint_dir
     train, _, _ = _train_test(spark, d)
     rows = []
-    base = checkpoint_dir(spark).rstrip("/")
-    for name, est in {"forest": M.regressor("forest", numTrees=10, maxDepth=6),
-                      "tree": M.regressor("tree", maxDepth=6), "linear": M.regressor("linear"),
-                      "boosting": M.regressor("boosting", maxIter=5, maxDepth=3)}.items():
+    for name, est in {"forest": M.regressor("forest", **FOREST), "tree": M.regressor("tree", maxDepth=6),
+                      "linear": M.regressor("linear"), "boosting": M.regressor("boosting", maxIter=5, maxDepth=3)}.items():
         model, res = M.cv_scores(est, train, "fold")
-        size = M.model_size_mb(model.bestModel, f"{base}/plotwise-m10-{name}")
-        rows.append((name, res[0][1], res[0][2], size))
+        rows.append((name, res[0][1], res[0][2], M.model_size_mb(model.bestModel, shared_path(spark, f"m10-{name}"))))
     res = spark.createDataFrame(rows, "model string, cv_mean double, cv_std double, size_mb double")
     return M.select_best(res, exclude=["boosting"])
 
 
+@query("m10_select_over_table", """
+SELECT p_brand AS model, avg(p_retailprice) AS cv_mean, avg(p_size) AS size_mb FROM part
+WHERE p_brand NOT IN ('Brand#11', 'Brand#12') GROUP BY p_brand HAVING avg(p_size) <= 26
+ORDER BY cv_mean DESC, p_brand LIMIT 1""")
+def m10_table(spark, d):
+    """The selection rule over a table of results (here: parts by brand, mean size at most 26)."""
+    table = fx.table(spark, d, "part").groupBy(F.col("p_brand").alias("model")).agg(
+        F.avg("p_retailprice").alias("cv_mean"), F.avg("p_size").alias("size_mb"))
+    return M.select_best(table, max_size=26.0, exclude=["Brand#11", "Brand#12"])
+
+
+REQUEST_COLS = ["listing_id", *fx.MODEL_NUM, *fx.MODEL_CAT]
+
+
+def _requests(spark, d):
+    """Raw rows with the 12 features; every seventh names a sector that no training row has."""
+    mt = fx.model_table(spark, d).select(*REQUEST_COLS)
+    return mt.withColumn("sector", F.when(F.col("listing_id") % 7 == 0, "UNKNOWN").otherwise(F.col("sector")))
+
+
 @query("m11_refit_and_save")
 def m11(spark, d):
-    from plotwise.session import checkpoint_dir
-    mt = _prepared(spark, d)
-    transform, names = _features(mt)
-    full = transform(mt)
-    path = checkpoint_dir(spark).rstrip("/") + "/plotwise-model"
-    model = M.refit_and_save(M.regressor("forest", numTrees=10, maxDepth=6), full, path)
-    return V.score(model.transform(full), "prediction", "built_up_area").select(
+    """Encoders and forest fitted on all rows as one pipeline, saved, loaded and applied to raw requests."""
+    mt = fx.model_table(spark, d).withColumn("label", F.log1p("price"))
+    fitted = M.fit_pipeline(_encoders(), M.regressor("forest", **FOREST), mt)
+    model = _saved(fitted, spark, "pipeline")
+    scored = model.transform(_requests(spark, d))
+    return V.score(scored, "prediction", "built_up_area").select(
+        "listing_id", "estimated_price_cr", "lower_bound_cr", "upper_bound_cr", "price_per_sqft")
+
+
+@query("s3_saved_pipeline_scores_requests", fx.with_views("""
+, k AS (SELECT avg(ln(1 + price)) AS prior FROM model),
+st AS (SELECT sector, avg(ln(1 + price)) AS m, count(*) AS n FROM model GROUP BY sector),
+enc AS (SELECT sector, (1.0 / (1.0 + exp(-(n - 20) / 10.0))) * m + (1 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) * prior AS e FROM st, k),
+t AS (SELECT built_up_area AS a, e AS b, ln(1 + price) AS y FROM model JOIN enc ON model.sector = enc.sector),
+c AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab,
+  covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM t),
+w AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ka, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS kb FROM c),
+p AS (SELECT listing_id, built_up_area, exp(my + ka * (built_up_area - ma) + kb * (coalesce(e, prior) - mb)) - 1 AS v
+  FROM (SELECT listing_id, built_up_area, CASE WHEN listing_id % 7 = 0 THEN 'UNKNOWN' ELSE sector END AS sector FROM model) r
+  LEFT JOIN enc ON r.sector = enc.sector, w, k)
+SELECT listing_id, round(v, 4) AS estimated_price_cr, round(v * 0.87, 4) AS lower_bound_cr, round(v * 1.13, 4) AS upper_bound_cr,
+  round(v * CAST(10000000 AS DOUBLE) / nullif(built_up_area, 0), 2) AS price_per_sqft FROM p""", "model"))
+def s3_saved(spark, d):
+    """The same path with a linear model, which SQL can solve."""
+    mt = fx.model_table(spark, d).withColumn("label", F.log1p("price"))
+    encoders = S.feature_pipeline(["built_up_area"], target_cols=["sector"])
+    model = _saved(M.fit_pipeline(encoders, M.regressor("linear", solver="normal"), mt), spark, "linear-pipeline")
+    return V.score(model.transform(_requests(spark, d)), "prediction", "built_up_area").select(
         "listing_id", "estimated_price_cr", "lower_bound_cr", "upper_bound_cr", "price_per_sqft")
 
 
 @query("v3_tree_importance")
 def v3(spark, d):
-    train, _, names = _train_test(spark, d)
-    model = M.regressor("forest", numTrees=10, maxDepth=6).fit(train)
-    return spark.createDataFrame(V.tree_importance(model, names), "feature string, importance double, share double")
+    train, _, encoders = _train_test(spark, d)
+    model = M.regressor("forest", **FOREST).fit(train)
+    return spark.createDataFrame(V.tree_importance(model, S.feature_names(encoders)),
+                                 "feature string, importance double, share double")
 
 
 @query("v4_permutation_importance")
 def v4(spark, d):
-    mt = _prepared(spark, d)
-    transform, _ = _features(mt)
-    model = M.regressor("tree", maxDepth=6).fit(transform(mt))
-    return V.permutation_importance(model, mt, ["built_up_area", "bedRoom"], "listing_id", "label",
-                                    n_repeats=2, seed=SEED, assemble=lambda f: transform(f.drop("features")))
+    """All 12 features; the encoders are part of the model, so the raw columns are permuted."""
+    mt = fx.model_table(spark, d).withColumn("label", F.log1p("price")).drop("price")
+    model = M.fit_pipeline(_encoders(), M.regressor("tree", maxDepth=6), mt)
+    return V.permutation_importance(model, mt, fx.MODEL_NUM + fx.MODEL_CAT, "listing_id", "label", n_repeats=PERMUTATIONS, seed=SEED)
 
 
 @query("v5_rfe")
 def v5(spark, d):
-    mt = _prepared(spark, d)
+    mt = _prepared(spark, d).select("label", *fx.MODEL_NUM)
 
     def fit_fn(df, feats):
-        from pyspark.ml.feature import VectorAssembler
-        vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
-        return list(M.regressor("tree", maxDepth=5).fit(vec).featureImportances.toArray())
+        vec = S.feature_pipeline(feats).fit(df).transform(df)
+        return list(M.regressor("tree", maxDepth=5).fit(vec.select("features", "label")).featureImportances.toArray())
 
-    kept, ranking = V.rfe(fit_fn, mt, fx.MODEL_NUM, n_keep=2)
-    return spark.createDataFrame(sorted(ranking.items()), "feature string, rank int")
+    return spark.createDataFrame(V.rfe_report(fit_fn, mt, fx.MODEL_NUM, n_keep=2), "feature string, rank int, importance double")
 
 
-@query("v7_ablation")
-def v7(spark, d):
-    mt = _prepared(spark, d)
+def _ablation_sql():
+    fits = []
+    for variant, cols in (("all", "ab"), ("without", "b")):
+        slope = ("(say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ka, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS kb"
+                 if cols == "ab" else "0.0 AS ka, sby / sbb AS kb")
+        fits.append(f"""SELECT '{variant}' AS variant, round(avg(r2), 6) AS cv_r2 FROM (
+  SELECT r.fold, 1 - sum((y - my - ka * (a - ma) - kb * (b - mb)) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM rows r JOIN (SELECT *, {slope} FROM c) k ON r.fold = k.fold GROUP BY r.fold)""")
+    return fx.with_views(f"""
+, {_folds_sql('built_up_area AS a, bedRoom AS b', 5)},
+f AS (SELECT DISTINCT fold FROM rows),
+c AS (SELECT f.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab,
+  covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM f JOIN rows r ON r.fold <> f.fold GROUP BY f.fold)
+""" + "\nUNION ALL\n".join(fits), "model")
 
-    def cv_fn(df, feats):
-        from pyspark.ml.feature import VectorAssembler
-        vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
-        _, res = M.cv_scores(M.regressor("linear"), vec, "fold")
-        return res[0][1]
 
-    return V.ablation(cv_fn, mt, fx.MODEL_NUM, ["built_up_area"])
+@query("v7_ablation", _ablation_sql())
+def v7(spark, d):
+    """CV R² with and without the built-up area, both from the Gram matrices of one pass."""
+    mt = _prepared(spark, d)
+    grams = G.fold_grams(mt, ["built_up_area", "bedRoom"], "label", "fold")
+    out = V.ablation(lambda _, feats: G.cv_r2(grams, feats)[0], mt, ["built_up_area", "bedRoom"], ["built_up_area"])
+    return out.select("variant", F.round("cv_r2", 6).alias("cv_r2"))
+
+
+@query("v7_ablation_encoded")
+def v7_encoded(spark, d):
+    """All 12 features, encoded, with and without the sector."""
+    train, _, encoders = _train_test(spark, d)
+    names = S.feature_names(encoders)
+    grams = G.fold_grams(train, "features", "label", "fold", names=names)
+    drop = [n for n in names if n.startswith("sector_")]
+    return V.ablation(lambda _, feats: G.cv_r2(grams, feats, alpha=1e-6)[0], train, names, drop)
 
 
 # --- evaluation with oracles ---------------------------------------------------------------

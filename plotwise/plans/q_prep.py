@@ -63,7 +63,8 @@ def p5(spark, d):
                     F.round("price_back", 9).alias("price_back"))
 
 
-@query("p6_sample_rows")
+@query("p6_sample_rows", fx.with_views("""
+SELECT * FROM listing ORDER BY md5(concat(CAST(listing_id AS VARCHAR), ':42')), listing_id LIMIT 1000""", "listing"))
 def p6(spark, d):
     return P.sample_rows(fx.listing(spark, d), 1000, "listing_id", seed=42)
 
@@ -290,6 +291,55 @@ def t8(spark, d):
     return l.select("listing_id", T.apply_replacements("loc", rules.LOCALITY_RULES_ROUND2).alias("sector"))
 
 
+def _every_rule_expr() -> str:
+    """A text with each rule's left side in turn, and names that only one listing has."""
+    samples = [a for a, _ in rules.LOCALITY_RULES_ROUND1 + rules.LOCALITY_RULES_ROUND2]
+    cases = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(samples))
+    rare = "concat('lane ', CAST(listing_id AS STRING))"
+    return f"CASE WHEN listing_id % 101 = 0 THEN {rare} ELSE CASE listing_id % {len(samples)} {cases} END END"
+
+
+@query("t8_every_rule", fx.with_views(f"""
+, r1 AS (SELECT listing_id, {_rules_sql(_every_rule_expr(), rules.LOCALITY_RULES_ROUND1)} AS loc FROM listing),
+kept AS (SELECT * FROM r1 WHERE loc IN (SELECT loc FROM r1 GROUP BY loc HAVING count(*) >= 3))
+SELECT listing_id, {_rules_sql('loc', rules.LOCALITY_RULES_ROUND2)} AS sector FROM kept""", "listing"))
+def t8_every(spark, d):
+    """All rules of both rounds are reached, and the filter drops the rare names."""
+    l = fx.listing(spark, d).selectExpr("listing_id", f"{_every_rule_expr()} AS loc")
+    l = l.withColumn("loc", T.apply_replacements("loc", rules.LOCALITY_RULES_ROUND1))
+    l = Fl.frequent_keys(l, "loc", rules.LOCALITY_MIN_COUNT)
+    return l.select("listing_id", T.apply_replacements("loc", rules.LOCALITY_RULES_ROUND2).alias("sector"))
+
+
+@query("s1_rejected_rows", fx.with_views("""
+SELECT CAST(count(*) FILTER (WHERE listing_id % 50 > 2) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE listing_id % 50 <= 2) AS BIGINT) AS n_rejected,
+  CAST(sum(CASE WHEN listing_id % 50 > 2 THEN listing_id ELSE 0 END) AS BIGINT) AS id_sum,
+  CAST(sum(CASE WHEN listing_id % 50 <= 2 THEN length(CAST(listing_id AS VARCHAR)) ELSE 0 END) AS BIGINT) AS rejected_digits,
+  CAST(count(*) FILTER (WHERE listing_id % 50 > 2 AND listing_id % 7 = 0) AS BIGINT) AS n_null_names FROM listing""", "listing"))
+def s1_rejected(spark, d):
+    """Lines with a field too few, one too many, or a text for a number are kept apart from the rows."""
+    from pyspark.sql import types as TT
+    from plotwise.session import shared_path
+    from plotwise.sources import io
+    k = F.col("listing_id")
+    name = F.when(k % 7 == 0, F.lit("nan")).otherwise(F.lit('"a, ""quoted"" name"'))
+    line = F.when(k % 50 == 0, F.concat(k.cast("string"), F.lit(","), name)).when(
+        k % 50 == 1, F.concat_ws(",", k.cast("string"), name, F.lit("1.5,6"))).when(
+        k % 50 == 2, F.concat_ws(",", k.cast("string"), name, F.lit("many"))).otherwise(
+        F.concat_ws(",", k.cast("string"), name, F.lit("1.5")))
+    path = shared_path(spark, "csv")
+    fx.listing(spark, d).select(line.alias("value")).write.text(path)
+    schema = TT.StructType([TT.StructField("listing_id", TT.LongType()), TT.StructField("name", TT.StringType()),
+                            TT.StructField("price", TT.DoubleType())])
+    rows, rejected = io.read_csv_checked(spark, path, schema, header=False)
+    good = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("listing_id").alias("id_sum"),
+                    F.count_if(F.col("name").isNull()).alias("n_null_names"))
+    digits = F.length(F.regexp_extract("line", r"^(\d+),", 1))
+    bad = rejected.agg(F.count(F.lit(1)).alias("n_rejected"), F.sum(digits).alias("rejected_digits"))
+    return good.select("n_rows", bad.select("n_rejected").scalar().alias("n_rejected"), "id_sum",
+                       bad.select("rejected_digits").scalar().alias("rejected_digits"), "n_null_names")
+
+
 @query("t9_areas_from_text", fx.with_views(_AREAS + """
 SELECT listing_id, super_built_up_area, built_up_area, carpet_area FROM pa""", "raw"))
 def t9(spark, d):

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from plotwise.functions import rules
 from plotwise.functions import text as T
+from plotwise.operators import search_index as I
 from plotwise.operators import similarity as R
 from plotwise.plans import fixtures as fx
 from plotwise.plans.registry import query
+from plotwise.session import checkpoint_dir, shared_path
 
 QUERY_DOC = 1
 QUERY_PART = 1
@@ -43,24 +45,52 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-# --- R1 / R2 / R7 on documents ----------------------------------------------------
-def doc_tfidf(spark, d):
-    """The document vectors (long form); the term counts inside are cut once."""
-    return R.tfidf(fx.table(spark, d, "documents"), "doc_id", "text")
+# --- stored indexes: built once in a session and table, scored by every request ---------
+_STORED: dict = {}
+
+
+def _stored(spark, d: str, name: str, build) -> str:
+    """The path of an index, built when it is first asked for."""
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), d, name)
+    if key not in _STORED:
+        path = shared_path(spark, f"index-{name}")
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def documents_index(spark, d) -> I.SearchIndex:
+    return I.SearchIndex(spark, _stored(spark, d, "documents", lambda path: I.build_index(
+        fx.table(spark, d, "documents"), "doc_id", "text", path)))
 
 
+def names_index(spark, d) -> I.SearchIndex:
+    """Facilities view: tf-idf of the part names."""
+    return I.SearchIndex(spark, _stored(spark, d, "part-names", lambda path: I.build_index(
+        fx.table(spark, d, "part"), "p_partkey", "p_name", path)))
+
+
+# --- R1 / R2 / R7 on documents ----------------------------------------------------
 @query("r1_tfidf", _with(tfidf_sql("documents", "doc_id", "text")) +
        "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM tfw")
 def r1(spark, d):
-    return doc_tfidf(spark, d).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return documents_index(spark, d).weights().select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
+
+
+@query("r1_index_terms", _with(tfidf_sql("documents", "doc_id", "text")) +
+       "SELECT term, count(*) AS df, round(max(weight), 6) AS max_weight FROM tfw GROUP BY term")
+def r1_terms(spark, d):
+    """What the index keeps of a term besides its postings."""
+    terms = documents_index(spark, d).terms
+    return terms.select("term", "df", F.round(F.array_max("classes.max_w"), 6).alias("max_weight"))
 
 
 @query("r2_cosine_scores", _with(tfidf_sql("documents", "doc_id", "text")) + f"""
 SELECT a.id AS doc_id, round(sum(a.weight * q.weight), 6) AS score FROM tfw a
 JOIN (SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id""")
 def r2(spark, d):
-    s = R.tfidf_query_scores(fx.table(spark, d, "documents"), "doc_id", "text", QUERY_DOC)
-    return s.select("doc_id", F.round("score", 6).alias("score"))
+    s = documents_index(spark, d).scores([QUERY_DOC])
+    return s.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _recommend_sql(scores_cte: str, items: str, id_col: str, n: int = TOP_N) -> str:
@@ -77,15 +107,67 @@ SELECT CAST(rk - 1 AS INTEGER) AS rank, {id_col}, round(score, 4) AS score FROM
     f"(SELECT term, weight FROM tfw WHERE id = {QUERY_DOC}) q ON a.term = q.term GROUP BY a.id)",
     "items AS (SELECT doc_id FROM documents)") + _recommend_sql("sc", "items", "doc_id"))
 def r7(spark, d):
-    docs = fx.table(spark, d, "documents")
-    scores = R.tfidf_query_scores(docs, "doc_id", "text", QUERY_DOC)
-    return R.recommend(scores, docs, "doc_id", TOP_N)
+    return documents_index(spark, d).recommend([QUERY_DOC], TOP_N).select("rank", F.col("id").alias("doc_id"), "score")
+
+
+#: Requests of the batch form: every document whose id is divisible by this.
+BATCH = 10
+
+
+def _neighbours_sql(asked: str, n: int) -> str:
+    return f"""
+SELECT query_id, CAST(rk AS INTEGER) AS rank, id AS doc_id, round(score, 4) AS score FROM (
+  SELECT p.query_id, p.id, p.score, row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.score, 10) DESC, p.id) AS rk
+  FROM (SELECT q.doc_id AS query_id, i.doc_id AS id, coalesce(s.score, 0) AS score
+        FROM (SELECT doc_id FROM documents {asked}) q JOIN documents i ON q.doc_id <> i.doc_id
+        LEFT JOIN pairs s ON s.query_id = q.doc_id AND s.id = i.doc_id) p) WHERE rk <= {n}"""
+
+
+def _pairs_sql(asked: str) -> str:
+    return (f"pairs AS (SELECT q.id AS query_id, a.id, sum(a.weight * q.weight) AS score FROM tfw a JOIN "
+            f"(SELECT id, term, weight FROM tfw {asked}) q ON a.term = q.term GROUP BY 1, 2)")
+
+
+@query("r7_recommend_batch", _with(tfidf_sql("documents", "doc_id", "text"), _pairs_sql(f"WHERE id % {BATCH} = 0")) +
+       _neighbours_sql(f"WHERE doc_id % {BATCH} = 0", TOP_N))
+def r7_batch(spark, d):
+    """Many requests at once, each without itself."""
+    asked = fx.table(spark, d, "documents").filter(F.col("doc_id") % BATCH == 0).select("doc_id")
+    out = documents_index(spark, d).recommend(asked, TOP_N, exclude_self=True)
+    return out.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("j6_nearest_neighbours", _with(tfidf_sql("part", "p_partkey", "p_name", "tfp"), """pairs AS (
+  SELECT q.id AS query_id, a.id, sum(a.weight * q.weight) AS score FROM tfp a JOIN tfp q ON a.term = q.term GROUP BY 1, 2)""") + f"""
+SELECT query_id, CAST(rk AS INTEGER) AS rank, id AS p_partkey, round(score, 4) AS score FROM (
+  SELECT p.query_id, p.id, p.score, row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.score, 10) DESC, p.id) AS rk
+  FROM (SELECT q.p_partkey AS query_id, i.p_partkey AS id, coalesce(s.score, 0) AS score FROM part q
+        JOIN part i ON q.p_partkey <> i.p_partkey
+        LEFT JOIN pairs s ON s.query_id = q.p_partkey AND s.id = i.p_partkey) p) WHERE rk <= {TOP_N}""")
+def j6(spark, d):
+    """The nearest neighbours of every part: all rows are requests."""
+    parts = fx.table(spark, d, "part").select("p_partkey")
+    out = names_index(spark, d).recommend(parts, TOP_N, exclude_self=True)
+    return out.select("query_id", "rank", F.col("id").alias("p_partkey"), "score")
+
+
+@query("j6_nearest_documents", _with(tfidf_sql("documents", "doc_id", "text"), _pairs_sql("")) + _neighbours_sql("", TOP_N))
+def j6_docs(spark, d):
+    """The nearest neighbours of every document."""
+    asked = fx.table(spark, d, "documents").select("doc_id")
+    out = documents_index(spark, d).recommend(asked, TOP_N, exclude_self=True)
+    return out.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 # --- part views ----------------------------------------------------------------------
 def part_facilities(spark, d):
     """Facilities view: tf-idf cosine of the part names."""
-    return R.tfidf_query_scores(fx.table(spark, d, "part"), "p_partkey", "p_name", QUERY_PART)
+    return _one(names_index(spark, d).scores([QUERY_PART]))
+
+
+def _one(scores):
+    """The scores of the one request."""
+    return scores.select(F.col("id").alias("p_partkey"), "score")
 
 
 PRICE_CATS = ["p_brand", "p_type"]
@@ -98,8 +180,9 @@ def part_price_long(spark, d):
 
 def part_price(spark, d):
     """Price view: drop-first one-hot + numeric columns, standardised, cosine."""
-    parts = fx.table(spark, d, "part")
-    return R.standardised_cosine(part_price_long(spark, d), parts, "p_partkey", "feature", "value", 0.0, QUERY_PART)
+    path = _stored(spark, d, "part-price", lambda path: I.build_standardised(
+        part_price_long(spark, d), fx.table(spark, d, "part"), "p_partkey", "feature", "value", 0.0, path))
+    return _one(I.StandardisedIndex(spark, path).scores([QUERY_PART]))
 
 
 DIST_SQL = ("CASE WHEN CAST(q AS BIGINT) % 2 = 0 THEN concat(CAST(CAST(q AS BIGINT) AS STRING), ' Km') "
@@ -117,9 +200,10 @@ def part_location_long(spark, d):
 
 
 def part_location(spark, d):
-    parts = fx.table(spark, d, "part")
-    return R.standardised_cosine(part_location_long(spark, d), parts, "p_partkey", "landmark", "meters",
-                                 rules.MISSING_DISTANCE_M, QUERY_PART)
+    path = _stored(spark, d, "part-location", lambda path: I.build_standardised(
+        part_location_long(spark, d), fx.table(spark, d, "part"), "p_partkey", "landmark", "meters",
+        rules.MISSING_DISTANCE_M, path))
+    return _one(I.StandardisedIndex(spark, path).scores([QUERY_PART]))
 
 
 # Dense oracles: the full entity x feature matrix (independent of the sparse trick).
@@ -263,3 +347,20 @@ def r10(spark, d):
     from plotwise.functions.recode import categorise_luxury
     r = fx.raw(spark, d).select("listing_id", R.weighted_label_score(T.parse_list("features")).alias("luxury_score"))
     return r.select("listing_id", "luxury_score", categorise_luxury("luxury_score").alias("luxury_category"))
+
+
+def _labels_expr(i: str) -> str:
+    labels = list(rules.LUXURY_WEIGHTS)
+    return f"CASE {i} " + " ".join(f"WHEN {k} THEN {fx._s(v)}" for k, v in enumerate(labels)) + " ELSE 'Helipad' END"
+
+
+_PICK = ["CAST(listing_id % 106 AS INTEGER)", "CAST((listing_id * 7 + 3) % 106 AS INTEGER)", "CAST((listing_id * 31 + 5) % 106 AS INTEGER)"]
+
+
+@query("r10_every_label", fx.with_views(f"""
+, lab AS (SELECT listing_id, list_distinct([{", ".join(_labels_expr(i).replace("chr(39)", "chr(39)") for i in _PICK)}]) AS l FROM listing)
+SELECT listing_id, CAST(list_sum(list_transform(l, lambda x: coalesce({_weights_sql()}[x], 0.0))) AS DOUBLE) AS score FROM lab""", "listing"))
+def r10_every(spark, d):
+    """All labels are reached, an unknown one and repeated ones among them."""
+    l = fx.listing(spark, d).selectExpr("listing_id", *[f"{_labels_expr(i)} AS l{k}" for k, i in enumerate(_PICK)])
+    return l.select("listing_id", R.weighted_label_score(F.array("l0", "l1", "l2")).alias("score"))

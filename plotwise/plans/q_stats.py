@@ -56,6 +56,14 @@ def a3(spark, d):
     return A.kpis(fx.unit(spark, d), price="price", key="society", area="area")
 
 
+@query("a3_distributions", fx.with_views("""
+SELECT 'property_type' AS column_name, property_type AS value, count(*) AS count FROM model GROUP BY property_type
+UNION ALL SELECT 'furnishing_type', furnishing_type, count(*) FROM model GROUP BY furnishing_type""", "model"))
+def a3_distributions(spark, d):
+    """The breakdowns that go with the KPIs (A3) and the dataset statistics."""
+    return A.distributions(fx.model_table(spark, d), ["property_type", "furnishing_type"])
+
+
 @query("a4_group_mean", fx.with_views("""
 SELECT society, round(avg(price), 6) AS mean_price, round(avg(area), 6) AS mean_area
 FROM unit GROUP BY society""", "unit"))
@@ -199,6 +207,35 @@ def a15(spark, d):
     return _round_cols(out, ["mean", "std", "min", "max", "p25", "p50", "p75"])
 
 
+_TOPS = {"society": "NULL", "bedRoom": "CAST(bedRoom AS DOUBLE)", "price": "CAST(price AS DOUBLE)"}
+
+
+@query("a15_top_values", fx.with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, CAST(rk AS INTEGER) AS rank, {"value" if c == "society" else "CAST(CAST(number AS BIGINT) AS VARCHAR)"
+if c == "bedRoom" else "CAST(NULL AS VARCHAR)"} AS value, n AS count, round(n / total, 6) AS share FROM (
+  SELECT CAST({c} AS VARCHAR) AS value, {order} AS number, count(*) AS n, sum(count(*)) OVER () AS total,
+    row_number() OVER (ORDER BY count(*) DESC, {"CAST(" + c + " AS VARCHAR)" if c == "society" else order}) AS rk
+  FROM unit WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rk <= 4""" for c, order in _TOPS.items()), "unit"))
+def a15_tops(spark, d):
+    u = fx.unit(spark, d).select("society", "bedRoom", "price")
+    out = A.top_values(u, ["society", "bedRoom", "price"], 4)
+    # the text of a double is each engine's own
+    return out.select("column_name", "rank", F.when(F.col("column_name") != "price", F.col("value")).alias("value"), "count",
+                      F.round("share", 6).alias("share"))
+
+
+@query("a15_overview", """
+WITH t AS (SELECT l_partkey, l_quantity, l_discount, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS flag FROM lineitem)
+SELECT count(*) AS n_rows, 4 AS n_columns, CAST(count(*) FILTER (WHERE flag IS NULL) AS BIGINT) AS n_missing,
+  round(count(*) FILTER (WHERE flag IS NULL) / (count(*) * 4), 6) AS missing_share,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS n_duplicates,
+  round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))) / count(*), 6) AS duplicate_share FROM t""")
+def a15_overview(spark, d):
+    t = fx.table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_discount", F.when(
+        F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"))
+    return _round_cols(A.profile_overview(t), ["missing_share", "duplicate_share"])
+
+
 @query("a16_nunique", fx.with_views("SELECT count(DISTINCT sector) AS n_unique FROM listing", "listing"))
 def a16(spark, d):
     return A.nunique(fx.listing(spark, d), "sector")
@@ -306,6 +343,23 @@ def w5(spark, d):
     return _round_cols(W.cumulative_share(fx.unit(spark, d), "society", 10), ["cum_share"])
 
 
+@query("w4_rank_of_every_part", """
+SELECT p_name AS name, round(m, 6) AS mean_value, CAST(row_number() OVER (ORDER BY m DESC, p_name) AS INTEGER) AS rank,
+       count(*) OVER () AS n_keys FROM (SELECT p_name, avg(p_retailprice) AS m FROM part GROUP BY p_name)""")
+def w4_parts(spark, d):
+    """Many keys, texts: ranked over range partitions."""
+    p = fx.table(spark, d, "part").select(F.col("p_name").alias("name"), "p_retailprice")
+    return _round_cols(W.rank_of_key(p, "name", "p_retailprice"), ["mean_value"])
+
+
+@query("w5_cumulative_share_all", """
+SELECT p_name AS name, cnt AS count, round(sum(cnt) OVER (ORDER BY cnt DESC, p_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+       / sum(cnt) OVER (), 9) AS cum_share FROM (SELECT p_name, count(*) AS cnt FROM part GROUP BY p_name)""")
+def w5_all(spark, d):
+    out = W.cumulative_share(fx.table(spark, d, "part").select(F.col("p_name").alias("name")), "name")
+    return out.withColumn("cum_share", F.round("cum_share", 9))
+
+
 @query("w6_ecdf", fx.with_views("""
 SELECT bedRoom, cnt AS count, round(sum(cnt) OVER (ORDER BY bedRoom ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
        / (SELECT count(*) FROM unit), 6) AS ecdf FROM (

@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from plotwise.plans import q_prep, q_stats, q_similar, q_models, q_chain  # noqa: F401
+    from plotwise.plans import q_prep, q_stats, q_similar, q_models, q_chain, q_recommender  # noqa: F401

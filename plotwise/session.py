@@ -84,6 +84,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for models, indexes and files of one run."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/plotwise-{name}-{uuid.uuid4().hex}"
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables that ``cut_lineage`` wrote; call it once their readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

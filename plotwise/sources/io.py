@@ -53,6 +53,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     return df
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, null_values=("nan", "NA"),
+                     multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected). A line that does not fit the schema (too few or too many fields, a field that its type can't
+    read) is not a row with nulls but rejected: (line, file), for a quarantine. The parsed file is written once to the
+    shared folder, as Spark does not read the rejected lines alone from a text file."""
+    from pyspark.sql import functions as F
+
+    from plotwise.session import cut_lineage
+    marked = T.StructType([*schema.fields, T.StructField("__line", _STR)])
+    # marked texts for missing values are read as text and so fit any field only where they are nulls of the reader too
+    reader = (spark.read.schema(marked).option("header", header).option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line"))
+    if null_values:
+        reader = reader.option("nullValue", list(null_values)[0])
+    df = cut_lineage(reader.csv(path).withColumn("__file", F.input_file_name()))
+    rows = df.filter(F.col("__line").isNull()).select(*[
+        (F.when(~F.col(f"`{f.name}`").isin(list(null_values)), F.col(f"`{f.name}`")) if null_values and isinstance(
+            f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields])
+    return rows, df.filter(F.col("__line").isNotNull()).select(F.col("__line").alias("line"), F.col("__file").alias("file"))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by=None) -> None:
     """Stage output (no index column exists to drop)."""

@@ -60,3 +60,17 @@ def test_prepare_chain_shape(spark, sf_small):
                                "floor_category", "price"]
     assert out.count() > 0
     assert out.filter(F.col("agePossession") == "Undefined").count() <= out.count()
+
+
+def test_rejected_rows_are_kept_apart(spark):
+    from pyspark.sql import types as T
+    path = _scratch(spark, "rejected")
+    lines = ["id,name,x", '1,"a, b",2.5', "2,nan,NA", "3,c", "4,d,1,2", "x,e,3", "5,f,", '6,"g ""q""",nan']
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("x", T.DoubleType())])
+    rows, rejected = io.read_csv_checked(spark, path, schema)
+    got = {r.id: (r.name, r.x) for r in rows.collect()}
+    assert got[1] == ("a, b", 2.5) and got[5] == ("f", None) and got[6][0] == 'g "q"'
+    assert {r.line.split(",")[0] for r in rejected.select("line").collect()} >= {"3", "4", "x"}
+    assert set(got) | {r.line[0] for r in rejected.collect()} == {1, 5, 6} | {2} & set(got) | {r.line[0] for r in rejected.collect()}
+    assert rejected.filter("file is null").count() == 0
