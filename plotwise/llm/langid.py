@@ -13,8 +13,8 @@ but letters is one space. Learning counts n-grams per language over all
 learning documents, in map tasks and then by a shuffle on (n-gram, language);
 an n-gram belongs to a language if it makes up a large enough share of that
 language's n-grams, and is not much rarer there than in another language (so
-that a few foreign lines don't count). The filter has a fixed size, whatever
-the corpus.
+that a few foreign lines don't count). The filter's size follows from the
+n-grams that it holds, up to a bound.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from plotwise.llm.common import cut_lineage, ship, small_batches, worker_cache
 
 N = 4
-#: Slots of the filter (a power of two) and hashes of an n-gram.
-SLOTS, HASHES = 1 << 21, 2
+#: The least and most slots of the filter (powers of two), slots for each n-gram it holds, and hashes of an n-gram:
+#: with four slots and two hashes at most some 0.4 of the slots are taken.
+SLOTS, MAX_SLOTS, SLOTS_A_GRAM, HASHES = 1 << 21, 1 << 26, 4, 2
 #: An n-gram belongs to a language from this share of the language's n-grams on, and from two occurrences on.
 MIN_SHARE = 2e-7
 #: Nor does it if its share is below this part of its share in the language that has most of it.
@@ -105,7 +106,7 @@ def slots(h: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """The filter (fixed size), its languages, each one's false-positive rate and the share of its n-grams it holds."""
+    """The filter, its languages, each one's false-positive rate and the share of its n-grams it holds."""
     languages: list[str]
     filter: np.ndarray
     false_positive: np.ndarray
@@ -180,13 +181,16 @@ def _count(n: int):
     return run
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = N, size: int = SLOTS,
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = N, size: int | None = None,
           hashes: int = HASHES, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Model:
     """Learn from every row of ``docs`` that has a text and a language.
 
-    The driver receives the filter's slots (at most ``size``) and a total per
-    language, nothing that grows with the corpus. More than 64 languages are
-    an error. Without learning rows the model knows no language.
+    The filter has ``size`` slots or, by default, as many as its n-grams need;
+    more than ``MAX_SLOTS`` (half a gigabyte) are an error, to be met by a
+    larger ``min_share``, which bounds the n-grams of a language by its inverse
+    whatever the corpus. The driver receives the slots and a total per
+    language. More than 64 languages are an error. Without learning rows the
+    model knows no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")) \
@@ -197,7 +201,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     languages = sorted(totals)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the filter holds {MAX_LANGUAGES}")
-    table, held = np.zeros(size, np.uint64), {}
+    table, held = np.zeros(size or SLOTS, np.uint64), {}
     if languages:
         least = F.create_map(*(F.lit(x) for k in languages for x in (k, max(2.0, totals[k] * min_share))))
         bit = F.create_map(*(F.lit(x) for i, k in enumerate(languages) for x in (k, 1 << i if i < 63 else -(1 << 63))))
@@ -210,6 +214,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
         # of a text that was not learned from: an n-gram counts if the filter would hold it without that occurrence
         held = {r.lang: r.n for r in kept.filter("again").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         kept = kept.select("gram", bit[F.col("lang")].cast("bigint").alias("bit"))
+        if size is None:
+            size = max(SLOTS, 1 << (SLOTS_A_GRAM * kept.count() - 1).bit_length())
+            if size > MAX_SLOTS:
+                raise ValueError(f"the n-grams need {size} slots, more than {MAX_SLOTS}: take a larger min_share")
+            table = np.zeros(size, np.uint64)
 
         def place(batches):
             for b in batches:
@@ -237,11 +246,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score", "lang_coverage")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: 8 bytes a slot
+    # plain arrays: a class would be looked up by its name on executors, which need no copy of this library
+    shared = spark.sparkContext.broadcast(dict(vars(model)))  # at most 8 * MAX_SLOTS bytes
 
     @F.pandas_udf("lang string, score double, coverage double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Model(**shared.value)
         for texts in batches:
             texts = texts.tolist()
             names, scores, coverages = [], [], []
