@@ -202,3 +202,35 @@ def test_empty_tables(spark):
     for f in (exact_dedup.exact_dedup, exact_dedup.deduplicated, minhash.near_classes, minhash.deduplicated,
               line_dedup.line_dedup, line_dedup.deduplicated, suffix_dedup.repeated_spans):
         assert f(docs).count() == 0
+
+
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch):
+    import random
+
+    from plotwise.llm import graph
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    links += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(250)] + [(5, 5), (0, 1), (1, 0), (-7, 2 ** 62)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            root[find(a)] = find(b)
+    want = {}
+    for x in list(root):
+        want.setdefault(find(x), set()).add(x)
+    df = spark.createDataFrame(links, "a long, b long").repartition(9)
+    for few, batch in ((500_000, 200_000), (0, 7)):  # shuffle joins, and tasks that contract a few links at a time
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(graph, "BATCH_LINKS", batch)
+        got = {}
+        for r in graph.components(df).collect():
+            got.setdefault(r.component, set()).add(r.node)
+        assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
+        assert all(k in v for k, v in got.items())
+    assert graph.components(df.limit(0)).collect() == []
