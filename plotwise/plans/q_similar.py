@@ -16,7 +16,7 @@ from plotwise.operators import search_index as I
 from plotwise.operators import similarity as R
 from plotwise.plans import fixtures as fx
 from plotwise.plans.registry import query
-from plotwise.session import checkpoint_dir, shared_path
+from plotwise.session import checkpoint_dir, path_exists, shared_path
 
 QUERY_DOC = 1
 QUERY_PART = 1
@@ -50,9 +50,9 @@ _STORED: dict = {}
 
 
 def _stored(spark, d: str, name: str, build) -> str:
-    """The path of an index, built when it is first asked for."""
+    """The path of an index, built when it is first asked for (or when its folder was cleared)."""
     key = (spark.sparkContext.applicationId, checkpoint_dir(spark), d, name)
-    if key not in _STORED:
+    if key not in _STORED or not path_exists(spark, _STORED[key]):
         path = shared_path(spark, f"index-{name}")
         build(path)
         _STORED[key] = path
@@ -178,11 +178,14 @@ def part_price_long(spark, d):
     return R.one_hot_long(fx.table(spark, d, "part"), "p_partkey", PRICE_CATS, PRICE_NUMS)
 
 
+def price_index(spark, d) -> I.StandardisedIndex:
+    """Price view: drop-first one-hot + numeric columns, standardised."""
+    return I.StandardisedIndex(spark, _stored(spark, d, "part-price", lambda path: I.build_standardised(
+        part_price_long(spark, d), fx.table(spark, d, "part"), "p_partkey", "feature", "value", 0.0, path)))
+
+
 def part_price(spark, d):
-    """Price view: drop-first one-hot + numeric columns, standardised, cosine."""
-    path = _stored(spark, d, "part-price", lambda path: I.build_standardised(
-        part_price_long(spark, d), fx.table(spark, d, "part"), "p_partkey", "feature", "value", 0.0, path))
-    return _one(I.StandardisedIndex(spark, path).scores([QUERY_PART]))
+    return _one(price_index(spark, d).scores([QUERY_PART]))
 
 
 DIST_SQL = ("CASE WHEN CAST(q AS BIGINT) % 2 = 0 THEN concat(CAST(CAST(q AS BIGINT) AS STRING), ' Km') "
@@ -199,11 +202,14 @@ def part_location_long(spark, d):
         F.col("meters").isNotNull())
 
 
-def part_location(spark, d):
-    path = _stored(spark, d, "part-location", lambda path: I.build_standardised(
+def location_index(spark, d) -> I.StandardisedIndex:
+    return I.StandardisedIndex(spark, _stored(spark, d, "part-location", lambda path: I.build_standardised(
         part_location_long(spark, d), fx.table(spark, d, "part"), "p_partkey", "landmark", "meters",
-        rules.MISSING_DISTANCE_M, path))
-    return _one(I.StandardisedIndex(spark, path).scores([QUERY_PART]))
+        rules.MISSING_DISTANCE_M, path)))
+
+
+def part_location(spark, d):
+    return _one(location_index(spark, d).scores([QUERY_PART]))
 
 
 # Dense oracles: the full entity x feature matrix (independent of the sparse trick).

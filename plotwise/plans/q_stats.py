@@ -236,6 +236,25 @@ def a15_overview(spark, d):
     return _round_cols(A.profile_overview(t), ["missing_share", "duplicate_share"])
 
 
+@query("a15_merged_sketches", fx.with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS nulls,
+  {f"CAST(min({c}) AS DOUBLE)" if c != "society" else "CAST(NULL AS DOUBLE)"} AS min,
+  {f"CAST(max({c}) AS DOUBLE)" if c != "society" else "CAST(NULL AS DOUBLE)"} AS max, true AS distinct_ok, true AS median_ok,
+  {f"(SELECT {c} FROM unit GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" if c == "society" else "CAST(NULL AS VARCHAR)"} AS top
+FROM unit""" for c in ["society", "bedRoom", "price"]), "unit"))
+def a15_sketches(spark, d):
+    """Sketches by return flag, merged; the estimates are held against the exact profile."""
+    from plotwise.operators import sketches as K
+    u = fx.unit(spark, d).select("returnflag", "society", "bedRoom", "price")
+    made = K.estimates(K.merge_profiles(K.sketch_profile(u, by=["returnflag"])), qs=(0.45, 0.55), k=1)
+    exact = A.profile(u.drop("returnflag")).select("column_name", F.col("n_distinct").alias("d"), "p50")
+    near = F.abs(F.col("n_distinct") - F.col("d")) <= 0.03 * F.col("d") + 1
+    between = F.col("p50").isNull() | (F.col("p50").between(F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1))))
+    return made.join(F.broadcast(exact), "column_name").select(
+        "column_name", "n", "nulls", "min", "max", near.alias("distinct_ok"), between.alias("median_ok"),
+        F.when(F.col("column_name") == "society", F.get("top", F.lit(0))["item"]).alias("top"))
+
+
 @query("a16_nunique", fx.with_views("SELECT count(DISTINCT sector) AS n_unique FROM listing", "listing"))
 def a16(spark, d):
     return A.nunique(fx.listing(spark, d), "sector")

@@ -7,6 +7,7 @@ set only when a local master has none (tests, laptops).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -81,17 +82,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/plotwise-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _CUTS.append(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: to read it from the files would be a job of its own
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for models, indexes and files of one run."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/plotwise-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/plotwise-{name}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Deletes what is written to the shared folder inside the block (lineage cuts, ``shared_path``) when it ends: build
+    a result and write it within one. What is kept beyond, as an index, is built outside."""
+    before = len(_CUTS)
+    try:
+        yield
+    finally:
+        drop_cuts(spark, before)
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete the tables that ``cut_lineage`` wrote; call it once their readers are done."""
+def drop_cuts(spark: SparkSession, before: int = 0) -> None:
+    """Delete what ``cut_lineage`` and ``shared_path`` made, all but the first ``before`` paths; call it once their
+    readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _CUTS:
+    while len(_CUTS) > before:
         path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
         path.getFileSystem(conf).delete(path, True)

@@ -74,3 +74,21 @@ def test_rejected_rows_are_kept_apart(spark):
     assert {r.line.split(",")[0] for r in rejected.select("line").collect()} >= {"3", "4", "x"}
     assert set(got) | {r.line[0] for r in rejected.collect()} == {1, 5, 6} | {2} & set(got) | {r.line[0] for r in rejected.collect()}
     assert rejected.filter("file is null").count() == 0
+
+
+def test_a_scope_deletes_what_was_written_inside(spark):
+    from plotwise.operators import aggregates as A
+    from plotwise.session import cut_lineage, scope, shared_path
+
+    def there(path):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    outside = cut_lineage(spark.range(3))
+    with scope(spark):
+        inside = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
+        path = inside.inputFiles()[0].rsplit("/", 1)[0]
+        index = shared_path(spark, "something")
+        inside.write.parquet(index)
+        assert A.describe(inside, "x").first()["max"] == 8 and there(path) and there(index)
+    assert not there(path) and not there(index) and outside.count() == 3
