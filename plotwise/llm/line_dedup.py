@@ -21,13 +21,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plotwise.llm.common import cut_lineage, words
+from plotwise.llm.common import WORD_GAP, cut_lineage
 
 MIN_WORDS, END = 10, 4
 #: Rows of at most 24 bytes that may be broadcast; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
 
 
+def words(line: Column) -> Column:
+    """``common.words`` in one pass of the pattern over the line (empty words stand at its ends only)."""
+    return F.array_remove(F.split(F.lower(F.coalesce(line, F.lit(""))), WORD_GAP), "")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A table with a broadcast hint where its counted rows are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -70,11 +75,24 @@ def near_earlier(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     shared = ends.groupBy("end").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x != y").select("end")
     wanted = cut_lineage(ends.join(shared, "end").select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), "pos").distinct())
-    place = F.struct("doc_id", "line_no")
-    held = _keys(lines(docs, id_col, text_col)).withColumn("at", place)
-    held = cut_lineage(held.join(_small(wanted), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-                                 & F.col("at").eqNullSafe(F.col("pos"))).select("k1", "k2", "pos", "w")
-                       .dropDuplicates(["k1", "k2"]))
+    # only these lines are cut into words again, found by their places in the texts
+    places = cut_lineage(wanted.groupBy("pos.doc_id").agg(
+        F.collect_list(F.struct("pos.line_no", "c1", "c2")).alias("places")))
+    if wanted.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("__id"), F.split(text, "\n").alias("lines"))
+    # (two uses of the lines: one alone would be replaced by the split itself, for every place)
+    at = F.transform("places", lambda x: F.struct(x.alias("x"), F.when(
+        F.size("lines") > x["line_no"], F.get("lines", x["line_no"])).alias("line")))
+    held = texts.join(places, F.col("__id").eqNullSafe(F.col("doc_id"))).select(
+        "doc_id", F.explode(at).alias("a")).select(
+        F.struct("doc_id", "a.x.line_no").alias("pos"), "a.x.c1", "a.x.c2", words(F.col("a.line")).alias("w"))
+    # a row that repeats an id may have another line at the place; told apart behind the aggregate, as a filter before
+    # it would be pushed below the words
+    right = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    held = cut_lineage(_keys(held).groupBy("k1", "k2").agg(
+        F.min(F.when(right, F.col("pos"))).alias("pos"), F.first("w").alias("w")).filter("pos IS NOT NULL"))
     # a variant's hash from those of the words before and behind the gap, whose places move up by one: running
     # xors over the words of a line, so a line of n words costs n steps and not n squared
     line = held.repartition("k1", "k2").select("k1", "k2", "pos", F.posexplode("w").alias("i", "word")).select(
