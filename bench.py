@@ -26,8 +26,6 @@ HEADLINE = [
     "q7_mode_impute",              # three grouped-mode passes
     "r1_tfidf",                    # all tf-idf weights, read from the stored index
     "r7_recommend_documents",      # one request, scored on the stored index
-    "r7_recommend_batch",          # a tenth of the documents as requests
-    "j6_nearest_neighbours",       # every part as a request
     "r9_hybrid_recommend",         # three stored views, weighted
     "r6_dense_embedding_cosine",   # dense standardised cosine
     "e4_target_encode",            # grouped encoding joined back
