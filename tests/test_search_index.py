@@ -105,6 +105,17 @@ def test_repeated_ids_and_empty_tables(spark):
     assert empty.top([1], 3).collect() == [] and empty.weights().collect() == []
 
 
+def test_frequent_terms_dealt_to_several_tasks_count_whole(spark, monkeypatch):
+    monkeypatch.setattr(I, "FREQUENT", 3)
+    rows = corpus(1, 30)
+    index = I.build_index(spark.createDataFrame(rows, DOCS), "doc_id", "text", shared_path(spark, "test-index"), buckets=2)
+    old = {(r.doc_id, r.term): round(r.weight, 9) for r in R.tfidf(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect()}
+    assert {(r.id, r.term): round(r.weight, 9) for r in index.weights().collect()} == old
+    assert {r.term: r.df for r in index.terms.collect()} == Counter(t for _, t in old)
+    # texts are stored as counts: the weights are in the postings alone
+    assert index.forward.schema["terms"].dataType.elementType.names == ["term", "tf"]
+
+
 def test_counting_terms_shuffles_nothing(spark):
     df = spark.createDataFrame(corpus(), DOCS)
     assert "Exchange" not in I.counted_terms(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
