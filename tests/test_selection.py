@@ -62,3 +62,9 @@ def test_pairs_of_requested_rows(spark):
     long = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0), (2, "x", 3.0), (3, "z", 1.0)], "id long, term string, weight double")
     got = {(r.query_id, r.id): r.score for r in R.sparse_pairs(long, "id", spark.createDataFrame([(1,), (9,)], "id long")).collect()}
     assert got == {(1, 1): 5.0, (1, 2): 3.0}
+
+
+def test_the_model_table_is_joined_once(spark, sf_small):
+    from plotwise.plans import q_models
+    plan = q_models._prepared(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "price" in plan
