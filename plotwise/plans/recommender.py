@@ -16,6 +16,7 @@ from plotwise.functions import text as T
 from plotwise.operators import search_index as I
 from plotwise.operators import similarity as R
 from plotwise.operators.quantiles import computed_once
+from plotwise.session import cut_lineage
 
 VIEWS = R.VIEWS
 
@@ -27,13 +28,15 @@ def facilities_text(apartments: DataFrame, name: str = "PropertyName", col: str
 
 def price_long(apartments: DataFrame, name: str = "PropertyName", col: str = "PriceDetails", configs=rules.CONFIGS) -> DataFrame:
     """(id, feature, value): areas and prices of each configuration, and its building types as drop-first one-hot columns."""
-    parsed = apartments.select(F.col(name).alias("id"), T.price_details_map(col).alias("m"))
+    # one text of each name is parsed, in the tasks that the names are dealt to: the export may be a single file
+    texts = apartments.select(F.col(name).alias("id"), F.col(col).alias("text")).repartition("id").dropDuplicates(["id"])
+    parsed = texts.select("id", T.price_details_map("text").alias("m"))
     structs = {f"{c} ": F.try_element_at(F.col("m"), F.lit(c)) for c in configs}
     wide = T.config_facts_wide(parsed, structs, ["id"])
     if "Land" in configs:
         kind = F.col("`Land building_type`")
         wide = wide.withColumn("Land building_type", F.when(kind == "", "Land").otherwise(kind))
-    wide = computed_once(wide.dropDuplicates(["id"]))
+    wide = computed_once(wide)
     numbers = [f"{c} {k}" for c in configs for k in ("area_low", "area_high", "price_low", "price_high")]
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in numbers])
     long = wide.select("id", F.explode(cells).alias("c")).select("id", "c.feature", "c.value").filter("value is not null")
@@ -49,7 +52,8 @@ def price_long(apartments: DataFrame, name: str = "PropertyName", col: str = "Pr
 def location_long(apartments: DataFrame, name: str = "PropertyName", col: str = "LocationAdvantages") -> DataFrame:
     """(id, landmark, metres) of the distances that can be read."""
     parsed = F.from_json(F.col(col), "map<string,string>", {"allowSingleQuotes": "true"})
-    long = apartments.select(F.col(name).alias("id"), F.explode(parsed).alias("landmark", "distance")).select(
+    texts = apartments.select(F.col(name).alias("id"), F.col(col)).repartition("id")
+    long = texts.select("id", F.explode(parsed).alias("landmark", "distance")).select(
         "id", "landmark", T.distance_to_meters("distance").alias("metres")).filter("metres is not null")
     return long.groupBy("id", "landmark").agg(F.max("metres").alias("metres"))
 
@@ -58,7 +62,7 @@ def build(apartments: DataFrame, path: str, name: str = "PropertyName") -> None:
     """Write the three views of ``apartments`` under ``path``. Rows without a name are left out; of rows that repeat one
     the facilities count together and the price details of one of them count."""
     rows = apartments.filter(F.col(name).isNotNull())
-    entities = rows.select(F.col(name).alias("id")).distinct()
+    entities = cut_lineage(rows.select(F.col(name).alias("id")).distinct())
     I.build_index(facilities_text(rows, name), "id", "text", f"{path}/facilities")
     I.build_standardised(price_long(rows, name), entities, "id", "feature", "value", 0.0, f"{path}/price")
     I.build_standardised(location_long(rows, name), entities, "id", "landmark", "metres", rules.MISSING_DISTANCE_M,
@@ -92,6 +96,7 @@ def recommend(spark: SparkSession, path: str, requests: list, n: int = 5, weight
     if not 1 <= n <= 20:
         raise ValueError("n must be within 1..20")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "id")
-    ranked = scores(spark, path, requests, weights).withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.filter((F.col("rank") >= 1) & (F.col("rank") <= n)).select(
-        "query_id", "rank", "id", F.round("score", digits).alias("score"))
+    # a bound on the row number itself: each task keeps the best rows of a request, and only these are ranked together
+    ranked = scores(spark, path, requests, weights).withColumn("row", F.row_number().over(order)).filter(F.col("row") <= n + 1)
+    return ranked.filter("row > 1").select(
+        "query_id", (F.col("row") - 1).alias("rank"), "id", F.round("score", digits).alias("score"))
