@@ -8,7 +8,6 @@ for each category, brings a category list to the driver, checked against
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.operators.joins import grouped_side
 from plotwise.operators.stages import CategoryEncoder
+from plotwise.session import cut_lineage
 
 MAX_CATEGORIES = 10_000
 
@@ -129,13 +129,12 @@ def label_matrix(df: DataFrame, list_col: str, out: str = "labels", max_labels:
 
 def elbow_vectors(df: DataFrame, features_col: str, k_max: int = 10, seed: int = 42) -> DataFrame:
     """E9 on vectors (k = 1 is the total sum of squares, which MLlib's KMeans rejects)."""
-    z = df.select(F.col(features_col).alias("__z")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        var = z.select(Summarizer.variance(F.col("__z")).alias("v"), F.count(F.lit(1)).alias("n")).first()
-        rows = [(1, float(sum(var["v"].toArray()) * (var["n"] - 1)))]
-        for k in range(2, k_max + 1):
-            m = KMeans(k=k, seed=seed, featuresCol="__z").fit(z)
-            rows.append((k, float(m.summary.trainingCost)))
-    finally:
-        z.unpersist()
+    # written, not persisted: of a persisted table each step of each fit decodes all vectors again, while of others a
+    # fit reads them once and keeps them as it needs them
+    z = cut_lineage(df.select(F.col(features_col).alias("__z")))
+    var = z.select(Summarizer.variance(F.col("__z")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    rows = [(1, float(sum(var["v"].toArray()) * (var["n"] - 1)))]
+    for k in range(2, k_max + 1):
+        m = KMeans(k=k, seed=seed, featuresCol="__z").fit(z)
+        rows.append((k, float(m.summary.trainingCost)))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
