@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.functions import rules
 from plotwise.functions.numeric import half_even, price_per_sqft, safe_div
+from plotwise.operators.joins import grouped_side
 from plotwise.operators.quantiles import exact_quantile, grouped_quantiles
 from plotwise.session import cut_lineage
 
@@ -122,6 +123,7 @@ def mode_impute(df: DataFrame, col: str, passes, placeholder: str = rules.AGE_UN
         counts = counts.withColumn("__cur", F.when(cur == placeholder, mode).otherwise(cur)).drop("__gv")
     final = counts.filter(F.col("__orig") == placeholder).select(*[F.col(k).alias(f"__k_{k}") for k in all_keys],
                                                                  F.col("__cur").alias("__final"))
+    final = grouped_side(final)
     cond = [df[k].eqNullSafe(final[f"__k_{k}"]) for k in all_keys]
     out = df.join(final, on=cond, how="left")
     out = out.withColumn(col, F.when(F.col(col) == placeholder, F.col("__final")).otherwise(F.col(col)))

@@ -68,3 +68,46 @@ def test_the_model_table_is_joined_once(spark, sf_small):
     from plotwise.plans import q_models
     plan = q_models._prepared(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "price" in plan
+
+
+def test_the_elbow_fits_read_stored_vectors(spark, monkeypatch):
+    from plotwise.operators import encode as E
+    seen = []
+
+    class Spy(E.KMeans):
+        def fit(self, df):
+            seen.append((df.storageLevel.useMemory, df._jdf.queryExecution().optimizedPlan().toString()))
+            return super().fit(df)
+
+    monkeypatch.setattr(E, "KMeans", Spy)
+    left = spark.createDataFrame([(i, float(i % 5)) for i in range(40)], "id long, x double")
+    right = spark.createDataFrame([(i, float(i % 3)) for i in range(40)], "id long, y double")
+    curve = E.elbow(left.join(right, "id"), ["x", "y"], k_max=3).collect()
+    assert [r.k for r in curve] == [1, 2, 3] and curve[0].inertia > curve[1].inertia > curve[2].inertia
+    # a persisted table is decoded again in each step of a fit
+    assert len(seen) == 2 and all(not kept and "Join" not in plan and "parquet" in plan for kept, plan in seen)
+
+
+def test_the_chain_parses_its_rows_once(spark, sf_small, monkeypatch):
+    import pytest
+    from plotwise.plans import prepare, q_chain
+
+    class Reached(Exception):
+        pass
+
+    def fit(df, *args, **kwargs):
+        raise Reached(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(prepare.E, "kmeans_labels", fit)
+    with pytest.raises(Reached) as found:
+        q_chain.x1(spark, sf_small)
+    assert "Join" not in str(found.value) and "Union" not in str(found.value)
+
+
+def test_names_to_fill_from_are_broadcast(spark):
+    from plotwise.operators import joins as J
+    rows = spark.createDataFrame([(1, "A", None), (2, "b", "own"), (3, None, None)], "id long, name string, v string")
+    names = spark.createDataFrame([("a", "z"), ("A", "y"), ("c", "x"), (None, "w")], "name string, v string")
+    out = J.fill_from(rows, names, "name", "name", "v", "v")
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.v) for r in out.collect()) == [(1, "y"), (2, "own"), (3, None)]
