@@ -98,13 +98,19 @@ def pca_components(df: DataFrame, features_col: str = "features", explained: flo
     return model, k
 
 
-def kmeans_labels(df: DataFrame, cols, k: int = 3, seed: int = 42, out: str = "cluster") -> DataFrame:
+def kmeans_labels(df: DataFrame, cols, k: int = 3, seed: int = 42, out: str = "cluster",
+                  fit_df: DataFrame | None = None) -> DataFrame:
     """Standardise + k-means; clusters relabelled by ascending mean of the
-    summed inputs, so 0 < 1 < 2 is deterministic (e.g. furnishing level)."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(df)
+    summed inputs, so 0 < 1 < 2 is deterministic (e.g. furnishing level).
+
+    The first centres depend on how rows lie in partitions: where ``df`` was
+    written on the way, ``fit_df`` names the same rows as they were before."""
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="__v")
+    vec = assembler.transform(df)
     scaler = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(vec)
     z = scaler.transform(vec)
-    model = KMeans(k=k, seed=seed, featuresCol="__z", predictionCol="__c").fit(z)
+    start = z if fit_df is None else scaler.transform(assembler.transform(fit_df))
+    model = KMeans(k=k, seed=seed, featuresCol="__z", predictionCol="__c").fit(start)
     pred = model.transform(z)
     total = sum(F.col(c) for c in cols)
     order = pred.groupBy("__c").agg(F.avg(total).alias("__m"))

@@ -53,7 +53,7 @@ def apply_corrections(df: DataFrame, corrections: DataFrame | None) -> DataFrame
 def with_features(df: DataFrame, apartments: DataFrame | None = None, furnish_items=None, stage=lambda d: d) -> DataFrame:
     """Stage 4: areas, extra-room flags, age category, furnishing cluster,
     facilities (filled from the apartments table) and the luxury score.
-    The cluster fit passes over its rows several times: ``stage`` may write them."""
+    Scaling, ranking and labelling the clusters read the rows anew: ``stage`` may write them before."""
     t = "areaWithType"
     df = df.withColumns({"super_built_up_area": X.to_sqft(t, X.super_built_up(t)),
                          "built_up_area": X.to_sqft(t, X.built_up(t)),
@@ -69,7 +69,7 @@ def with_features(df: DataFrame, apartments: DataFrame | None = None, furnish_it
         # the counts stand beside the other columns, so that no row is joined back to its cluster
         names = [f"__f{j}" for j in range(len(furnish_items))]
         df = df.withColumns({n: X.item_count("furnishDetails", i).cast("double") for n, i in zip(names, furnish_items)})
-        df = E.kmeans_labels(stage(df.drop("furnishDetails")), names, k=3, out="furnishing_type").drop(*names)
+        df = E.kmeans_labels(stage(df.drop("furnishDetails")), names, k=3, out="furnishing_type", fit_df=df).drop(*names)
     if apartments is not None:
         df = J.fill_from(df, apartments, "society", "PropertyName", "features", "TopFacilities")
     df = df.withColumn("luxury_score", R.weighted_label_score(X.parse_list("features")))
@@ -120,6 +120,6 @@ def prepare(flats: DataFrame, houses: DataFrame, apartments: DataFrame | None =
     """
     stage = cut_lineage if cut_stages else (lambda d: d)
     both = J.union_by_name(clean_source(flats, "flat"), clean_source(houses, "house"))
-    both = stage(apply_corrections(with_sector(both), corrections))
+    both = apply_corrections(with_sector(both), corrections)
     feats = with_features(both, apartments, furnish_items, stage)
     return model_table(impute(stage(treat_outliers(feats, stage))))

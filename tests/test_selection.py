@@ -88,7 +88,7 @@ def test_the_elbow_fits_read_stored_vectors(spark, monkeypatch):
     assert len(seen) == 2 and all(not kept and "Join" not in plan and "parquet" in plan for kept, plan in seen)
 
 
-def test_the_chain_parses_its_rows_once(spark, sf_small, monkeypatch):
+def test_the_chain_scales_and_labels_stored_rows(spark, sf_small, monkeypatch):
     import pytest
     from plotwise.plans import prepare, q_chain
 
