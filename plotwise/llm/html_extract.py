@@ -3,9 +3,23 @@
 A page is read as tokens: a start or end tag with its place in the tree, its
 class and its id; or a block of text with its place. A token's occurrence
 vector is its count on each page of the host. Tokens of one host with the same
-vector form an equivalence class. A class is valid if enough of the host's
-pages have it and its tokens are more than one (tags come in pairs at least)
-or a text, which stands for its words. Pages of equal html count once.
+vector form an equivalence class. A class needs enough of the host's pages and
+more than one token (tags come in pairs at least) or a text, which stands for
+its words. Pages of equal html count once.
+
+A class is valid if it is ordered and nested. Ordered: on every page its
+tokens come in one order, as often as they come. Of those outside the longest
+run in order on some page, those that are furthest out over all pages (by more
+than half as many places as the worst) form a class of their own, if they are
+fewer than all; both are judged again. Nested: its span never crosses that of another class, whose next
+token would come before its last. Of two that cross, the one on fewer pages (of
+fewer tokens) is broken up: its texts remain, its tags are no template.
+
+Tokens are then told apart by where they stand: an occurrence between two
+tokens of a valid class has another role than one elsewhere. Roles have
+vectors, and so classes, of their own, and this goes on until the classes of a
+host stay as they were. All that is valid in some round is part of the template.
+
 Valid classes whose tokens occur once a page make the frame of the template;
 classes that repeat within a page (list items, paragraphs) nest in its slots
 and are part of these. What lies between two frame tokens is a slot. Text
@@ -28,13 +42,16 @@ of a host with a third of all pages combine like any sum.
 from __future__ import annotations
 
 import re
+import struct
+from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotwise.llm.common import cut_lineage, ship, small_batches
 
@@ -42,8 +59,7 @@ from plotwise.llm.common import cut_lineage, ship, small_batches
 MIN_PAGES, SUPPORT = 3, 0.5
 #: Hosts, and tokens (of 8 bytes) of their templates, that may be broadcast; beyond, a shuffle join.
 BROADCAST_HOSTS, BROADCAST_TOKENS = 20_000, 4_000_000
-#: Rows of at most 32 bytes that may be broadcast; beyond, a shuffle join.
-BROADCAST_ROWS = 500_000
+PAGE_ROLES = "host string, page bigint, roles array<bigint>"
 
 # FIXED: the HTML elements without content of their own, inline elements, and those that never hold main text
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -160,10 +176,6 @@ def text_token(b: Block) -> str:
     return "=" + "/".join(e[0] for e in b.path) + " " + b.text
 
 
-def page_tokens(html: str) -> Counter:
-    return Counter(x if kind == "tag" else text_token(x) for kind, x in events(html))
-
-
 def is_article(e: str, marks: frozenset) -> bool:
     return e in ("article", "main") or "@article" in marks
 
@@ -206,20 +218,122 @@ def excluded(b: Block, unnamed: set[int]) -> bool:
 
 
 def key(token: str) -> int:
+    """A token's first role: its hash, the last bit set for texts."""
+    import xxhash
+    return (xxhash.xxh64_intdigest(token) - (1 << 63)) & ~1 | (token[0] == "=")
+
+
+@lru_cache(1 << 16)
+def role_at(role: int, place: tuple[int, int]) -> int:
+    """The role of an occurrence at a place: the class around it, and the class's token before it."""
     import xxhash
-    return xxhash.xxh64_intdigest(token) - (1 << 63)
+    return (xxhash.xxh64_intdigest(struct.pack("<qqq", role, *place)) - (1 << 63)) & ~1 | role & 1
+
+
+def page_roles(found: list[tuple[str, object]]) -> list[int]:
+    return [key(x if kind == "tag" else text_token(x)) for kind, x in found]
+
+
+class Member(NamedTuple):
+    """What a role is in its class: ``rank`` is its number in the class's order, ``on`` the class's pages."""
+    cls: int
+    rank: int
+    size: int
+    on: int = 0
+
+
+def in_order(values: list[int]) -> set[int]:
+    """The places of a longest rising run of ``values``."""
+    least, at, before = [], [], []
+    for i, v in enumerate(values):
+        k = bisect_left(least, v)
+        before.append(at[k - 1] if k else -1)
+        least[k:k + 1], at[k:k + 1] = [v], [i]
+    kept, i = set(), at[-1] if at else -1
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return kept
+
+
+def disordered(roles: list[int], classes: dict[int, Member]) -> Counter:
+    """How far the roles, as (class, role), that are out of their class's order on a page are from their places in it."""
+    runs: dict[int, list[tuple[int, int]]] = {}
+    seen: Counter = Counter()
+    for r in roles:
+        if m := classes.get(r):
+            runs.setdefault(m.cls, []).append((seen[r] * m.size + m.rank, r))
+            seen[r] += 1
+    out: Counter = Counter()
+    for cls, run in runs.items():
+        if any(run[i][0] >= run[i + 1][0] for i in range(len(run) - 1)):
+            kept = in_order([v for v, _ in run])
+            due = {v: i for i, v in enumerate(sorted(v for v, _ in run))}
+            for i, (v, r) in enumerate(run):
+                if i not in kept:
+                    out[cls, r] += 1 + abs(i - due[v])
+    return out
+
+
+def places(roles: list[int], classes: dict[int, Member], crossed: set | None = None) -> list[tuple[int, int] | None]:
+    """The place of each occurrence: the innermost class around it and the number of its token before; None outside.
+
+    ``crossed`` takes the classes that lose against one that they cross.
+    """
+    out, stack = [], []  # stack: (class, number of its last token)
+    weight = {m.cls: (m.on, m.size, m.cls) for m in classes.values()} if crossed is not None else {}
+    for r in roles:
+        m = classes.get(r)
+        if m and m.rank and any(cls == m.cls for cls, _ in stack):
+            while stack[-1][0] != m.cls:
+                other = stack.pop()[0]
+                if crossed is not None:
+                    crossed.add(min(m.cls, other, key=weight.get))
+            stack.pop()
+        out.append(stack[-1] if stack else None)
+        if m and m.rank < m.size - 1:
+            stack.append((m.cls, m.rank))
+    return out
 
 
-def data_blocks(html: str, frame: frozenset, own: frozenset) -> list[Block]:
-    """The blocks of a page that are not excluded, nor the host's own text, with their slots (tokens are hashes)."""
+def told_apart(roles: list[int], classes: dict[int, Member]) -> list[int]:
+    return [r if p is None else role_at(r, p) for r, p in zip(roles, places(roles, classes))]
+
+
+def rounds(steps) -> list[dict[int, Member]]:
+    """The classes of each round, of numbers as in ``templates``."""
+    out: list[dict[int, Member]] = []
+    for i in range(0, len(steps), 5):
+        n, role, cls, rank, size = steps[i:i + 5]
+        out += [{} for _ in range(n + 1 - len(out))]
+        out[n][role] = Member(cls, rank, size)
+    return out
+
+
+def data_blocks(html: str, frame: frozenset, own: frozenset, steps=()) -> list[Block]:
+    """The blocks of a page that are not excluded, nor the host's own text, with their slots (tokens are hashes).
+
+    A token is of the template if it is by its role of any round.
+    """
+    page = list(events(html))
+    slots, gone = [0] * len(page), set()
+    if frame or own:
+        roles = page_roles(page)
+        for classes in [None, *rounds(steps)]:
+            roles = told_apart(roles, classes) if classes else roles
+            for i, r in enumerate(roles):
+                if r in frame:
+                    slots[i] = slots[i] or r
+                elif r in own:
+                    gone.add(i)
     found, slot = [], 0
-    for kind, x in events(html):
+    for i, (kind, x) in enumerate(page):
         if kind == "block":
             x.slot = slot if frame else next((at for e, _, at in x.path if e in LISTS), -1)
-            found.append(x)
-        elif frame and (k := key(x)) in frame:
-            slot = k
-    found = [b for b in found if not (own and key(text_token(b)) in own)]
+            if i not in gone:
+                found.append(x)
+        else:
+            slot = slots[i] or slot
     unnamed, most = wrappers(found), wrappers(found, slots=False)
     # names that would leave nothing of a page don't count where most of its text is
     return [b for b in found if not excluded(b, unnamed)] or [
@@ -249,12 +363,12 @@ def judged(sizes: dict[int, list[int]]) -> Slots:
     return Slots(top, inside * 2 >= n, frozenset(k for k, x in sizes.items() if x[1] * 2 >= x[0]))
 
 
-def main_blocks(html: str, frame: frozenset, own: frozenset, slots: Slots | None) -> list[Block]:
-    """The main-text blocks of a page, given its host's frame tags, own texts (as hashes) and slots.
+def main_blocks(html: str, frame: frozenset, own: frozenset, slots: Slots | None, steps=()) -> list[Block]:
+    """The main-text blocks of a page, given its host's frame tags, own texts (as hashes), slots and rounds.
 
     Without ``slots`` the page's own are judged.
     """
-    kept = data_blocks(html, frame, own)
+    kept = data_blocks(html, frame, own, steps)
     if not kept:
         return kept
     slots = slots or judged(slot_sizes(kept))
@@ -268,46 +382,147 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "roles": [page_roles(list(events(x))) for x in pdf["html"]]})
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for h, page, html in zip(pdf["host"], pdf["page"], pdf["html"]):
-            for token, n in page_tokens(html).items():
-                rows.append((h, key(token), token[0] == "=", n, page))
-        yield pd.DataFrame(rows, columns=["host", "token", "is_text", "n", "page"])
+        for h, page, roles in zip(pdf["host"], pdf["page"], pdf["roles"]):
+            roles = roles.tolist()
+            first = {r: i for i, r in reversed([*enumerate(roles)])}
+            rows += [(h, r, n, first[r], page) for r, n in Counter(roles).items()]
+        yield pd.DataFrame(rows, columns=["host", "role", "n", "first", "page"])
+
+
+def _members(x) -> dict[int, Member]:
+    x = [] if x is None else x.tolist()
+    return {x[i]: Member(*x[i + 1:i + 5]) for i in range(0, len(x), 5)}
+
+
+def _faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows: Counter = Counter()
+        for h, roles, members in zip(pdf["host"], pdf["roles"], pdf["members"]):
+            roles, classes = roles.tolist(), _members(members)
+            out = disordered(roles, classes)
+            rows.update({(h, cls, r, False): n for (cls, r), n in out.items()})
+            if not out:
+                crossed: set = set()
+                places(roles, classes, crossed)
+                rows.update((h, cls, 0, True) for cls in crossed)
+        yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["host", "cls", "role", "crosses", "n"])
+
+
+def _told_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "roles": [
+            told_apart(roles.tolist(), _members(m)) for roles, m in zip(pdf["roles"], pdf["members"])]})
+
+
+def beside(rows: DataFrame, known: DataFrame, on: Column | str = "host", how: str = "left") -> DataFrame:
+    """``rows`` with the template of their host: a row for each host, whose arrays are broadcast where they are few."""
+    arrays = [f.name for f in known.schema if f.dataType.typeName() == "array"]
+    hosts, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.greatest(F.size(c), F.lit(0)) for c in arrays)), F.lit(0))).first()
+    # a template has at most a few times a page's tokens, but there may be many
+    fits = hosts <= BROADCAST_HOSTS and size <= BROADCAST_TOKENS
+    return rows.join(F.broadcast(known) if fits else known, on, how)
+
+
+def _with_classes(pages: DataFrame, members: DataFrame) -> DataFrame:
+    """``pages`` of the hosts that have classes, with these as flat numbers."""
+    member = F.array("role", "cls", F.col("rank").cast("bigint"), "size", "on")
+    return beside(pages, members.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("size") > 1, member))).alias("members")),
+                  how="inner")
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """``members`` of the classes that are more than a tag, with their rank and the size of their class."""
+    cls = Window.partitionBy("host", "cls")
+    # of two tokens in one order on all pages, the first one's mean place is the lesser
+    return members.withColumn("size", F.count(F.lit(1)).over(cls)).filter(
+        (F.col("size") > 1) | (F.col("role") % 2 != 0)).withColumn(
+        "rank", F.row_number().over(cls.orderBy("first", "role")) - 1)
+
+
+def equal_vectors(pages: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, role, cls, on, most, first, size, rank): the classes of roles with equal occurrence vectors.
+
+    ``pages`` has host, page and roles, ``sizes`` the pages of each host.
+    """
+    roles = pages.mapInPandas(_counted, "host string, role bigint, n int, first int, page bigint")
+    vectors = roles.groupBy("host", "role").agg(
+        F.count(F.lit(1)).alias("on"), F.max("n").alias("most"), F.sum("n").alias("all"), F.avg("first").alias("first"),
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector")).filter("on > 1")
+    # a text on two of three pages may be an article that is there twice
+    common = vectors.join(sizes, "host").filter(
+        (F.col("on") >= F.col("pages") * SUPPORT) & ((F.col("role") % 2 == 0) | (F.col("on") >= MIN_PAGES)))
+    # roles on at least half of the pages: at most twice a page's tokens per host
+    return cut_lineage(_classes(common.select(
+        "host", "role", F.xxhash64("vector", "on", "all", "most").alias("cls"), "on", "most", "first")))
+
+
+def valid(pages: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` in ordered and nested classes, by the rules at the head of the module."""
+    todo = members
+    while True:
+        faults = cut_lineage(_with_classes(pages, todo).select("host", "roles", "members").mapInPandas(
+            _faults, "host string, cls bigint, role bigint, crosses boolean, n bigint").groupBy(
+            "host", "cls", "role", "crosses").agg(F.sum("n").alias("n")))
+        if faults.isEmpty():
+            return members
+        # a token that wanders is far out; one that it passed may be in order without it
+        out = faults.filter(~F.col("crosses")).withColumn("most", F.max("n").over(Window.partitionBy("host", "cls"))).filter(
+            F.col("n") * 2 > F.col("most")).select("host", "cls", "role", F.lit(True).alias("out"))
+        # spans are known once a host's classes are in order
+        broken = faults.filter("crosses").join(out.select("host").distinct(), "host", "left_anti").select(
+            "host", "cls", F.lit(True).alias("broken"))
+        judged_again = members.join(out, ["host", "cls", "role"], "left").join(broken, ["host", "cls"], "left").withColumn(
+            "outs", F.count("out").over(Window.partitionBy("host", "cls")))
+        alone = F.col("broken").isNotNull() | (F.col("out").isNotNull() & (F.col("outs") == F.col("size")))
+        cls = F.when(alone, F.xxhash64("cls", "role")).when(F.col("out"), F.xxhash64("cls", F.lit("out"))).otherwise(F.col("cls"))
+        members = cut_lineage(_classes(judged_again.withColumn("cls", cls).drop("out", "outs", "broken", "size", "rank")))
+        todo = members.join(faults.select("host").distinct(), "host", "left_semi")
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, frame, own): per host the hashes of the frame's tags and of the host's own texts, as a table.
+    """(host, frame, own, steps): per host the hashes of the frame's tags and of the host's own texts, and what tells
+    roles apart, as a table: of each round but the last, the round, role, class, rank and class size one after the other.
 
     Hosts of fewer than ``MIN_PAGES`` different pages, and pages without a host, have none.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(host(F.col(url_col)).alias("host"), html.alias("html")).filter("host != ''").withColumn(
         "page", F.xxhash64("html", F.col("host")))
-    copies = cut_lineage(rows.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")))
-    sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    # pages of equal html are one page: only these few are shuffled
-    again = copies.filter("n > 1").select("host", "page")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    once = rows.join(again, ["host", "page"], "left_anti").select("host", "page", "html").union(
-        rows.join(again, ["host", "page"], "left_semi").groupBy("host", "page").agg(F.first("html").alias("html")))
-    tokens = once.mapInPandas(_tokens, "host string, token bigint, is_text boolean, n int, page bigint")
-    vectors = tokens.groupBy("host", "token", "is_text").agg(
-        F.count(F.lit(1)).alias("on"), F.max("n").alias("most"), F.sum("n").alias("all"),
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector")).filter("on > 1")
-    # a text on two of three pages may be an article that is there twice
-    common = vectors.join(sizes, "host").filter(
-        (F.col("on") >= F.col("pages") * SUPPORT) & (~F.col("is_text") | (F.col("on") >= MIN_PAGES)))
-    # tokens on at least half of the pages: at most twice a page's tokens per host
-    classes = common.groupBy("host", "vector", "on", "all", "most").agg(
-        F.collect_list(F.struct("is_text", "token")).alias("tokens")).filter(
-        (F.size("tokens") > 1) | F.exists("tokens", lambda t: t.is_text))
-    once = classes.filter("most = 1").select("host", F.explode("tokens").alias("t")).select("host", "t.*")
-    tag = F.when(~F.col("is_text"), F.col("token"))
-    return cut_lineage(once.groupBy("host").agg(
-        F.collect_list(tag).alias("frame"),
-        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("own")))
+    # a page is parsed once for all rounds; pages of equal html are one page
+    read = cut_lineage(rows.mapInPandas(_roles, PAGE_ROLES).dropDuplicates(["host", "page"]))
+    sizes = cut_lineage(read.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES))
+    found, before = [], None
+    while True:
+        members = equal_vectors(read, sizes)
+        state = cut_lineage(members.groupBy("host").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls", F.col("role") % 2 == 0).cast("decimal(38,0)")).alias("sum")))
+        if before is not None:
+            # hosts whose roles have the vectors that they had are done
+            members = members.join(state.join(before, ["host", "n", "sum"]).select("host"), "host", "left_anti")
+        if found and members.isEmpty():
+            break
+        members, before = valid(read, members), state
+        found.append(members.withColumn("round", F.lit(len(found)).cast("bigint")))
+        read = cut_lineage(_with_classes(read, members).select("host", "page", "roles", "members").mapInPandas(
+            _told_apart, PAGE_ROLES))
+    rows = found[0]
+    for x in found[1:]:
+        rows = rows.unionByName(x)
+    once, text = F.col("most") == 1, F.col("role") % 2 != 0
+    step = F.array("round", "role", "cls", F.col("rank").cast("bigint"), "size")
+    rows = rows.withColumn("last", F.max("round").over(Window.partitionBy("host")))
+    return cut_lineage(rows.groupBy("host").agg(
+        F.collect_list(F.when(once & ~text, F.col("role"))).alias("frame"),
+        F.collect_list(F.when(once & text, F.col("role"))).alias("own"),
+        F.flatten(F.collect_list(F.when((F.col("size") > 1) & (F.col("round") < F.col("last")), step))).alias("steps")))
 
 
 def _sets(*columns) -> Iterator[tuple[frozenset, ...]]:
@@ -316,11 +531,15 @@ def _sets(*columns) -> Iterator[tuple[frozenset, ...]]:
         yield tuple(frozenset(() if x is None else x) for x in row)
 
 
+def _numbers(steps) -> list[int]:
+    return [] if steps is None else steps.tolist()
+
+
 def _slot_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         total: dict[tuple, list[int]] = {}
-        for h, html, (frame, own) in zip(pdf["host"], pdf["html"], _sets(pdf["frame"], pdf["own"])):
-            for slot, x in slot_sizes(data_blocks(html, frame, own)).items():
+        for h, html, (frame, own), steps in zip(pdf["host"], pdf["html"], _sets(pdf["frame"], pdf["own"]), pdf["steps"]):
+            for slot, x in slot_sizes(data_blocks(html, frame, own, _numbers(steps))).items():
                 have = total.setdefault((h, slot), [0, 0, 0])
                 for i, n in enumerate(x):
                     have[i] += n
@@ -328,11 +547,11 @@ def _slot_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_slots(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``known`` (host, frame, own) with the host's ``Slots`` (top, marked, links).
+    """``known`` (host, frame, own, steps) with the host's ``Slots`` (top, marked, links).
 
-    ``rows`` has __host, html, frame and own.
+    ``rows`` has __host, html, frame, own and steps.
     """
-    sizes = rows.filter("__host IS NOT NULL").select(F.col("__host").alias("host"), "html", "frame", "own").mapInPandas(
+    sizes = rows.filter("__host IS NOT NULL").select(F.col("__host").alias("host"), "html", "frame", "own", "steps").mapInPandas(
         _slot_sizes, "host string, slot bigint, chars bigint, linked bigint, inside bigint").groupBy("host", "slot").agg(
         *(F.sum(x).alias(x) for x in ("chars", "linked", "inside")))
     top = sizes.groupBy("host").agg(
@@ -346,8 +565,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         sets = _sets(pdf["frame"], pdf["own"], pdf["links"])
-        for html, (frame, own, links), top, marked in zip(pdf["html"], sets, pdf["top"], pdf["marked"]):
-            blocks = main_blocks(html, frame, own, None if top is None else Slots(int(top), marked == "1", links))
+        for html, (frame, own, links), steps, top, marked in zip(pdf["html"], sets, pdf["steps"], pdf["top"], pdf["marked"]):
+            slots = None if top is None else Slots(int(top), marked == "1", links)
+            blocks = main_blocks(html, frame, own, slots, _numbers(steps))
             out.append("\n\n".join(b.text for b in blocks))
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out})
 
@@ -368,16 +588,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def placed(known):
-        known = known.withColumnRenamed("host", "__host")
-        hosts, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("frame") + F.size("own")), F.lit(0))).first()
-        # a frame has at most twice a page's tokens, but there may be many
-        fits = hosts <= BROADCAST_HOSTS and size <= BROADCAST_TOKENS
-        return rows.join(F.broadcast(known) if fits else known, host(F.col("url")) == F.col("__host"), "left")
+        return beside(rows, known.withColumnRenamed("host", "__host"), host(F.col("url")) == F.col("__host"))
 
     known = templates(pages, url_col, html_col)
     # slots and marks travel as text, like ids
     joined = placed(with_slots(placed(known), known))
-    return joined.select("page_id", "url", "html", "frame", "own", "links", F.col("top").cast("string").alias("top"),
+    return joined.select("page_id", "url", "html", "frame", "own", "steps", "links", F.col("top").cast("string").alias("top"),
                          F.col("marked").cast("int").cast("string").alias("marked")).mapInPandas(
         _extract, "page_id string, url string, text string").select(
         F.col("page_id").cast(pages.schema[id_col].dataType), "url", "text", F.length("text").cast("bigint").alias("n_chars"))

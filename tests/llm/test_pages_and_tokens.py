@@ -3,6 +3,7 @@ import hashlib
 import html
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,6 +206,56 @@ def test_whole_frame_and_slots_by_the_template(spark):
     assert got == want
 
 
+def test_classes_are_ordered_and_nested(spark):
+    # roles by hand: odd ones are texts. One frame in which 10 and the text 21 wander, 30..34 crossed by 40 and 42 on a
+    # page, a list of 50 and 52, and 60, 62, 70, 72, which are as often on each page, but in two lists
+    def page(n, first, last, cross):
+        middle = [30, 40, 32, 42, 34] if cross else [30, 32, 40, 42, 34]
+        return [2, *first, 4, *middle[:5], 6, *[50, 52] * n, 8, *[60, 62] * (n + 1), *[70, 72] * (n + 1), *last, 12]
+
+    made = [page(1, [10, 21], [], False), page(2, [], [21, 10], True), page(3, [21], [10], False)]
+    made += [[r for r in page(1, [10], [21], False) if r not in (40, 42)] + [14]]
+    rows = [("h", i, roles) for i, roles in enumerate(made)] + [("other", i, [2, 4]) for i in range(3)]
+    read = spark.createDataFrame(rows, html_extract.PAGE_ROLES)
+    sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    members = html_extract.valid(read, html_extract.equal_vectors(read, sizes)).collect()
+    classes: dict = {}
+    for m in sorted(members, key=lambda m: m["rank"]):
+        classes.setdefault((m.host, m.cls), []).append(m.role)
+    assert sorted(classes.values()) == sorted([[2, 4, 30, 32, 34, 6, 8, 12], [21], [50, 52], [60, 62], [70, 72], [2, 4]])
+    # by brute force: a class's tokens come in its order, over and over
+    for (h, _), roles in classes.items():
+        for at, _, page_roles in rows:
+            own = [r for r in page_roles if r in roles]
+            assert at != h or own == roles * (len(own) // len(roles))
+
+
+def test_roles_are_told_apart_until_nothing_changes(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(6):
+        text = [H.sentence(rng, 25) for _ in range(1 + i % 3)]
+        # the two sections differ by the heading between them, and their boxes by their sections
+        rows.append((i, f"http://a.example/{i}", "<html><body><h1>Title</h1><section>" + "".join(f"<p>{t}</p>" for t in text)
+                     + f'<div><a href="/{i}">Link {i}</a> <a href="/n">and link {i}</a></div></section><h2>Part of {i}</h2>'
+                     f"<section><div><b>{text[0][::-1]}</b></div><div>End of {i}</div></section></body></html>"))
+        want[i] = "\n\n".join([*text, f"Part of {i}", text[0][::-1], f"End of {i}"])
+    df = pages(spark, rows)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    made = html_extract.templates(df).collect()
+    steps = html_extract.rounds(made[0].steps)
+    assert len(steps) == 2  # sections, then boxes
+    # by brute force: with these rounds, no role that half of the pages share has several places
+    at: dict = {}
+    for _, _, x in rows:
+        roles = html_extract.page_roles(list(html_extract.events(x)))
+        for classes in steps:
+            roles = html_extract.told_apart(roles, classes)
+        for r, n in Counter(roles).items():
+            at.setdefault(r, []).append(n)
+    assert {r for r, n in at.items() if n == [1] * 6 and r % 2 == 0} <= set(made[0].frame)
+
+
 def test_names_do_not_empty_a_page(spark):
     rng = random.Random(13)
     body = [H.sentence(rng, 30) for _ in range(6)]
