@@ -132,3 +132,27 @@ def test_standardised_index_equals_the_rebuilt_cosine(spark):
         for r in R.standardised_cosine(long, entities, "id", "key", "value", 5000.0, q).collect():
             assert got[q, r.id] == pytest.approx(r.score, abs=1e-9)
     assert len(got) == 84 and index.scores([77]).count() == 0
+
+
+def test_deltas_are_stored_once_and_repeats_and_null_ids_count_as_before(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(I, "cut_lineage", lambda df, cut=I.cut_lineage: cuts.append(df.columns) or cut(df))
+    rows = [(i, f"k{i % 4}", float(100 * i + 7)) for i in range(20)]
+    rows += rows[3:6] + [(None, "k1", 60.0), (4, "k0", None), (99, "k2", 70.0)]
+    long = spark.createDataFrame(rows, "id long, key string, value double")
+    entities = spark.createDataFrame([(i,) for i in [*range(21), 5]] + [(None,)], "id long")
+    index = I.build_standardised(long, entities, "id", "key", "value", 500.0, shared_path(spark, "test-index"), buckets=3)
+    # an entry's delta is in the tables by entity and by key, and in no third one
+    assert not [c for c in cuts if "d" in c]
+    assert "z0" in spark.read.parquet(f"{index.path}/by_id").columns
+    for q in (3, 20):
+        got = sorted((r.id is None, r.id or 0, round(r.score, 9)) for r in index.scores([q]).collect())
+        want = R.standardised_cosine(long, entities, "id", "key", "value", 500.0, q).collect()
+        assert got == sorted((r.id is None, r.id or 0, round(r.score, 9)) for r in want)
+
+
+def test_location_texts_are_built_and_parsed_once(spark, sf_small):
+    """The filter of unparsable distances reads stored metres: above the grouping it would build each text again."""
+    from plotwise.plans.q_similar import part_location_long
+    plan = part_location_long(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter isnotnull(meters" in plan and "Contains" not in plan
