@@ -111,3 +111,23 @@ def test_names_to_fill_from_are_broadcast(spark):
     out = J.fill_from(rows, names, "name", "name", "v", "v")
     assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.id, r.v) for r in out.collect()) == [(1, "y"), (2, "own"), (3, None)]
+
+
+def test_the_random_search_query_draws_the_whole_spaces(spark, monkeypatch):
+    from plotwise.plans import q_models
+    seen = {}
+
+    def search(df, estimator, fold_col, grid, **kwargs):
+        seen[type(estimator).__name__] = [{p.name: v for p, v in m.items()} for m in grid]
+        if len(seen) == 2:
+            raise StopIteration
+        return type("Found", (), {"bestModel": None}), []
+
+    monkeypatch.setattr(q_models, "_train_test", lambda spark, d: (None, None, None))
+    monkeypatch.setattr(M, "cv_scores", lambda est, df, fold_col, **kwargs: search(df, est, fold_col, **kwargs))
+    with pytest.raises(StopIteration):
+        q_models.m9(None, None)
+    forests, boosted = seen["RandomForestRegressor"], seen["GBTRegressor"]
+    assert len(forests) == 20 and min(m["numTrees"] for m in forests) >= 100 and max(m["maxDepth"] for m in forests) == 25
+    assert len(boosted) == 25 and min(m["maxIter"] for m in boosted) >= 100 and {m["featureSubsetStrategy"] for m in boosted} == {
+        "sqrt", "log2", "all"}
