@@ -156,3 +156,32 @@ def test_location_texts_are_built_and_parsed_once(spark, sf_small):
     from plotwise.plans.q_similar import part_location_long
     plan = part_location_long(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter isnotnull(meters" in plan and "Contains" not in plan
+
+
+def test_norms_in_parts_give_the_same_index_and_shuffle_no_postings(spark, monkeypatch):
+    """With more norms than one broadcast takes, postings were joined to them by a shuffle of all their texts."""
+    monkeypatch.setattr(I, "NORM_ROWS", 40)
+    monkeypatch.setattr(I, "COMBINED_ROWS", 100)
+    rows = corpus(3, 100) + [(7, "red house w1"), (None, "w1 w2")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    index = I.build_index(df, "doc_id", "text", shared_path(spark, "test-index"), buckets=4)
+    old = {(r.doc_id, r.term): round(r.weight, 9) for r in R.tfidf(df, "doc_id", "text").collect() if r.doc_id is not None}
+    got = [(r.id, r.term, round(r.weight, 9)) for r in index.weights().collect()]
+    assert len(got) == len(old) and {(i, t): w for i, t, w in got} == old
+    most = {}
+    for (_, t), w in old.items():
+        most[t] = max(w, most.get(t, 0.0))
+    assert {r.term: (r.df, round(max(c.max_w for c in r.classes), 9)) for r in index.terms.collect()} == {
+        t: (n, most[t]) for t, n in Counter(t for _, t in old).items()}
+    plan = index.weights()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("BroadcastHashJoin") >= 3
+
+
+def test_a_build_leaves_no_shuffle_files_behind(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    I.build_index(spark.createDataFrame(corpus(4, 60), DOCS).repartition(3), "doc_id", "text", shared_path(spark, "test-index"), buckets=2)
+    assert not {f for f in held() - before if f.endswith(".data")}
