@@ -129,3 +129,23 @@ def test_rfe_ranks_and_permutation_importance(spark):
     got = {r.feature: r.importance_mean for r in V.permutation_importance(
         model, df, ["x", "noise"], "id", n_repeats=3, assemble=lambda f: vec.transform(f.drop("features"))).collect()}
     assert got["x"] > 0.5 and abs(got["noise"]) < 1e-6
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest"])
+def test_permutation_importance_of_encoded_trees_equals_the_scored_copies(spark, kind):
+    """Rows are encoded once and scored in the tasks; the errors are those of a copy of each row for each column."""
+    from plotwise.operators import stages as S
+    rows = [(i, float(i % 11), None if i % 29 == 0 else float(i % 4), "abcde"[i % 5] if i % 13 else None, "xyz"[i % 7 % 3],
+             None if i == 17 else 2.0 * (i % 11) + 7.0 * (i % 5 == 2) + (i % 7 % 3) + (i % 4) ** 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, a double, n double, c string, o string, label double")
+    fit_on = df.filter("label is not null and n is not null")
+    params = {"maxDepth": 5} | ({"numTrees": 4} if kind == "forest" else {})
+    model = S.feature_pipeline(["a", "n"], ["o"], ["c"], scale=True, then=[M.regressor(kind, **params)]).fit(fit_on)
+    cols = ["a", "n", "c", "o"]
+    got = {r.feature: r for r in V.permutation_importance(model, df, cols, "id", n_repeats=3).collect()}
+    want = {r.feature: r for r in V.permutation_importance(model, df, cols, "id", n_repeats=3, assemble=lambda f: f).collect()}
+    assert V._coded_trees(model) and set(got) == set(want) == set(cols)
+    for c in cols:
+        assert got[c].importance_mean == pytest.approx(want[c].importance_mean, abs=1e-9)
+        assert got[c].importance_std == pytest.approx(want[c].importance_std, abs=1e-9)
+    assert got["c"].importance_mean > 0.1
